@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with an eager checkpoint in the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    return spark.conf.get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
 
-    A folder of our own is set only where ``spark.checkpoint.dir`` is unset (tests).
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with an eager checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "tidemark-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -87,3 +89,67 @@ def components(edges: DataFrame) -> DataFrame:
         root = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(root, "hi").where("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
         e = checkpoint(small.union(root.select(F.col("m").alias("lo"), "hi")).distinct())
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads all bits."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def in_chunks(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first, texts) of about ``size`` bytes together; a longer text is a chunk by itself."""
+    at = 0
+    while at < len(texts):
+        end, total = at + 1, len(texts[at])
+        while end < len(texts) and total + len(texts[end]) < size:
+            total += len(texts[end])
+            end += 1
+        yield at, texts[at:end]
+        at = end
+
+
+#: Odd multipliers of the independent hashes.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+@functools.cache
+def byte_values(which: int = 0) -> np.ndarray:
+    return np.random.default_rng(29 + which).integers(0, 1 << 63, 256, np.uint64) << np.uint64(1) | np.uint64(1)
+
+
+@functools.lru_cache(maxsize=2)
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2**64, and their inverses."""
+    base = BASES[which]
+    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def prefix_sums(data: np.ndarray, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Sums with which (sums[b] - sums[a]) * inverse[a] is a hash of data[a:b], wherever it stands."""
+    size = 1 << 20
+    while size < len(data) + 1:
+        size *= 2
+    up, down = powers(size, which)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(byte_values(which)[data] * up[: len(data)], out=sums[1:])
+    return sums, down
+
+
+def run_hashes(texts: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the maximal runs of bytes of one class (class 0, which holds the space, left out),
+    and the number of each text's first run, with the number of all at the end."""
+    data = np.frombuffer(b" ".join(texts), np.uint8)
+    begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    kinds = classes[data]
+    starts = np.concatenate([[0], np.flatnonzero(kinds[1:] != kinds[:-1]) + 1])
+    ends = np.append(starts[1:], len(data))
+    kept = kinds[starts] != 0
+    starts, ends = starts[kept], ends[kept]
+    sums, inverse = prefix_sums(data)
+    return mixed((sums[ends] - sums[starts]) * inverse[starts]), np.searchsorted(starts, begins)

@@ -17,11 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, components, texts_of
+from tidemark.llm.common import checkpoint, components, in_chunks, mixed, run_hashes, texts_of
 
 SHINGLE, PERMUTATIONS, BAND_VALUES, SEED = 5, 64, 4, 13
 BANDS = 2 * PERMUTATIONS // BAND_VALUES
@@ -29,7 +28,7 @@ BANDS = 2 * PERMUTATIONS // BAND_VALUES
 NUMERATOR = 75
 #: A pair whose signatures agree in a smaller share isn't confirmed: five standard deviations under 0.75.
 LEAST_AGREEMENT = 0.56
-CACHE_WORDS, BLOCK = 300_000, 8192
+BLOCK = 8192
 #: Members of a bucket that one task compares at once; larger buckets are dealt out in pairs of blocks.
 BUCKET = 2048
 
@@ -45,29 +44,34 @@ def shingle_factors() -> np.ndarray:
     return np.random.default_rng(SEED + 1).integers(0, 1 << 63, SHINGLE, np.uint64) << np.uint64(1) | np.uint64(1)
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-    def shingles(self, text: str) -> np.ndarray:
-        """Sorted distinct shingle hashes. bytes.lower() and split() know ASCII alone, as the contract asks."""
-        hashes = np.array(list(map(self.__getitem__, text.encode("utf-8", "replace").lower().split())), np.uint64)
-        if not len(hashes):
-            return hashes
-        n, factors = min(SHINGLE, len(hashes)), shingle_factors()
-        total = np.full(len(hashes) - n + 1, n, np.uint64)
-        for k in range(n):
-            total += mixed(hashes[k : k + len(total)] * factors[k])
-        return np.unique(mixed(total))
+@functools.cache
+def byte_classes() -> np.ndarray:
+    """0 for ASCII white space, 1 for all else."""
+    out = np.ones(256, np.uint8)
+    out[[32, *range(9, 14)]] = 0
+    return out
+
+
+def shingle_sets(texts: list[str]) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text. bytes.lower() knows ASCII alone, as asked."""
+    factors = shingle_factors()
+    for _, chunk in in_chunks([t.encode("utf-8", "replace").lower() for t in texts]):
+        hashes, first = run_hashes(chunk, byte_classes())
+        places = max(0, len(hashes) - SHINGLE + 1)
+        total = np.full(places, SHINGLE, np.uint64)
+        for k in range(SHINGLE if places else 0):
+            total += mixed(hashes[k : k + places] * factors[k])
+        total = mixed(total)
+        for a, b in zip(first[:-1], first[1:]):
+            if b - a >= SHINGLE:
+                yield np.unique(total[a : b - SHINGLE + 1])
+            elif b > a:
+                short = np.full(1, b - a, np.uint64)
+                for k in range(b - a):
+                    short += mixed(hashes[a + k : a + k + 1] * factors[k])
+                yield mixed(short)
+            else:
+                yield np.zeros(0, np.uint64)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -85,11 +89,10 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, factors = WordHashes(), np.random.default_rng(SEED + 2).integers(0, 1 << 63, (BANDS, BAND_VALUES), np.uint64) << np.uint64(1) | np.uint64(1)
+        factors = np.random.default_rng(SEED + 2).integers(0, 1 << 63, (BANDS, BAND_VALUES), np.uint64) << np.uint64(1) | np.uint64(1)
         for batch, texts in texts_of(batches):
             n, f1, f2, bands, sigs = [], [], [], [], []
-            for text in texts:
-                s = words.shingles(text)
+            for s in shingle_sets(texts):
                 n.append(len(s))
                 f1.append(s.sum(dtype=np.uint64))
                 f2.append(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
@@ -110,10 +113,9 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
     rows = docs.select(F.col(id_col).alias("node"), F.col(text_col).cast("string").alias("text")).join(wanted, "node", "left_semi")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch, texts in texts_of(batches):
             for at in range(0, len(texts), 256):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 256], pa.array([words.shingles(t).tobytes() for t in texts[at : at + 256]], pa.binary())], ["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 256], pa.array([s.tobytes() for s in shingle_sets(texts[at : at + 256])], pa.binary())], ["node", "shingles"])
 
     return rows.mapInArrow(make, f"node {rows.dtypes[0][1]}, shingles binary")
 

@@ -304,3 +304,11 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return numbered.mapInArrow(scan, numbered.schema).toDF(*docs.columns)
+
+
+def with_length(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``length_col``, where there is one, brought in line with the text."""
+    if length_col not in docs.columns:
+        return docs
+    kind = dict(docs.dtypes)[length_col]
+    return docs.withColumn(length_col, F.when(F.col(text_col).isNotNull(), F.length(text_col).cast(kind)).otherwise(F.col(length_col)))

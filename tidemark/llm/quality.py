@@ -11,8 +11,7 @@ it; a temperature fitted on a part left out of training calibrates the score.
 
 from __future__ import annotations
 
-import re
-import zlib
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, labelled_sample, texts_of
+from tidemark.llm.common import fold, in_chunks, labelled_sample, run_hashes, texts_of
 
 BUCKETS, DIMS, NONZERO, REACH = 8192, 32, 2, 2
 #: The bucket of a repeated word.
@@ -30,26 +29,30 @@ AGAIN = 0
 INPUTS = 2 * DIMS + 1
 SAMPLE, HIDDEN, EPOCHS, SEED = 20_000, 32, 40, 7
 MODULUS, HELD, THRESHOLD = 5, 0, 0.3
-#: Letters in their case, digits or a run of signs: shouting and junk signs are words of their own.
-WORD = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
-CACHE_WORDS = 500_000
 #: Words that are pooled at once.
 BLOCK = 200_000
 
 
-class WordBuckets(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        self[word] = n = zlib.crc32(word.encode("utf-8", "replace")) % (BUCKETS - 1) + 1
-        return n
+@functools.cache
+def byte_classes() -> np.ndarray:
+    """Letters (in their case, all beyond ASCII among them), digits, signs; 0 for white space."""
+    out = np.full(256, 3, np.uint8)
+    out[:33], out[ord("0") : ord("9") + 1], out[128:] = 0, 2, 1
+    out[ord("A") : ord("Z") + 1] = out[ord("a") : ord("z") + 1] = 1
+    return out
+
+
+def word_buckets(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, buckets of the words, first word of each text), chunk by chunk.
 
-    def ids(self, text: str) -> np.ndarray:
-        """Buckets of the words; one that repeats the word before it counts as AGAIN."""
-        ids = np.array(list(map(self.__getitem__, WORD.findall(text))), np.int64)
+    A word is a run of letters, digits or signs; one that repeats the word before it counts as AGAIN.
+    """
+    for at, chunk in in_chunks([t.encode("utf-8", "replace") for t in texts]):
+        hashes, first = run_hashes(chunk, byte_classes())
+        ids = (hashes % np.uint64(BUCKETS - 1)).astype(np.int64) + 1
         if len(ids) > 1:
-            ids[1:][ids[1:] == ids[:-1]] = AGAIN
-        return ids
+            ids[1:][hashes[1:] == hashes[:-1]] = AGAIN
+        yield at, ids, first
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -63,17 +66,15 @@ def context_sums(docs: DataFrame, text_col: str = "text") -> DataFrame:
     columns = [f"d{i}" for i in range(DIMS)]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, (place, sign), total = WordBuckets(), index_vectors(), np.zeros(BUCKETS * DIMS)
+        (place, sign), total = index_vectors(), np.zeros(BUCKETS * DIMS)
         for _, texts in texts_of(batches):
-            for text in texts:
-                ids = words.ids(text)
-                for k in range(1, min(REACH, len(ids) - 1) + 1):
-                    for left, right in ((ids[:-k], ids[k:]), (ids[k:], ids[:-k])):
+            for _, ids, first in word_buckets(texts):
+                text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                for k in range(1, REACH + 1):
+                    same = np.flatnonzero(text_of[k:] == text_of[:-k])
+                    for left, right in ((ids[same], ids[same + k]), (ids[same + k], ids[same])):
                         for j in range(NONZERO):
-                            if len(left) > 2000:
-                                total += np.bincount(left * DIMS + place[right, j], sign[right, j], BUCKETS * DIMS)
-                            else:
-                                np.add.at(total, left * DIMS + place[right, j], sign[right, j])
+                            total += np.bincount(left * DIMS + place[right, j], sign[right, j], BUCKETS * DIMS)
         sums = total.reshape(BUCKETS, DIMS).astype(np.int64)
         seen = np.flatnonzero(sums.any(1))
         if len(seen):
@@ -93,21 +94,20 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def pooled(texts: list[str], words: WordBuckets, vectors: np.ndarray) -> np.ndarray:
+def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
     """Mean and spread of the word vectors of each text, and the log of its words' number; zeros without words."""
-    out = np.zeros((len(texts), INPUTS), np.float32)
-    for i, text in enumerate(texts):
-        ids = words.ids(text)
-        if not len(ids):
-            continue
-        s, q = np.zeros(DIMS), np.zeros(DIMS)
+    total, squares, number = np.zeros((len(texts), DIMS)), np.zeros((len(texts), DIMS)), np.zeros(len(texts))
+    for begin, ids, first in word_buckets(texts):
+        number[begin : begin + len(first) - 1] = np.diff(first)
+        text_of = np.repeat(np.arange(begin, begin + len(first) - 1), np.diff(first))
         for at in range(0, len(ids), BLOCK):
-            v = vectors[ids[at : at + BLOCK]]
-            s += v.sum(0)
-            q += np.einsum("ij,ij->j", v, v)
-        mean = s / len(ids)
-        out[i, :DIMS], out[i, DIMS : 2 * DIMS], out[i, -1] = mean, np.sqrt(np.maximum(q / len(ids) - mean * mean, 0)), np.log1p(len(ids))
-    return out
+            v, of = vectors[ids[at : at + BLOCK]], text_of[at : at + BLOCK]
+            heads = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1])
+            total[of[heads]] += np.add.reduceat(v, heads)
+            squares[of[heads]] += np.add.reduceat(v * v, heads)
+    n = np.maximum(number, 1)[:, None]
+    mean = total / n
+    return np.column_stack([mean, np.sqrt(np.maximum(squares / n - mean * mean, 0)), np.log1p(number)]).astype(np.float32)
 
 
 @dataclass
@@ -175,9 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordBuckets()
         for batch, texts in texts_of(batches):
-            x = pooled(texts, words, sent.value)
+            x = pooled(texts, sent.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "y", "x"])
 
     rows = labelled_sample(docs.select(F.col(id_col).cast("string").alias(id_col), text_col), labels, label, sample, MODULUS, HELD, id_col, text_col)
@@ -198,9 +197,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thre
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, (table, model) = WordBuckets(), sent.value
+        table, model = sent.value
         for batch, texts in texts_of(batches, "_text"):
-            s = model.score(pooled(texts, words, table).astype(np.float64))
+            s = model.score(pooled(texts, table).astype(np.float64))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*batch.schema.names[1:], "score", "predicted"])
 
     kept = rows.drop("_text")
