@@ -31,6 +31,10 @@ LEAST_AGREEMENT = 0.56
 BLOCK = 8192
 #: Members of a bucket that one task compares at once; larger buckets are dealt out in pairs of blocks.
 BUCKET = 2048
+#: Partners of a document that are compared in one task.
+SHARE = 1024
+#: Pairs that are broadcast to the documents' scan; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 @functools.cache
@@ -108,36 +112,40 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(sketch, f"doc_id {rows.dtypes[0][1]}, n long, f1 long, f2 long, bands array<long>, sig binary")
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles): the whole sets of the documents ``wanted`` (node), as bytes."""
-    rows = docs.select(F.col(id_col).alias("node"), F.col(text_col).cast("string").alias("text")).join(wanted, "node", "left_semi")
+def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of which 100 * intersection >= NUMERATOR * union, on whole sets.
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in texts_of(batches):
-            for at in range(0, len(texts), 256):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 256], pa.array([s.tobytes() for s in shingle_sets(texts[at : at + 256])], pa.binary())], ["node", "shingles"])
-
-    return rows.mapInArrow(make, f"node {rows.dtypes[0][1]}, shingles binary")
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of which 100 * intersection >= NUMERATOR * union, on whole sets."""
-    one, two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b")
+    The text of each b goes to its a, with which it's compared as the rows stream by. An ``a``
+    with many partners is dealt out in shares of about SHARE, its text sent to each.
+    """
+    kind = dict(pairs.dtypes)["a"]
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    asked = checkpoint(pairs.select("a", "b").join(shares, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int")).select("a", "share", "b"))
+    wanted = asked.union(asked.select("a", "share", F.col("a").alias("b")).distinct())
+    if asked.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.col(id_col).alias("b"), F.col(text_col).cast("string").alias("text")).join(wanted, "b")
+    dealt = texts.withColumn("other", F.col("a") != F.col("b")).repartition("a", "share").sortWithinPartitions("a", "share", "other", "b")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, heads = None, []
         for batch in batches:
-            sa, sb = batch.column(batch.schema.get_field_index("sa")), batch.column(batch.schema.get_field_index("sb"))
+            get = lambda c: batch.column(batch.schema.get_field_index(c))
             keep = []
-            for i in range(batch.num_rows):
-                x, y = np.frombuffer(sa[i].as_buffer(), np.uint64), np.frombuffer(sb[i].as_buffer(), np.uint64)
-                common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(100 * common >= NUMERATOR * (len(x) + len(y) - common))
-            rows = np.flatnonzero(keep)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).take(pa.array(rows)) for c in ("a", "b")], ["a", "b"])
-
-    kind = dict(pairs.dtypes)["a"]
-    return both.mapInArrow(similar, f"a {kind}, b {kind}")
+            for i, (a, share, other, s) in enumerate(zip(get("a").to_pylist(), get("share").to_pylist(), get("other").to_pylist(), shingle_sets([t or "" for t in get("text").to_pylist()]))):
+                if (a, share) != at:
+                    at, heads = (a, share), []
+                if not other:
+                    heads.append(s)
+                    continue
+                for x in heads:
+                    both = len(x) + len(s) - len(np.union1d(x, s))
+                    if 100 * both >= NUMERATOR * (len(x) + len(s) - both):
+                        keep.append(i)
+                        break
+            yield pa.RecordBatch.from_arrays([get(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
+
+    return dealt.mapInArrow(similar, f"a {kind}, b {kind}").distinct()
 
 
 def agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -194,42 +202,38 @@ def open_pairs(members: DataFrame, tried: DataFrame, per: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable by links) and kept.
 
-    Empty and null texts link with nothing. Rows that share an id are one document:
-    what any of them links to, all do. A null id links with nothing, has no component
-    and is kept.
+    Empty and null texts link with nothing. A row's component is that of its set; rows that
+    repeat an id with another text are judged by their own. A null id links with nothing, has
+    no component and is kept.
     """
     all_rows = checkpoint(sketches(docs, id_col, text_col))
     usable = all_rows.where("n > 0 and doc_id is not null")
-    classes = usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node"))
-    member = usable.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).select("doc_id", "node").where("doc_id <> node")
-    nodes = classes.join(usable.withColumnRenamed("doc_id", "node"), ["n", "f1", "f2", "node"], "left_semi")
-    nodes = checkpoint(usable.withColumnRenamed("doc_id", "node").join(nodes, ["n", "f1", "f2", "node"], "left_semi").dropDuplicates(["node", "n", "f1", "f2"]).select("node", "n", "sig", "bands"))
-    sigs = nodes.select("node", "n", "sig")
-
-    rows = nodes.select("node", F.posexplode("bands").alias("i", "h")).select("node", F.xxhash64("i", "h").alias("band"))
+    classes = checkpoint(usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node")))
+    firsts = usable.withColumnRenamed("doc_id", "node").join(classes, ["n", "f1", "f2", "node"], "left_semi").dropDuplicates(["node", "n", "f1", "f2"])
+    sigs = checkpoint(firsts.select("node", "n", "sig", F.expr("transform(bands, (h, i) -> xxhash64(i, h))").alias("bands")))
+    rows = sigs.select("node", F.explode("bands").alias("band"))
+    sigs = sigs.select("node", "n", "sig")
     heads = rows.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1")
     buckets = checkpoint(rows.join(heads, "band"))  # rows of buckets with company
     tried = checkpoint(buckets.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
-    pairs = checkpoint(agreement(tried, sigs))
-    links = checkpoint(confirmed(pairs, whole_sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), id_col, text_col)))
+    links = checkpoint(confirmed(agreement(tried, sigs), docs, id_col, text_col))
 
-    per = 2
+    crowd, per = buckets.where("size > 2"), 4
     while True:
         found = components(links)
-        crowd = buckets.where("size > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        crowd = crowd.select("band", "node", "size").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed_up = crowd.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-        members = crowd.join(mixed_up, "band", "left_semi").join(sigs, "node").select("band", "node", "component", "n", "sig", "size")
-        more = checkpoint(open_pairs(members, tried, per))
+        crowd = checkpoint(crowd.join(mixed_up, "band", "left_semi"))  # what is of one component stays so
+        more = checkpoint(open_pairs(crowd.join(sigs, "node").select("band", "node", "component", "n", "sig", "size"), tried, per))
         if more.isEmpty():
             break
-        sure = confirmed(more, whole_sets(docs, more.select(F.col("a").alias("node")).union(more.select("b")).distinct(), id_col, text_col))
-        links, tried, per = checkpoint(links.union(sure)), checkpoint(tried.union(more)), 8 * per
-
-    # Rows with the same id tie their classes together, and so do copies.
-    ties = member.select(F.col("node").alias("a"), F.col("doc_id").alias("b")).union(links)
-    component = components(ties).select(F.col("node").alias("doc_id"), "component")
-    out = all_rows.select("doc_id", "n").join(component, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        links = checkpoint(found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).union(confirmed(more, docs, id_col, text_col)))
+        tried, per = checkpoint(tried.union(more)), 32 * per
+
+    of_class = classes.join(found, "node", "left").select("n", "f1", "f2", F.coalesce("component", "node").alias("component"))
+    out = all_rows.select("doc_id", "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left")
+    component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
