@@ -5,9 +5,9 @@ its least and its greatest value, so PERMUTATIONS hash evaluations make twice as
 many signature values; bands of four values link sets of a similarity of 0.75 but
 for about five in a million. Equal sets are one class from the start. In a band's
 bucket, members are first compared with the smallest alone; what that leaves in
-different components is compared in further rounds, the likeliest pairs first, until
-no pair of a bucket in different components whose signatures could be of similar
-sets remains unconfirmed. Links are confirmed on whole sets.
+different components is compared in further rounds with other members, those first
+that look like the centre of the rest, until no pair of a bucket in different
+components whose signatures could be of similar sets remains unconfirmed. Links are confirmed on whole sets.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ BANDS = 2 * PERMUTATIONS // BAND_VALUES
 NUMERATOR = 75
 #: A pair whose signatures agree in a smaller share isn't confirmed: five standard deviations under 0.75.
 LEAST_AGREEMENT = 0.56
+#: A pair whose signatures agree this far is probably linked; it only orders the work.
+LIKELY = 0.72
 BLOCK = 8192
 #: Members of a bucket that one task compares at once; larger buckets are dealt out in pairs of blocks.
 BUCKET = 2048
@@ -164,39 +166,44 @@ def agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return both.select("a", "b", "ga", "gb").mapInArrow(alike, f"a {kind}, b {kind}")
 
 
-def open_pairs(members: DataFrame, tried: DataFrame, per: int) -> DataFrame:
-    """Pairs of a bucket in different components that weren't tried: for each document and other
-    component the ``per`` whose signatures agree most.
+def open_pairs(members: DataFrame, leaders: int) -> DataFrame:
+    """(band, x, y, a, b, leader): in each bucket, the pairs of up to ``leaders`` members with members of
+    other components, those leaders first whose signatures agree with the most others.
 
-    members: band, node, component, n, sig, size. Buckets of more than BUCKET members are dealt
-    out in pairs of blocks. Of a bucket's largest component no two members are compared.
+    members: band, node, component, n, sig, size, x, y, own and done (was a leader there before). A
+    member that was a leader is through with all others, so each round leaves fewer pairs, and at
+    most ``leaders`` rows per member are made. Of a bucket's largest component no two are compared.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BUCKET)).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "component", "n", "sig")
     kind = dict(members.dtypes)["node"]
 
     def compare(table: pa.Table) -> pa.Table:
-        own, node, component, n = (table.column(c).to_numpy() for c in ("own", "node", "component", "n"))
+        own, node, component, n, done = (table.column(c).to_numpy() for c in ("own", "node", "component", "n", "done"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
-        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        band, x, y = (table.column(c)[0].as_py() for c in ("band", "x", "y"))
         names, counts = np.unique(component, return_counts=True)
-        out = []
-        rest = np.flatnonzero(component != names[counts.argmax()]) if x == y else np.flatnonzero(own == x)
-        among = np.arange(len(node)) if x == y else np.flatnonzero(own == y)
+        largest = component == names[counts.argmax()]
+        rest = np.flatnonzero(~done & ~largest) if x == y else np.flatnonzero(~done & (own == x))
+        near: dict[int, list[int]] = {}
+        likely = np.zeros(len(node), np.int64)
         for i in rest:
-            j = among[(component[among] != component[i]) & (100 * np.minimum(n[among], n[i]) >= NUMERATOR * np.maximum(n[among], n[i]))]
+            open_ = ~done & (component != component[i]) & (100 * np.minimum(n, n[i]) >= NUMERATOR * np.maximum(n, n[i]))
+            # Of two members outside the largest component the first one makes the pair.
+            open_ &= largest | (np.arange(len(node)) > i) if x == y else own == y
+            j = np.flatnonzero(open_)
             share = (sig[j] == sig[i]).mean(1)
-            j, share = j[share >= LEAST_AGREEMENT], share[share >= LEAST_AGREEMENT]
-            out += [(min(node[i], node[k]), max(node[i], node[k]), node[i], component[k], float(s)) for k, s in zip(j, share)]
-        columns = list(zip(*out)) or [[]] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (*[table.schema.field("node").type] * 4, pa.float64()))], ["a", "b", "node", "component", "share"])
+            sure = j[share >= LIKELY]
+            likely[i] += len(sure)
+            likely[sure] += 1
+            for k in j[share >= LEAST_AGREEMENT].tolist():
+                near.setdefault(int(i), []).append(k)
+                near.setdefault(k, []).append(int(i))
+        order = sorted(near, key=lambda i: (-likely[i], -len(near[i]), node[i]))[:leaders]
+        out = {(min(node[i], node[k]), max(node[i], node[k]), node[i]) for i in order for k in near[i]}
+        a, b, leader = list(zip(*sorted(out))) or ([], [], [])
+        one = table.schema.field("node").type
+        return pa.table([pa.array([band] * len(a), pa.int64()), pa.array([x] * len(a), pa.int32()), pa.array([y] * len(a), pa.int32()), *(pa.array(c, one) for c in (a, b, leader))], ["band", "x", "y", "a", "b", "leader"])
 
-    found = dealt.groupBy("band", "x", "y").applyInArrow(compare, f"a {kind}, b {kind}, node {kind}, component {kind}, share double")
-    found = found.dropDuplicates(["a", "b", "node"]).join(tried, ["a", "b"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("node", "component").orderBy(F.desc("share"), "a", "b"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= per).select("a", "b").distinct()
+    return members.groupBy("band", "x", "y").applyInArrow(compare, f"band long, x int, y int, a {kind}, b {kind}, leader {kind}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,17 +225,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = checkpoint(buckets.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
     links = checkpoint(confirmed(agreement(tried, sigs), docs, id_col, text_col))
 
-    crowd, per = buckets.where("size > 2"), 4
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BUCKET)).cast("int")
+    crowd = buckets.where("size > 2").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    crowd = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "node", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("node") == F.col("head")).alias("done"))
+    leaders = 1
     while True:
         found = components(links)
-        crowd = crowd.select("band", "node", "size").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed_up = crowd.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-        crowd = checkpoint(crowd.join(mixed_up, "band", "left_semi"))  # what is of one component stays so
-        more = checkpoint(open_pairs(crowd.join(sigs, "node").select("band", "node", "component", "n", "sig", "size"), tried, per))
+        crowd = crowd.select("band", "node", "own", "x", "y", "done").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed_up = crowd.groupBy("band", "x", "y").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "x", "y")
+        crowd = checkpoint(crowd.join(mixed_up, ["band", "x", "y"], "left_semi"))  # what is of one component stays so
+        more = checkpoint(open_pairs(crowd.join(sigs, "node"), leaders))
         if more.isEmpty():
             break
-        links = checkpoint(found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).union(confirmed(more, docs, id_col, text_col)))
-        tried, per = checkpoint(tried.union(more)), 32 * per
+        through = more.select("band", "x", "y", F.col("leader").alias("node"), F.lit(True).alias("now")).distinct()
+        crowd = crowd.join(through, ["band", "x", "y", "node"], "left").withColumn("done", F.col("done") | F.coalesce("now", F.lit(False)))
+        fresh = checkpoint(more.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        tried = checkpoint(tried.union(fresh))
+        links = checkpoint(found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).union(confirmed(fresh, docs, id_col, text_col)))
+        leaders *= 8
 
     of_class = classes.join(found, "node", "left").select("n", "f1", "f2", F.coalesce("component", "node").alias("component"))
     out = all_rows.select("doc_id", "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left")
