@@ -192,7 +192,7 @@ def sentence(rng: np.random.Generator) -> tuple[str, set[tuple[str, int, int]]]:
     def value(kind: str) -> str:
         if kind == "email":
             at, dot = pick((" at ", " dot "), (" [at] ", " [dot] "), ("[at]", "[dot]"), ("(at)", "(dot)"), (" (at) ", "."), ("[at]", "."), (" @ ", "."))
-            return f"{word()}{pick('', '.', '_')}{word()}{at}{word()}{dot}{pick('com', 'org', 'net', 'de', 'fr', 'info')}"
+            return f"{word()}{pick('', '.', '_')}{word()}{at}{pick('', word() + dot)}{word()}{dot}{pick('com', 'org', 'net', 'de', 'fr', 'info')}"
         if kind == "ip":
             return pick("[.]", " dot ", "(.)", "[dot]").join(str(x) for x in rng.integers(1, 256, 4))
         if kind == "card":
