@@ -7,7 +7,9 @@ for about five in a million. Equal sets are one class from the start. In a band'
 bucket, members are first compared with the smallest alone; what that leaves in
 different components is compared in further rounds with other members, those first
 that look like the centre of the rest, until no pair of a bucket in different
-components whose signatures could be of similar sets remains unconfirmed. Links are confirmed on whole sets.
+components that could be similar remains unconfirmed. Signatures and lone shingles
+(those in documents of one component alone) tell which pairs could be: lone shingles
+bound the intersection of sets of different components from above. Links are confirmed on whole sets.
 """
 
 from __future__ import annotations
@@ -150,6 +152,33 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     return dealt.mapInArrow(similar, f"a {kind}, b {kind}").distinct()
 
 
+def lone_shingles(sigs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``sigs`` (node, component, n, f1, sig) with ``lone``: how many shingles of a set are in sets of its component alone.
+
+    Sets of different components have none of these in common, also after components have grown.
+    """
+    nodes = sigs.select("node", "component").distinct()
+    if sigs.count() <= BROADCAST_ROWS:
+        nodes = F.broadcast(nodes)
+    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).cast("string").alias("text")).join(nodes, "node")
+    kind = dict(sigs.dtypes)["node"]
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in texts_of(batches):
+            get = lambda c: batch.column(batch.schema.get_field_index(c))
+            for i, s in enumerate(shingle_sets(texts)):
+                if len(s):
+                    of = pa.array(np.full(len(s), i))
+                    f1 = np.full(len(s), s.sum(dtype=np.uint64)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([get("node").take(of), get("component").take(of), pa.array(f1), pa.array(s.view(np.int64))], ["node", "component", "f1", "shingle"])
+
+    key = F.xxhash64("node", "f1")
+    shingles = texts.mapInArrow(explode, f"node {kind}, component {kind}, f1 long, shingle long").select("shingle", "component", key.alias("key"))
+    within = shingles.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo = hi").select("shingle")
+    lone = shingles.select("shingle", "key").join(within, "shingle", "left_semi").groupBy("key").agg(F.count("*").alias("lone"))
+    return sigs.withColumn("key", key).join(lone, "key", "left").withColumn("lone", F.coalesce("lone", F.lit(0))).drop("key")
+
+
 def agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sizes and signatures allow a link."""
     one = sigs.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("ga"))
@@ -170,15 +199,17 @@ def open_pairs(members: DataFrame, leaders: int) -> DataFrame:
     """(band, x, y, a, b, leader): in each bucket, the pairs of up to ``leaders`` members with members of
     other components, those leaders first whose signatures agree with the most others.
 
-    members: band, node, component, n, sig, size, x, y, own and done (was a leader there before). A
+    members: band, node, component, n, lone, sig, bands, x, y, own and done (was a leader there
+    before). A pair that shares several bands is left to the first of them. A
     member that was a leader is through with all others, so each round leaves fewer pairs, and at
     most ``leaders`` rows per member are made. Of a bucket's largest component no two are compared.
     """
     kind = dict(members.dtypes)["node"]
 
     def compare(table: pa.Table) -> pa.Table:
-        own, node, component, n, done = (table.column(c).to_numpy() for c in ("own", "node", "component", "n", "done"))
+        own, node, component, n, lone, done = (table.column(c).to_numpy() for c in ("own", "node", "component", "n", "lone", "done"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
         band, x, y = (table.column(c)[0].as_py() for c in ("band", "x", "y"))
         names, counts = np.unique(component, return_counts=True)
         largest = component == names[counts.argmax()]
@@ -186,7 +217,8 @@ def open_pairs(members: DataFrame, leaders: int) -> DataFrame:
         near: dict[int, list[int]] = {}
         likely = np.zeros(len(node), np.int64)
         for i in rest:
-            open_ = ~done & (component != component[i]) & (100 * np.minimum(n, n[i]) >= NUMERATOR * np.maximum(n, n[i]))
+            both = np.minimum(n - lone, n[i] - lone[i])  # their intersection isn't larger
+            open_ = ~done & (component != component[i]) & (100 * both >= NUMERATOR * (n + n[i] - both))
             # Of two members outside the largest component the first one makes the pair.
             open_ &= largest | (np.arange(len(node)) > i) if x == y else own == y
             j = np.flatnonzero(open_)
@@ -194,7 +226,9 @@ def open_pairs(members: DataFrame, leaders: int) -> DataFrame:
             sure = j[share >= LIKELY]
             likely[i] += len(sure)
             likely[sure] += 1
-            for k in j[share >= LEAST_AGREEMENT].tolist():
+            j = j[share >= LEAST_AGREEMENT]
+            first = bands[i, (bands[j] == bands[i]).argmax(1)] == band
+            for k in j[first].tolist():
                 near.setdefault(int(i), []).append(k)
                 near.setdefault(k, []).append(int(i))
         order = sorted(near, key=lambda i: (-likely[i], -len(near[i]), node[i]))[:leaders]
@@ -206,6 +240,13 @@ def open_pairs(members: DataFrame, leaders: int) -> DataFrame:
     return members.groupBy("band", "x", "y").applyInArrow(compare, f"band long, x int, y int, a {kind}, b {kind}, leader {kind}")
 
 
+def in_question(crowd: DataFrame, found: DataFrame) -> DataFrame:
+    """Members with their component, without the buckets that are of one component: those stay so."""
+    crowd = crowd.select("band", "node", "own", "x", "y", "done").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed_up = crowd.groupBy("band", "x", "y").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "x", "y")
+    return checkpoint(crowd.join(mixed_up, ["band", "x", "y"], "left_semi"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable by links) and kept.
 
@@ -217,9 +258,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     usable = all_rows.where("n > 0 and doc_id is not null")
     classes = checkpoint(usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node")))
     firsts = usable.withColumnRenamed("doc_id", "node").join(classes, ["n", "f1", "f2", "node"], "left_semi").dropDuplicates(["node", "n", "f1", "f2"])
-    sigs = checkpoint(firsts.select("node", "n", "sig", F.expr("transform(bands, (h, i) -> xxhash64(i, h))").alias("bands")))
+    sigs = checkpoint(firsts.select("node", "n", "f1", "sig", F.expr("transform(bands, (h, i) -> xxhash64(i, h))").alias("bands")))
     rows = sigs.select("node", F.explode("bands").alias("band"))
-    sigs = sigs.select("node", "n", "sig")
     heads = rows.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1")
     buckets = checkpoint(rows.join(heads, "band"))  # rows of buckets with company
     tried = checkpoint(buckets.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
@@ -228,13 +268,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BUCKET)).cast("int")
     crowd = buckets.where("size > 2").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     crowd = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "node", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("node") == F.col("head")).alias("done"))
+    found = components(links)
+    crowd = in_question(crowd, found)
+    members = lone_shingles(checkpoint(sigs.join(crowd.select("node", "component").distinct(), "node")), docs, id_col, text_col)
+    members = checkpoint(members.where(100 * (F.col("n") - F.col("lone")) >= NUMERATOR * F.col("n")).drop("f1", "component"))  # others link with none of these
     leaders = 1
     while True:
-        found = components(links)
-        crowd = crowd.select("band", "node", "own", "x", "y", "done").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed_up = crowd.groupBy("band", "x", "y").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "x", "y")
-        crowd = checkpoint(crowd.join(mixed_up, ["band", "x", "y"], "left_semi"))  # what is of one component stays so
-        more = checkpoint(open_pairs(crowd.join(sigs, "node"), leaders))
+        more = checkpoint(open_pairs(crowd.join(members, "node"), leaders))
         if more.isEmpty():
             break
         through = more.select("band", "x", "y", F.col("leader").alias("node"), F.lit(True).alias("now")).distinct()
@@ -242,7 +282,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         fresh = checkpoint(more.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
         tried = checkpoint(tried.union(fresh))
         links = checkpoint(found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).union(confirmed(fresh, docs, id_col, text_col)))
-        leaders *= 8
+        found = components(links)
+        crowd = in_question(crowd, found)
+        leaders *= 32
 
     of_class = classes.join(found, "node", "left").select("n", "f1", "f2", F.coalesce("component", "node").alias("component"))
     out = all_rows.select("doc_id", "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left")
