@@ -239,3 +239,14 @@ def test_deobfuscation(spark):
     assert "idiot" in toxicity.readings("1d10t", model) and "loser" in toxicity.readings("looooser!!", model)
     assert "idiot" in toxicity.spaced("you i d i o t there", model) and "stupid" in toxicity.readings("s.t.u.p.i.d", model)
     assert toxicity.readings("the&&&", model) == ["the"] and toxicity.readings("***", model) == []
+
+
+def test_deobfuscation_has_no_length_limit(spark):
+    model = toxicity.language_model(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    for gap in (" ", "  "):
+        words = toxicity.spaced(gap.join("the" * 100 + "idiot"), model)
+        assert "".join(words).endswith("idiot") and len("".join(words)) >= 300
+    assert "loser" in toxicity.readings("l" + "o" * 60 + "ser", model)
+    chained = "".join(toxicity.readings("s.t.u.p.i.d." * 8, model)[48:])
+    assert chained == "stupid" * 8
+    assert toxicity.readings("@55", model) == list(toxicity.decode("@55", model).split()) != []

@@ -11,6 +11,7 @@ word beginnings that tell toxic from other texts among labelled documents.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import sys
 import zlib
@@ -32,8 +33,8 @@ LEAST_RATIO = 14.0
 PREFIXES = (4, 5, 6)
 SYMBOLS = 28  # boundary, a to z, any other letter
 CACHE_WORDS = 300_000
-#: Longer words aren't written to be read as one word; their letter runs count as words.
-LONGEST = 40
+#: Runs of a character after which decoding sets aside what is settled.
+FLUSH = 64
 
 #: The letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l"}
@@ -86,57 +87,66 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log((counts + 5 * pairs[None]) / (counts.sum(2, keepdims=True) + 5))
 
 
-def lattice(text: str) -> list[list[tuple[str, float]]]:
-    """For each run of a character its readings with their costs."""
-    out = []
+@functools.lru_cache(maxsize=CACHE_WORDS)
+def channel(c: str, n: int) -> tuple[tuple[str, tuple[int, ...], float], ...]:
+    """Readings of a run of ``n`` of a character (3 stands for any more), their symbols and costs."""
+    if c in LEET:
+        out = [(x * k, SIGN * k) for x in LEET[c] for k in ((1,) if n == 1 else (1, 2))] + [("", PUT_IN)]
+    elif c.isalpha():
+        out = [(c, 0.0)] if n == 1 else [(c + c, 0.0), (c, DOUBLED)] if n == 2 else [(c, DRAWN_OUT), (c + c, DRAWN_OUT)]
+    else:
+        out = [("", SEPARATOR), (" ", SPACE)]
+    return tuple((x, tuple(map(symbol, x)), cost) for x, cost in out)
+
+
+def lattice(text: str) -> Iterator[tuple[tuple[str, tuple[int, ...], float], ...]]:
+    """For each run of a character its readings."""
     for m in RUN.finditer(text):
-        c, n = m[1], m.end() - m.start()
-        if c in LEET:
-            out.append([(x * k, SIGN * k) for x in LEET[c] for k in ((1,) if n == 1 else (1, 2))] + [("", PUT_IN)])
-        elif c.isalpha():
-            out.append([(c, 0.0)] if n == 1 else [(c + c, 0.0), (c, DOUBLED)] if n == 2 else [(c, DRAWN_OUT), (c + c, DRAWN_OUT)])
-        else:
-            out.append([("", SEPARATOR), (" ", SPACE)])
-    return out
+        yield channel(m[1], min(m.end() - m.start(), 3))
+    yield ((" ", (0,), 0.0),)
 
 
-def decode(text: str, model: np.ndarray) -> str:
-    """The likeliest reading (Viterbi over the last two symbols; ties go to the smaller text)."""
-    states = {(0, 0): (0.0, "")}
-    for readings in [*lattice(text), [(" ", 0.0)]]:
+def decode(text: str, model: np.ndarray | list) -> str:
+    """The likeliest reading (Viterbi over the last two symbols; ties go to the greater text).
+
+    ``text`` may be of any length: every FLUSH runs, what all states have in common is set aside,
+    which leaves their order as it is.
+    """
+    states, settled = {(0, 0): (0.0, "")}, []
+    for i, readings in enumerate(lattice(text), 1):
         after: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, so_far) in states.items():
-            for letters, cost in readings:
+            for letters, codes, cost in readings:
                 x, y, s = a, b, score + cost
-                for c in letters:
-                    z = symbol(c)
-                    s += model[x, y, z]
+                for z in codes:
+                    s += model[x][y][z]
                     x, y = y, z
                 best = after.get((x, y))
-                if best is None or (s, so_far + letters) > best:
+                if best is None or s > best[0] or s == best[0] and so_far + letters > best[1]:
                     after[x, y] = (s, so_far + letters)
         states = after
-    return max(states.values())[1].strip()
+        if not i % FLUSH:
+            common = os.path.commonprefix([t for _, t in states.values()])
+            settled.append(common)
+            states = {k: (s, t[len(common) :]) for k, (s, t) in states.items()}
+    return ("".join(settled) + max(states.values())[1]).strip()
 
 
 def is_plain(word: str) -> bool:
     return word.isalpha() and all(m.end() - m.start() < 3 for m in RUN.finditer(word))
 
 
-def readings(token: str, model: np.ndarray) -> list[str]:
+def readings(token: str, model: np.ndarray | list) -> list[str]:
     """The words that a token (lower case, no white space) stands for."""
     core = TAIL.sub("", token.strip(EDGE)).strip(EDGE)
     if is_plain(core):
         return [core]
-    runs = LETTERS.findall(core)
-    if not runs or len(core) > LONGEST:
-        return runs
-    return [*runs, *decode(core, model).split()]
+    return [*LETTERS.findall(core), *decode(core, model).split()]
 
 
-def spaced(text: str, model: np.ndarray) -> list[str]:
+def spaced(text: str, model: np.ndarray | list) -> list[str]:
     """Words that are spelt letter by letter in a text (lower case)."""
-    return [w for m in SPACED.finditer(text) for w in decode(m[0][: 4 * LONGEST], model).split()] if text else []
+    return [w for m in SPACED.finditer(text) for w in decode(m[0], model).split()] if text else []
 
 
 def hashed(word: str) -> list[int]:
@@ -149,7 +159,7 @@ class Restored(dict):
     """Features of a token, those in ``wanted`` alone if that is given."""
 
     def __init__(self, model: np.ndarray, wanted: dict[int, int] | None = None):
-        self.model, self.wanted = model, wanted
+        self.model, self.wanted = model.tolist(), wanted  # lists are faster to index
 
     def of_words(self, words: list[str]) -> tuple[int, ...]:
         found = {x for w in words for x in hashed(w)}
