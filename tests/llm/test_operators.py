@@ -250,3 +250,14 @@ def test_deobfuscation_has_no_length_limit(spark):
     chained = "".join(toxicity.readings("s.t.u.p.i.d." * 8, model)[48:])
     assert chained == "stupid" * 8
     assert toxicity.readings("@55", model) == list(toxicity.decode("@55", model).split()) != []
+
+
+def test_packing_encodes_as_the_vocabulary_with_its_defaults(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>y z", "<|endoftext|><|endoftext|> hi", "two  <|endoftext|>\n\n end", "<|endoftext", "é <|endoftext|>\t ß", ""]
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: plain.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+    assert 50256 in want[0]
+    out = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in out} == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}

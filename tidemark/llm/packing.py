@@ -13,6 +13,9 @@ length from counts per partition, and the rank tells the bin and the place.
 from __future__ import annotations
 
 import base64
+import functools
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -56,10 +59,20 @@ class WordIds(dict):
             return np.array(self.encode(text), "<u4").tobytes()
 
 
+@functools.cache
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """The added tokens of a tokenizers .json with their ids; none where there's no such file."""
+    if not os.path.exists(vocabulary):
+        return {}
+    with open(vocabulary, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
+
+
 def encoder(vocabulary: str):
     """Encode function for a vocabulary file: .tiktoken ranks or a tokenizers .json.
 
-    Strings of special tokens in a text count as ordinary text.
+    An added token's string in a text becomes its id, as with tokenizers' defaults; for
+    ranks, the added tokens are those of the .json of the same name.
     """
     if vocabulary.endswith(".tiktoken"):
         import public_tokenizers
@@ -67,11 +80,12 @@ def encoder(vocabulary: str):
 
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        added = added_tokens(vocabulary.removesuffix(".tiktoken") + ".json")
+        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        return lambda text: own.encode(text, allowed_special="all") if any(t in text for t in added) else own.encode_ordinary(text)
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
