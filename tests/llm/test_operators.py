@@ -261,3 +261,14 @@ def test_packing_encodes_as_the_vocabulary_with_its_defaults(spark):
     assert 50256 in want[0]
     out = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
     assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in out} == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
+
+
+def test_minhash_repeated_rows_linked_by_another_than_the_head(spark):
+    base = [f"w{i}" for i in range(400)]
+    rows = [(9, " ".join(base))] * 4
+    for i in range(8):
+        w = list(base)
+        w[i * 50 : i * 50 + 45] = [f"x{i}_{k}" for k in range(45)]
+        rows += [(i, " ".join(w))] * 4
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 36 and {r["component_id"] for r in got} == {0}

@@ -175,7 +175,8 @@ def lone_shingles(sigs: DataFrame, docs: DataFrame, id_col: str, text_col: str)
     key = F.xxhash64("node", "f1")
     shingles = texts.mapInArrow(explode, f"node {kind}, component {kind}, f1 long, shingle long").select("shingle", "component", key.alias("key"))
     within = shingles.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo = hi").select("shingle")
-    lone = shingles.select("shingle", "key").join(within, "shingle", "left_semi").groupBy("key").agg(F.count("*").alias("lone"))
+    # Rows that repeat an id and its set give its shingles again; they count once.
+    lone = shingles.select("shingle", "key").join(within, "shingle", "left_semi").distinct().groupBy("key").agg(F.count("*").alias("lone"))
     return sigs.withColumn("key", key).join(lone, "key", "left").withColumn("lone", F.coalesce("lone", F.lit(0))).drop("key")
 
 
