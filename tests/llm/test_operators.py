@@ -272,3 +272,19 @@ def test_minhash_repeated_rows_linked_by_another_than_the_head(spark):
         rows += [(i, " ".join(w))] * 4
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 36 and {r["component_id"] for r in got} == {0}
+
+
+def test_licences_whole_texts_and_paragraphs(spark):
+    from tidemark.llm import licence_texts
+
+    held = "Copyright (c) 2021 Some One\n\n"
+    rows, want = [], {}
+    for i, (licence, titles, text) in enumerate(licence_texts.WHOLE):
+        rows.append((i, (titles[0] + "\n\n" if titles else "") + held + " ".join(text.split(" "))))
+        want[i] = licence
+    apache = next(t for i, _, t in licence_texts.WHOLE if i == "Apache-2.0")
+    rows += [(100, apache.replace("\n", "\r\n")), (101, "Some prose.\n\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n\nmore")]
+    got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i]["license_id"] for i in want} == want and set(want.values()) >= {"MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "Unlicense", "CC0-1.0"}
+    assert got[100]["license_id"] == "Apache-2.0"
+    assert (got[101]["license_id"], got[101]["n_license_lines"], got[101]["licenses"]) == (None, 0, "Apache-2.0")

@@ -2,9 +2,10 @@
 
 A text is brought to a canonical form (lower case, copyright lines dropped,
 equivalent spellings made one, punctuation and white space reduced to single
-spaces) and hashed. The digests of entire texts, of a document and of each of its
-lines, are hash-joined to the digests of known licence texts and notices. The
-known table is a fixed part of this module, which bounds the broadcast.
+spaces) and hashed. The digests of entire texts, of a document, of each of its
+paragraphs and of each of its lines, are hash-joined to the digests of known licence
+texts and notices. The known table is a fixed part of this package, which bounds the
+broadcast.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import licence_texts
 from tidemark.llm.common import text_key
 
-#: Fixed values: (licence, text) of notices and short licences as they are published.
+#: Fixed values: (licence, text) of notices of one line.
 KNOWN = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -45,6 +47,17 @@ EQUIVALENT = (("licence", "license"), ("sub-license", "sublicense"), ("non-comme
 
 COPYRIGHT_LINE = r"(?m)^[^\n]*(copyright|©|\(c\)) [^\n]*[0-9]{4}[^\n]*$|^[^\n]*all rights reserved[^\n]*$"
 NOT_WORD = r"[^\p{L}\p{N}]+"
+#: What parts paragraphs, and the end of licences that have an appendix.
+BLANK_LINES, END_OF_TERMS = r"\r?\n(?:[ \t\r]*\n)+", "END OF TERMS AND CONDITIONS"
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(licence, text): notices, and licences with and without a title and an appendix."""
+    out = [*KNOWN, *licence_texts.NOTICES]
+    for licence, titles, text in licence_texts.WHOLE:
+        body, end, _ = text.partition(END_OF_TERMS)
+        out += [(licence, f"{title}\n\n{t}") for t in dict.fromkeys((text, body + end)) for title in ("", *titles)]
+    return out
 
 
 def canonical(text: Column) -> Column:
@@ -57,23 +70,25 @@ def canonical(text: Column) -> Column:
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, digest of its canonical text, licence of the whole text (null if none is
-    known), n_license_lines and licenses (ids of its lines, distinct, sorted, comma-joined; empty
-    without any).
+    known), n_license_lines and licenses (ids of its lines and of its paragraphs of several lines,
+    distinct, sorted, comma-joined; empty without any).
 
     Null text counts as empty. Rows of one id and one text get the same result, each its own row.
     ``known`` (license_id, text) replaces the built-in table; it's broadcast, so keep it small.
     """
     spark = docs.sparkSession
-    table = known if known is not None else spark.createDataFrame(list(KNOWN), "license_id string, text string")
+    table = known if known is not None else spark.createDataFrame(known_texts(), "license_id string, text string")
     table = table.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     whole = rows.select("doc_id", text_key().alias("key"), F.sha2(canonical(F.col("text")), 256).alias("digest"))
-    lines = rows.select("doc_id", text_key().alias("key"), F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    part = lambda pattern, is_line: F.transform(F.split("text", pattern), lambda t: F.struct(t.alias("text"), F.lit(is_line).alias("is_line")))
+    several = F.filter(part(BLANK_LINES, False), lambda p: F.trim(p["text"], F.lit(" \t\r\n")).contains("\n"))  # others are lines
+    parts = rows.select("doc_id", text_key().alias("key"), F.explode(F.concat(part("\n", True), several)).alias("part")).where("part.text <> ''")
     hits = (
-        lines.select("doc_id", "key", F.sha2(canonical(F.col("line")), 256).alias("digest"))
+        parts.select("doc_id", "key", F.col("part.is_line").alias("is_line"), F.sha2(canonical(F.col("part.text")), 256).alias("digest"))
         .join(F.broadcast(table), "digest")
         .groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"))
-        .agg(F.count("*").alias("lines"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("licenses"))
+        .agg(F.count_if("is_line").alias("lines"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("licenses"))
     )
     # Rows that repeat an id and its text would count each other's lines: their number tells how often.
     copies = whole.groupBy("doc_id", "key").agg(F.count("*").alias("copies"), F.first("digest").alias("digest"))
