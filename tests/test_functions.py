@@ -70,3 +70,17 @@ def test_events(spark):
     assert found["PRICE_DROP"]["absolute_drop"] == 30000
     assert found["PRICE_DROP"]["dedupe_key"] == "1:PRICE_DROP:494000:464000:2026-01-10"
     assert found["PRICE_DROP"]["percentage_drop"] == 6.07
+
+
+def test_property_candidates_outside_the_block(spark):
+    common = "match_key string, street string, house_number string, postal_code string, city string, property_type string, surface int, bedrooms int"
+    listings = spark.createDataFrame(
+        [(1, "a", "k1", "Kerkstraat", "1", "9000", "Gent", "house", 100, 2, None, None, None, 100.0), (2, "a", None, None, None, None, "Gent", "house", None, None, "+321", None, None, None), (3, "a", None, "Dorpstraat", "7", "8000", "Brugge", "house", 90, 2, None, None, None, None), (4, "a", *[None] * 12)],
+        f"listing_id long, block string, {common}, phone string, title string, description string, price double",
+    )
+    known = spark.createDataFrame(
+        [(11, "b", "k1", None, None, None, None, None, None, None, [], [], [], []), (12, "b", None, None, None, None, "Gent", "flat", None, None, ["+320", "+321"], [], [], []), (13, "b", None, "Dorpstraat", "7", "8000", "Brugge", "house", 90, 2, [], [], [], []), (14, "a", None, "Elders", None, None, None, "flat", None, None, [], [], [], [])],
+        f"property_id long, block string, {common}, phones array<string>, titles array<string>, descriptions array<string>, prices array<double>",
+    )
+    got = {r["listing_id"]: (r["property_id"], r["decision"]) for r in resolution.match_properties(listings, known, ["block"]).collect()}
+    assert got == {1: (11, "match"), 2: (12, "match"), 3: (13, "match"), 4: (None, "none")}

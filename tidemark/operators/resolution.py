@@ -88,15 +88,22 @@ def property_confidence(l: str = "l", c: str = "c") -> Column:  # noqa: E741
 
 
 def match_properties(listings: DataFrame, properties: DataFrame, block: list[str], priority: str = "property_id") -> DataFrame:
-    """(listing_id, property_id, confidence, decision): the best candidate of each listing that shares
-    the block columns; the first by ``priority`` wins ties. Decision: match, review or none.
+    """(listing_id, property_id, confidence, decision): the best candidate of each listing; the first
+    by ``priority`` wins ties. Decision: match, review or none.
 
-    The block columns are an equi-join, so no pair outside a block is ever made.
+    Candidates share the block columns, the match key, postal code with type, or a phone: a
+    distinct union of equi-joins, never an OR that would compare all pairs.
     """
     fields = ("match_key", "street", "house_number", "postal_code", "city", "property_type", "surface", "bedrooms")
-    l = listings.select("listing_id", *block, F.struct(*fields, "phone", "title", "description", "price").alias("l"))  # noqa: E741
-    c = properties.select("property_id", *block, F.struct(*fields, "phones", "titles", "descriptions", "prices").alias("c"))
-    scored = l.join(c, block).select("listing_id", "property_id", property_confidence().alias("confidence"))
+    l = listings.select("listing_id", F.struct(*fields, "phone", "title", "description", "price").alias("l"))  # noqa: E741
+    c = properties.select("property_id", F.struct(*fields, "phones", "titles", "descriptions", "prices").alias("c"))
+    phones = properties.select("property_id", F.explode("phones").alias("phone"))
+    pairs = None
+    for known, keys in ((properties, block), (properties, ["match_key"]), (properties, ["postal_code", "property_type"]), (phones, ["phone"])):
+        if keys:
+            some = listings.select("listing_id", *keys).join(known.select("property_id", *keys), keys).select("listing_id", "property_id")
+            pairs = some if pairs is None else pairs.union(some)
+    scored = pairs.distinct().join(l, "listing_id").join(c, "property_id").select("listing_id", "property_id", property_confidence().alias("confidence"))
     best = scored.groupBy("listing_id").agg(F.min_by(F.struct("property_id", "confidence"), F.struct(-F.col("confidence"), F.col(priority))).alias("b"))
     out = listings.select("listing_id").join(best, "listing_id", "left").select("listing_id", "b.property_id", F.coalesce("b.confidence", F.lit(0.0)).alias("confidence"))
     decision = F.when(F.col("confidence") >= MATCH, "match").when(F.col("confidence") >= REVIEW, "review").otherwise("none")
