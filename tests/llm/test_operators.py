@@ -288,3 +288,11 @@ def test_licences_whole_texts_and_paragraphs(spark):
     assert {i: got[i]["license_id"] for i in want} == want and set(want.values()) >= {"MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "Unlicense", "CC0-1.0"}
     assert got[100]["license_id"] == "Apache-2.0"
     assert (got[101]["license_id"], got[101]["n_license_lines"], got[101]["licenses"]) == (None, 0, "Apache-2.0")
+
+
+def test_pii_long_disguised_addresses():
+    field = pii.trained()
+    for address in ("jan.peeters." * 4 + "jan.peeters1[at]example.org", "jan.p at a dot b dot c dot d dot e dot f dot org"):
+        text = f"write to {address} today"
+        _, every = pii.find(text, field)
+        assert [text[a:b] for _, a, b in every] == [address]

@@ -67,7 +67,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 AT = re.compile(r"\s?[\[({<]\s?(?:at|AT|@)\s?[\])}>]\s?| (?:at|AT) | @ ?|@ ")
-SPELT_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,30}(?:(?:\.|\s?[\[({<]\s?(?:dot|DOT|\.)\s?[\])}>]\s?| (?:dot|DOT) )[A-Za-z0-9-]{1,30}){1,4}")
+SPELT_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,30}(?:(?:\.|\s?[\[({<]\s?(?:dot|DOT|\.)\s?[\])}>]\s?| (?:dot|DOT) )[A-Za-z0-9-]{1,30})+")
 SPELT_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?| dot |\.)[0-9]{1,3}){3}(?![0-9])")
 NUMBER = re.compile(r"(?<![0-9])(?:\(|\b00)?[0-9][0-9 ().\-/–]{5,28}[0-9](?![0-9])")
 WORD_BEFORE = re.compile(r"([^\W\d_]+)[^\w]{0,4}\Z")
@@ -88,8 +88,8 @@ def candidates(text: str) -> list[tuple[int, int]]:
     found: set[tuple[int, int]] = set()
     if "at" in text or "AT" in text or "@" in text:
         for m in AT.finditer(text):
-            left, right = LOCAL_END.search(text, max(0, m.start() - 40), m.start()), SPELT_DOMAIN.match(text, m.end())
-            if left and right:
+            left = LOCAL_END.search(text, max(0, m.start() - LONGEST), m.start())
+            if left and (right := SPELT_DOMAIN.match(text, m.end(), left.start() + LONGEST)):
                 found.add((left.start(), right.end()))
     found |= {m.span() for m in SPELT_IP.finditer(text)}
     for m in NUMBER.finditer(text):
