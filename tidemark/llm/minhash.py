@@ -3,26 +3,29 @@
 A document's set holds its distinct 5-word shingles. Each permutation gives both
 its least and its greatest value, so PERMUTATIONS hash evaluations make twice as
 many signature values; bands of four values link sets of a similarity of 0.75 but
-for about five in a million. Equal sets are one class from the start. In a band's
-bucket, members are first compared with the smallest alone; what that leaves in
-different components is compared in further rounds with other members, those first
-that look like the centre of the rest, until no pair of a bucket in different
-components that could be similar remains unconfirmed. Signatures and lone shingles
-(those in documents of one component alone) tell which pairs could be: lone shingles
-bound the intersection of sets of different components from above. Links are confirmed on whole sets.
+for about five in a million. Rows with the same words in the same order are one
+class, told by the SHA-256 of the words. The members of a band's bucket meet in
+tasks of bounded size: there the signatures choose what is compared, whole sets
+decide, a link is confirmed word for word, and members that are already in one
+component are not compared again, so a task returns links that span its components
+and never its pairs. Bands go by in rounds, and what a round has joined closes
+buckets of the next ones. Buckets beyond one task are dealt out in blocks that
+share some pivots; in the end, what the pivots have left outside a bucket's main
+component is compared with the other blocks.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, components, in_chunks, mixed, run_hashes, texts_of
+from tidemark.llm.common import checkpoint, components, in_chunks, mixed, run_hashes, text_key, texts_of
 
 SHINGLE, PERMUTATIONS, BAND_VALUES, SEED = 5, 64, 4, 13
 BANDS = 2 * PERMUTATIONS // BAND_VALUES
@@ -30,15 +33,15 @@ BANDS = 2 * PERMUTATIONS // BAND_VALUES
 NUMERATOR = 75
 #: A pair whose signatures agree in a smaller share isn't confirmed: five standard deviations under 0.75.
 LEAST_AGREEMENT = 0.56
-#: A pair whose signatures agree this far is probably linked; it only orders the work.
-LIKELY = 0.72
 BLOCK = 8192
-#: Members of a bucket that one task compares at once; larger buckets are dealt out in pairs of blocks.
-BUCKET = 2048
-#: Partners of a document that are compared in one task.
-SHARE = 1024
-#: Pairs that are broadcast to the documents' scan; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Members, and shingles, of a bucket that one task compares; larger buckets are dealt out in blocks.
+BUCKET, BUCKET_SHINGLES = 2048, 1 << 20
+#: Members, about, of a large bucket that are in all of its blocks.
+PIVOTS = 16
+#: Bands of each round: the first ones join most of what is alike.
+ROUNDS = ((0, 2), (2, 8), (8, BANDS))
+#: Rows of members that are broadcast to the candidates' texts; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 @functools.cache
@@ -60,6 +63,21 @@ def byte_classes() -> np.ndarray:
     return out
 
 
+def words_of(text: str) -> list[bytes]:
+    """bytes.lower() and bytes.split() know ASCII alone, as asked."""
+    return text.encode("utf-8", "replace").lower().split()
+
+
+def word_shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
+    if len(words) < SHINGLE:
+        return {tuple(words)} - {()}
+    return set(zip(*(words[k:] for k in range(SHINGLE))))
+
+
+def digest_of(words: list[bytes]) -> bytes:
+    return hashlib.sha256(b" ".join(words)).digest()
+
+
 def shingle_sets(texts: list[str]) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text. bytes.lower() knows ASCII alone, as asked."""
     factors = shingle_factors()
@@ -92,208 +110,172 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.column_stack([least, greatest]).ravel()
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n, f1, f2 (fingerprint of the set), bands (a hash for each) and sig (a byte per value)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def sketches(rows: DataFrame) -> DataFrame:
+    """(doc_id, key, n, digest, bands, sig) of (doc_id, key, text): set size, the class, a hash for each band, a byte per signature value."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = np.random.default_rng(SEED + 2).integers(0, 1 << 63, (BANDS, BAND_VALUES), np.uint64) << np.uint64(1) | np.uint64(1)
         for batch, texts in texts_of(batches):
-            n, f1, f2, bands, sigs = [], [], [], [], []
-            for s in shingle_sets(texts):
+            n, digests, bands, sigs = [], [], [], []
+            for text, s in zip(texts, shingle_sets(texts)):
                 n.append(len(s))
-                f1.append(s.sum(dtype=np.uint64))
-                f2.append(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
                 if len(s):
                     sig = signature(s)
+                    digests.append(digest_of(words_of(text)))
                     bands.append(mixed((mixed(sig.reshape(BANDS, BAND_VALUES)) * factors).sum(1, dtype=np.uint64)).view(np.int64))
                     sigs.append((mixed(sig) & np.uint64(255)).astype(np.uint8).tobytes())
                 else:
-                    bands.append(None), sigs.append(None)
-            u = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), u(f1), u(f2), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "n", "f1", "f2", "bands", "sig"])
+                    digests.append(None), bands.append(None), sigs.append(None)
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "digest", "bands", "sig"])
 
-    return rows.mapInArrow(sketch, f"doc_id {rows.dtypes[0][1]}, n long, f1 long, f2 long, bands array<long>, sig binary")
+    return rows.mapInArrow(sketch, f"doc_id {rows.dtypes[0][1]}, key long, n long, digest binary, bands array<long>, sig binary")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of which 100 * intersection >= NUMERATOR * union, on whole sets.
+def compare(table: pa.Table) -> pa.Table:
+    """Links (a, b) that span the components of one task's members.
 
-    The text of each b goes to its a, with which it's compared as the rows stream by. An ``a``
-    with many partners is dealt out in shares of about SHARE, its text sent to each.
+    Columns: digest, component, n, sig, bands, text, pos, asks, main and strict. If any member asks,
+    only pairs of one that asks and one that doesn't are compared, else all pairs. ``strict`` leaves a
+    pair that meets in an earlier band to that one.
     """
-    kind = dict(pairs.dtypes)["a"]
-    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
-    asked = checkpoint(pairs.select("a", "b").join(shares, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int")).select("a", "share", "b"))
-    wanted = asked.union(asked.select("a", "share", F.col("a").alias("b")).distinct())
-    if asked.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(F.col(id_col).alias("b"), F.col(text_col).cast("string").alias("text")).join(wanted, "b")
-    dealt = texts.withColumn("other", F.col("a") != F.col("b")).repartition("a", "share").sortWithinPartitions("a", "share", "other", "b")
-
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, heads = None, []
-        for batch in batches:
-            get = lambda c: batch.column(batch.schema.get_field_index(c))
-            keep = []
-            for i, (a, share, other, s) in enumerate(zip(get("a").to_pylist(), get("share").to_pylist(), get("other").to_pylist(), shingle_sets([t or "" for t in get("text").to_pylist()]))):
-                if (a, share) != at:
-                    at, heads = (a, share), []
-                if not other:
-                    heads.append(s)
-                    continue
-                for x in heads:
-                    both = len(x) + len(s) - len(np.union1d(x, s))
-                    if 100 * both >= NUMERATOR * (len(x) + len(s) - both):
-                        keep.append(i)
-                        break
-            yield pa.RecordBatch.from_arrays([get(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
-
-    return dealt.mapInArrow(similar, f"a {kind}, b {kind}").distinct()
-
-
-def lone_shingles(sigs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``sigs`` (node, component, n, f1, sig) with ``lone``: how many shingles of a set are in sets of its component alone.
-
-    Sets of different components have none of these in common, also after components have grown.
-    """
-    nodes = sigs.select("node", "component").distinct()
-    if sigs.count() <= BROADCAST_ROWS:
-        nodes = F.broadcast(nodes)
-    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).cast("string").alias("text")).join(nodes, "node")
-    kind = dict(sigs.dtypes)["node"]
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in texts_of(batches):
-            get = lambda c: batch.column(batch.schema.get_field_index(c))
-            for i, s in enumerate(shingle_sets(texts)):
-                if len(s):
-                    of = pa.array(np.full(len(s), i))
-                    f1 = np.full(len(s), s.sum(dtype=np.uint64)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([get("node").take(of), get("component").take(of), pa.array(f1), pa.array(s.view(np.int64))], ["node", "component", "f1", "shingle"])
-
-    key = F.xxhash64("node", "f1")
-    shingles = texts.mapInArrow(explode, f"node {kind}, component {kind}, f1 long, shingle long").select("shingle", "component", key.alias("key"))
-    within = shingles.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo = hi").select("shingle")
-    # Rows that repeat an id and its set give its shingles again; they count once.
-    lone = shingles.select("shingle", "key").join(within, "shingle", "left_semi").distinct().groupBy("key").agg(F.count("*").alias("lone"))
-    return sigs.withColumn("key", key).join(lone, "key", "left").withColumn("lone", F.coalesce("lone", F.lit(0))).drop("key")
-
-
-def agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and signatures allow a link."""
-    one = sigs.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("ga"))
-    two = sigs.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("gb"))
-    both = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= NUMERATOR * F.greatest("na", "nb"))
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            get = lambda c: batch.column(batch.schema.get_field_index(c))
-            rows = [i for i, (x, y) in enumerate(zip(get("ga").to_pylist(), get("gb").to_pylist())) if np.mean(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)) >= LEAST_AGREEMENT]
-            yield pa.RecordBatch.from_arrays([get(c).take(pa.array(rows, pa.int64())) for c in ("a", "b")], ["a", "b"])
-
-    kind = dict(pairs.dtypes)["a"]
-    return both.select("a", "b", "ga", "gb").mapInArrow(alike, f"a {kind}, b {kind}")
-
-
-def open_pairs(members: DataFrame, leaders: int) -> DataFrame:
-    """(band, x, y, a, b, leader): in each bucket, the pairs of up to ``leaders`` members with members of
-    other components, those leaders first whose signatures agree with the most others.
-
-    members: band, node, component, n, lone, sig, bands, x, y, own and done (was a leader there
-    before). A pair that shares several bands is left to the first of them. A
-    member that was a leader is through with all others, so each round leaves fewer pairs, and at
-    most ``leaders`` rows per member are made. Of a bucket's largest component no two are compared.
-    """
-    kind = dict(members.dtypes)["node"]
-
-    def compare(table: pa.Table) -> pa.Table:
-        own, node, component, n, lone, done = (table.column(c).to_numpy() for c in ("own", "node", "component", "n", "lone", "done"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
-        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-        band, x, y = (table.column(c)[0].as_py() for c in ("band", "x", "y"))
-        names, counts = np.unique(component, return_counts=True)
-        largest = component == names[counts.argmax()]
-        rest = np.flatnonzero(~done & ~largest) if x == y else np.flatnonzero(~done & (own == x))
-        near: dict[int, list[int]] = {}
-        likely = np.zeros(len(node), np.int64)
-        for i in rest:
-            both = np.minimum(n - lone, n[i] - lone[i])  # their intersection isn't larger
-            open_ = ~done & (component != component[i]) & (100 * both >= NUMERATOR * (n + n[i] - both))
-            # Of two members outside the largest component the first one makes the pair.
-            open_ &= largest | (np.arange(len(node)) > i) if x == y else own == y
-            j = np.flatnonzero(open_)
+    texts = table.column("text").to_pylist()
+    digests = table.column("digest").to_pylist()
+    # A row that repeats an id with another text isn't this member.
+    right = sorted({d: i for i, (d, t) in enumerate(zip(digests, texts)) if digest_of(words_of(t or "")) == d}.values(), key=digests.__getitem__)
+    table = table.take(pa.array(right, pa.int64()))
+    texts, digests, components_ = [texts[i] or "" for i in right], [digests[i] for i in right], table.column("component").to_pylist()
+    m, links = len(right), []
+    if m > 1:
+        names = {c: k for k, c in enumerate(dict.fromkeys(components_))}
+        root = np.array([names[c] for c in components_])
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(m, -1)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(m, -1)
+        n, asks, main = (table.column(c).to_numpy(zero_copy_only=False) for c in ("n", "asks", "main"))
+        pos, strict = table.column("pos")[0].as_py(), table.column("strict")[0].as_py()
+        sets = list(shingle_sets(texts))
+        common = np.array([np.bincount(c, minlength=256).argmax() for c in sig.T], np.uint8)
+        later = np.ones(m, bool)
+        # The centre first: it joins most.
+        for i in np.argsort(-(sig == common).sum(1), kind="stable"):
+            later[i] = False
+            if asks.any() and not asks[i]:
+                continue
+            open_ = ~asks & (main | (np.arange(m) > i)) if asks[i] else later
+            j = np.flatnonzero(open_ & (root != root[i]) & (100 * np.minimum(n, n[i]) >= NUMERATOR * np.maximum(n, n[i])))
+            if strict and len(j):
+                j = j[(bands[j] == bands[i]).argmax(1) == pos]
             share = (sig[j] == sig[i]).mean(1)
-            sure = j[share >= LIKELY]
-            likely[i] += len(sure)
-            likely[sure] += 1
-            j = j[share >= LEAST_AGREEMENT]
-            first = bands[i, (bands[j] == bands[i]).argmax(1)] == band
-            for k in j[first].tolist():
-                near.setdefault(int(i), []).append(k)
-                near.setdefault(k, []).append(int(i))
-        order = sorted(near, key=lambda i: (-likely[i], -len(near[i]), node[i]))[:leaders]
-        out = {(min(node[i], node[k]), max(node[i], node[k]), node[i]) for i in order for k in near[i]}
-        a, b, leader = list(zip(*sorted(out))) or ([], [], [])
-        one = table.schema.field("node").type
-        return pa.table([pa.array([band] * len(a), pa.int64()), pa.array([x] * len(a), pa.int32()), pa.array([y] * len(a), pa.int32()), *(pa.array(c, one) for c in (a, b, leader))], ["band", "x", "y", "a", "b", "leader"])
-
-    return members.groupBy("band", "x", "y").applyInArrow(compare, f"band long, x int, y int, a {kind}, b {kind}, leader {kind}")
-
-
-def in_question(crowd: DataFrame, found: DataFrame) -> DataFrame:
-    """Members with their component, without the buckets that are of one component: those stay so."""
-    crowd = crowd.select("band", "node", "own", "x", "y", "done").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed_up = crowd.groupBy("band", "x", "y").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "x", "y")
-    return checkpoint(crowd.join(mixed_up, ["band", "x", "y"], "left_semi"))
+            j, share = j[share >= LEAST_AGREEMENT], share[share >= LEAST_AGREEMENT]
+            j = j[np.argsort(-share, kind="stable")]
+            mine = None
+            at, step = 0, 1
+            while at < len(j):
+                some = j[at : at + step]
+                at, step = at + step, min(256, step * 4)
+                some = some[root[some] != root[i]]
+                if not len(some):
+                    continue
+                values = np.concatenate([sets[k] for k in some])
+                place = np.minimum(np.searchsorted(sets[i], values), len(sets[i]) - 1)
+                both = np.add.reduceat(sets[i][place] == values, np.cumsum([0] + [len(sets[k]) for k in some[:-1]]), dtype=np.int64)
+                for k in some[100 * both >= NUMERATOR * (n[i] + n[some] - both)]:
+                    if root[k] == root[i]:
+                        continue
+                    mine = mine or word_shingles(words_of(texts[i]))
+                    other = word_shingles(words_of(texts[k]))
+                    if 100 * len(mine & other) >= NUMERATOR * len(mine | other):
+                        root[root == root[k]] = root[i]
+                        links.append((digests[i], digests[k]))
+    a, b = zip(*links) if links else ((), ())
+    return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+
+def still_open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members, each with its component, of buckets that hold more than one component."""
+    now = members.join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    several = now.groupBy("pos", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("pos", "band")
+    return now.join(several, ["pos", "band"], "left_semi")
+
+
+def joined_links(units: DataFrame, candidates: DataFrame, found: DataFrame) -> DataFrame:
+    """Components of ``found`` with the links within the units: (pos, band, x, y, digest, component, asks, main, strict)."""
+    units = checkpoint(units)
+    few = units.count() <= BROADCAST_ROWS
+    filled = candidates.join(F.broadcast(units) if few else units, "digest")
+    links = filled.groupBy("pos", "band", "x", "y").applyInArrow(compare, "a binary, b binary")
+    before = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    return components(before.union(links))
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, key, n_shingles, component_id, kept), a row for each row of ``docs``; key is ``text_key``."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    all_rows = checkpoint(sketches(rows))
+    usable = all_rows.where("n > 0 and doc_id is not null")
+    # Rows of a class agree in all but their id.
+    classes = checkpoint(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n", "sig", "bands"))))
+    in_bands = classes.select("digest", "n", F.posexplode("bands").alias("pos", "band"))
+    buckets = in_bands.groupBy("pos", "band").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.min("digest").alias("least"), F.bit_xor(F.xxhash64("digest")).alias("print")).where("size > 1")
+    # Of buckets with the same members the first one does for all.
+    buckets = buckets.groupBy("size", "total", "least", "print").agg(F.min(F.struct("pos", "band")).alias("one")).select("one.*", "size", "total")
+    blocks = F.greatest(F.ceil(F.col("size") / BUCKET), F.ceil(F.col("total") / BUCKET_SHINGLES)).cast("int")
+    members = checkpoint(in_bands.select("pos", "band", "digest").join(buckets, ["pos", "band"]).select("pos", "band", "digest", "size", blocks.alias("blocks")))
+    texts = rows.select(F.col("doc_id").alias("node"), "text")
+    candidates = checkpoint(classes.join(members.select("digest").distinct(), "digest", "left_semi").join(texts, "node").drop("node"))
+
+    found = members.select(F.col("digest").alias("node"), F.col("digest").alias("component")).where(F.lit(False))
+    own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+    plain = [F.lit(False).alias("asks"), F.lit(False).alias("main")]
+    for low, high in ROUNDS:
+        crowd = still_open(members.where(F.col("pos").between(low, high - 1)), found)
+        pivot = F.pmod(F.xxhash64("digest", F.lit(SEED)), F.ceil(F.col("size") / PIVOTS)) == 0
+        dealt = crowd.withColumn("y", F.explode(F.when((F.col("blocks") > 1) & pivot, everywhere).otherwise(F.array(own))))
+        found = joined_links(dealt.select("pos", "band", F.lit(0).alias("x"), "y", "digest", "component", *plain, (F.col("blocks") == 1).alias("strict")), candidates, found)
+
+    # In buckets of several blocks, what isn't in the largest component asks the other blocks.
+    crowd = checkpoint(still_open(members.where("blocks > 1"), found).withColumn("own", own))
+    sizes = crowd.groupBy("pos", "band", "component").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("pos", "band").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.sum("c").alias("all"), F.max("c").alias("most"))
+    crowd = crowd.join(largest, ["pos", "band"]).withColumn("main", F.col("component") == F.col("largest"))
+    shares = F.ceil(F.col("blocks") * (F.col("all") - F.col("most")) / F.col("all")).cast("int")
+    crowd = crowd.withColumn("shares", shares)
+    asking = crowd.where("not main").withColumn("x", F.pmod(F.xxhash64("digest", F.lit(SEED + 1)), F.col("shares")).cast("int")).withColumn("y", F.explode(everywhere)).where("y <> own").withColumn("asks", F.lit(True))
+    asked = crowd.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).withColumn("y", F.col("own")).withColumn("asks", F.lit(False))
+    columns = ["pos", "band", "x", "y", "digest", "component", "asks", "main"]
+    found = joined_links(asking.select(columns).union(asked.select(columns)).withColumn("strict", F.lit(True)), candidates, found)
+
+    of_class = classes.select("digest", "node").join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    smallest = of_class.groupBy("component").agg(F.min("node").alias("component_id"))
+    out = all_rows.select("doc_id", "key", "n", "digest").join(of_class.join(smallest, "component").select("digest", "component_id"), "digest", "left")
+    component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable by links) and kept.
 
-    Empty and null texts link with nothing. A row's component is that of its set; rows that
-    repeat an id with another text are judged by their own. A null id links with nothing, has
-    no component and is kept.
+    Empty and null texts, and an empty table, link nothing; very long texts are taken whole.
+    A row's component is that of its own text, also where rows repeat an id with another text;
+    rows repeated whole get the same values. A null id links with nothing, has no component and
+    is kept. Further columns of ``docs``, whatever their names, aren't looked at.
     """
-    all_rows = checkpoint(sketches(docs, id_col, text_col))
-    usable = all_rows.where("n > 0 and doc_id is not null")
-    classes = checkpoint(usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node")))
-    firsts = usable.withColumnRenamed("doc_id", "node").join(classes, ["n", "f1", "f2", "node"], "left_semi").dropDuplicates(["node", "n", "f1", "f2"])
-    sigs = checkpoint(firsts.select("node", "n", "f1", "sig", F.expr("transform(bands, (h, i) -> xxhash64(i, h))").alias("bands")))
-    rows = sigs.select("node", F.explode("bands").alias("band"))
-    heads = rows.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1")
-    buckets = checkpoint(rows.join(heads, "band"))  # rows of buckets with company
-    tried = checkpoint(buckets.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
-    links = checkpoint(confirmed(agreement(tried, sigs), docs, id_col, text_col))
-
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BUCKET)).cast("int")
-    crowd = buckets.where("size > 2").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    crowd = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "node", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("node") == F.col("head")).alias("done"))
-    found = components(links)
-    crowd = in_question(crowd, found)
-    members = lone_shingles(checkpoint(sigs.join(crowd.select("node", "component").distinct(), "node")), docs, id_col, text_col)
-    members = checkpoint(members.where(100 * (F.col("n") - F.col("lone")) >= NUMERATOR * F.col("n")).drop("f1", "component"))  # others link with none of these
-    leaders = 1
-    while True:
-        more = checkpoint(open_pairs(crowd.join(members, "node"), leaders))
-        if more.isEmpty():
-            break
-        through = more.select("band", "x", "y", F.col("leader").alias("node"), F.lit(True).alias("now")).distinct()
-        crowd = crowd.join(through, ["band", "x", "y", "node"], "left").withColumn("done", F.col("done") | F.coalesce("now", F.lit(False)))
-        fresh = checkpoint(more.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        tried = checkpoint(tried.union(fresh))
-        links = checkpoint(found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).union(confirmed(fresh, docs, id_col, text_col)))
-        found = components(links)
-        crowd = in_question(crowd, found)
-        leaders *= 32
-
-    of_class = classes.join(found, "node", "left").select("n", "f1", "f2", F.coalesce("component", "node").alias("component"))
-    out = all_rows.select("doc_id", "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left")
-    component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
+    return groups(docs, id_col, text_col).drop("key")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near-duplicates (the smallest id), columns as they were."""
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """One row of each group of near-duplicates (the smallest id), columns as they were.
+
+    It's decided by row: of rows that share an id, those with another text stay or go by that
+    text. Rows that repeat both id and text leave one, the least by a hash of its other columns.
+    Rows with a null id stay.
+    """
+    judged = checkpoint(groups(docs, id_col, text_col).groupBy("doc_id", "key").agg(F.min("kept").alias("kept"), F.count("*").alias("rows")))
+    marks = judged.where("doc_id is not null and (not kept or rows > 1)").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("kept").alias("_kept"))
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), text_key(text_col).alias("key"))
+    marked = row.join(marks, (F.col("id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left")
+    alone = marked.where("_id is null").select("row.*")
+    hashable = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    again = marked.where("_kept").groupBy("id", "key").agg(F.min_by("row", F.xxhash64(*hashable)).alias("row")).select("row.*")
+    return alone.union(again)
