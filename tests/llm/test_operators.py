@@ -296,3 +296,33 @@ def test_pii_long_disguised_addresses():
         text = f"write to {address} today"
         _, every = pii.find(text, field)
         assert [text[a:b] for _, a, b in every] == [address]
+
+
+def test_minhash_blocks_find_what_one_task_finds(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for k in rng.choice(120, int(rng.integers(1, 7)), replace=False):
+            w[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(w)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(116)} for i, t in rows}
+    head = {i: i for i in sets}
+    for i, j in itertools.combinations(sets, 2):
+        if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and head[i] != head[j]:
+            low, high = sorted((head[i], head[j]))
+            head = {k: low if v == high else v for k, v in head.items()}
+    assert 1 < len(set(head.values())) < 60
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for bucket, shingles, pivots, few in ((2048, 1 << 20, 16, 100_000), (8, 1 << 20, 1, 0), (2048, 1200, 1, 100_000)):
+        for name, value in (("BUCKET", bucket), ("BUCKET_SHINGLES", shingles), ("PIVOTS", pivots), ("BROADCAST_ROWS", few)):
+            monkeypatch.setattr(minhash, name, value)
+        assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(d).collect()} == head
+
+
+def test_minhash_keeps_one_row_of_each_group(spark):
+    a, z, q = (" ".join(f"{x}{i}" for i in range(30)) for x in "azq")
+    d = spark.createDataFrame([(1, a, "en"), (3, a, "en"), (3, z, "en"), (5, q, "en"), (5, q, "fr"), (5, q, "en"), (None, q, "en"), (7, None, "en"), (8, "", "en")], "doc_id long, text string, lang string")
+    got = sorted((str(r[0]), str(r[1])[:1]) for r in minhash.keep_one(d).collect())
+    assert got == sorted([("1", "a"), ("3", "z"), ("5", "q"), ("None", "q"), ("7", "N"), ("8", "")])

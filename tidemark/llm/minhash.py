@@ -29,6 +29,8 @@ from tidemark.llm.common import checkpoint, components, in_chunks, mixed, run_ha
 
 SHINGLE, PERMUTATIONS, BAND_VALUES, SEED = 5, 64, 4, 13
 BANDS = 2 * PERMUTATIONS // BAND_VALUES
+#: The low bits of a band's hash are its number.
+LOW = np.uint64(BANDS - 1)
 #: Similarity of a link: NUMERATOR of 100.
 NUMERATOR = 75
 #: A pair whose signatures agree in a smaller share isn't confirmed: five standard deviations under 0.75.
@@ -41,7 +43,7 @@ PIVOTS = 16
 #: Bands of each round: the first ones join most of what is alike.
 ROUNDS = ((0, 2), (2, 8), (8, BANDS))
 #: Rows of members that are broadcast to the candidates' texts; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 
 
 @functools.cache
@@ -75,7 +77,8 @@ def word_shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
 
 
 def digest_of(words: list[bytes]) -> bytes:
-    return hashlib.sha256(b" ".join(words)).digest()
+    """128 bits of the SHA-256 of the words."""
+    return hashlib.sha256(b" ".join(words)).digest()[:16]
 
 
 def shingle_sets(texts: list[str]) -> Iterator[np.ndarray]:
@@ -122,7 +125,8 @@ def sketches(rows: DataFrame) -> DataFrame:
                 if len(s):
                     sig = signature(s)
                     digests.append(digest_of(words_of(text)))
-                    bands.append(mixed((mixed(sig.reshape(BANDS, BAND_VALUES)) * factors).sum(1, dtype=np.uint64)).view(np.int64))
+                    hashes = mixed((mixed(sig.reshape(BANDS, BAND_VALUES)) * factors).sum(1, dtype=np.uint64))
+                    bands.append(((hashes & ~LOW) | np.arange(BANDS, dtype=np.uint64)).view(np.int64))
                     sigs.append((mixed(sig) & np.uint64(255)).astype(np.uint8).tobytes())
                 else:
                     digests.append(None), bands.append(None), sigs.append(None)
@@ -135,24 +139,20 @@ def sketches(rows: DataFrame) -> DataFrame:
 def compare(table: pa.Table) -> pa.Table:
     """Links (a, b) that span the components of one task's members.
 
-    Columns: digest, component, n, sig, bands, text, pos, asks, main and strict. If any member asks,
+    Columns: digest, component, n, sig, bands, text, band, asks, main and strict. If any member asks,
     only pairs of one that asks and one that doesn't are compared, else all pairs. ``strict`` leaves a
     pair that meets in an earlier band to that one.
     """
-    texts = table.column("text").to_pylist()
-    digests = table.column("digest").to_pylist()
-    # A row that repeats an id with another text isn't this member.
-    right = sorted({d: i for i, (d, t) in enumerate(zip(digests, texts)) if digest_of(words_of(t or "")) == d}.values(), key=digests.__getitem__)
-    table = table.take(pa.array(right, pa.int64()))
-    texts, digests, components_ = [texts[i] or "" for i in right], [digests[i] for i in right], table.column("component").to_pylist()
-    m, links = len(right), []
+    table = table.sort_by("digest")
+    texts, digests, components_ = (table.column(c).to_pylist() for c in ("text", "digest", "component"))
+    m, links = len(texts), []
     if m > 1:
         names = {c: k for k, c in enumerate(dict.fromkeys(components_))}
         root = np.array([names[c] for c in components_])
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(m, -1)
         bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(m, -1)
         n, asks, main = (table.column(c).to_numpy(zero_copy_only=False) for c in ("n", "asks", "main"))
-        pos, strict = table.column("pos")[0].as_py(), table.column("strict")[0].as_py()
+        pos, strict = table.column("band")[0].as_py() & int(LOW), table.column("strict")[0].as_py()
         sets = list(shingle_sets(texts))
         common = np.array([np.bincount(c, minlength=256).argmax() for c in sig.T], np.uint8)
         later = np.ones(m, bool)
@@ -194,16 +194,16 @@ def compare(table: pa.Table) -> pa.Table:
 def still_open(members: DataFrame, found: DataFrame) -> DataFrame:
     """The members, each with its component, of buckets that hold more than one component."""
     now = members.join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    several = now.groupBy("pos", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("pos", "band")
-    return now.join(several, ["pos", "band"], "left_semi")
+    several = now.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
+    return now.join(several, "band", "left_semi")
 
 
 def joined_links(units: DataFrame, candidates: DataFrame, found: DataFrame) -> DataFrame:
-    """Components of ``found`` with the links within the units: (pos, band, x, y, digest, component, asks, main, strict)."""
+    """Components of ``found`` with the links within the units: (band, x, y, digest, component, asks, main, strict)."""
     units = checkpoint(units)
     few = units.count() <= BROADCAST_ROWS
     filled = candidates.join(F.broadcast(units) if few else units, "digest")
-    links = filled.groupBy("pos", "band", "x", "y").applyInArrow(compare, "a binary, b binary")
+    links = filled.groupBy("band", "x", "y").applyInArrow(compare, "a binary, b binary")
     before = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
     return components(before.union(links))
 
@@ -214,15 +214,22 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     all_rows = checkpoint(sketches(rows))
     usable = all_rows.where("n > 0 and doc_id is not null")
     # Rows of a class agree in all but their id.
-    classes = checkpoint(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n", "sig", "bands"))))
-    in_bands = classes.select("digest", "n", F.posexplode("bands").alias("pos", "band"))
-    buckets = in_bands.groupBy("pos", "band").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.min("digest").alias("least"), F.bit_xor(F.xxhash64("digest")).alias("print")).where("size > 1")
+    classes = checkpoint(usable.groupBy("digest").agg(F.min(F.struct("doc_id", "key")).alias("one"), *(F.first(c).alias(c) for c in ("n", "sig", "bands"))).select("digest", F.col("one.doc_id").alias("node"), F.col("one.key").alias("key"), "n", "sig", "bands"))
+    in_bands = classes.select("digest", F.explode("bands").alias("band"))
+    prints = (F.bit_xor(F.xxhash64("digest")).alias("print"), F.bit_xor(F.xxhash64("digest", F.lit(SEED))).alias("print2"))
+    buckets = in_bands.groupBy("band").agg(F.count("*").alias("size"), *prints).where("size > 1")
     # Of buckets with the same members the first one does for all.
-    buckets = buckets.groupBy("size", "total", "least", "print").agg(F.min(F.struct("pos", "band")).alias("one")).select("one.*", "size", "total")
-    blocks = F.greatest(F.ceil(F.col("size") / BUCKET), F.ceil(F.col("total") / BUCKET_SHINGLES)).cast("int")
-    members = checkpoint(in_bands.select("pos", "band", "digest").join(buckets, ["pos", "band"]).select("pos", "band", "digest", "size", blocks.alias("blocks")))
-    texts = rows.select(F.col("doc_id").alias("node"), "text")
-    candidates = checkpoint(classes.join(members.select("digest").distinct(), "digest", "left_semi").join(texts, "node").drop("node"))
+    pos = F.col("band").bitwiseAND(BANDS - 1)
+    buckets = buckets.groupBy("size", "print", "print2").agg(F.min_by("band", pos).alias("band")).select("band", "size")
+    members = checkpoint(in_bands.join(buckets, "band"))
+    totals = members.join(classes.select("digest", "n"), "digest").groupBy("band").agg(F.sum("n").alias("total")).where(F.col("total") > BUCKET_SHINGLES)
+    blocks = F.greatest(F.ceil(F.col("size") / BUCKET), F.ceil(F.coalesce("total", F.lit(1)) / BUCKET_SHINGLES)).cast("int")
+    members = checkpoint(members.join(totals, "band", "left").select("band", "digest", "size", pos.alias("pos"), blocks.alias("blocks")))
+    in_company = checkpoint(classes.join(members.select("digest").distinct(), "digest", "left_semi"))
+    ids = in_company.select("node", "key")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    texts = rows.withColumnRenamed("doc_id", "node").join(ids, ["node", "key"], "left_semi").groupBy("node", "key").agg(F.first("text").alias("text"))
+    candidates = checkpoint(in_company.join(texts, ["node", "key"]).drop("node", "key"))
 
     found = members.select(F.col("digest").alias("node"), F.col("digest").alias("component")).where(F.lit(False))
     own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
@@ -232,18 +239,18 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         crowd = still_open(members.where(F.col("pos").between(low, high - 1)), found)
         pivot = F.pmod(F.xxhash64("digest", F.lit(SEED)), F.ceil(F.col("size") / PIVOTS)) == 0
         dealt = crowd.withColumn("y", F.explode(F.when((F.col("blocks") > 1) & pivot, everywhere).otherwise(F.array(own))))
-        found = joined_links(dealt.select("pos", "band", F.lit(0).alias("x"), "y", "digest", "component", *plain, (F.col("blocks") == 1).alias("strict")), candidates, found)
+        found = joined_links(dealt.select("band", F.lit(0).alias("x"), "y", "digest", "component", *plain, (F.col("blocks") == 1).alias("strict")), candidates, found)
 
     # In buckets of several blocks, what isn't in the largest component asks the other blocks.
     crowd = checkpoint(still_open(members.where("blocks > 1"), found).withColumn("own", own))
-    sizes = crowd.groupBy("pos", "band", "component").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy("pos", "band").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.sum("c").alias("all"), F.max("c").alias("most"))
-    crowd = crowd.join(largest, ["pos", "band"]).withColumn("main", F.col("component") == F.col("largest"))
+    sizes = crowd.groupBy("band", "component").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("band").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.sum("c").alias("all"), F.max("c").alias("most"))
+    crowd = crowd.join(largest, "band").withColumn("main", F.col("component") == F.col("largest"))
     shares = F.ceil(F.col("blocks") * (F.col("all") - F.col("most")) / F.col("all")).cast("int")
     crowd = crowd.withColumn("shares", shares)
     asking = crowd.where("not main").withColumn("x", F.pmod(F.xxhash64("digest", F.lit(SEED + 1)), F.col("shares")).cast("int")).withColumn("y", F.explode(everywhere)).where("y <> own").withColumn("asks", F.lit(True))
     asked = crowd.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).withColumn("y", F.col("own")).withColumn("asks", F.lit(False))
-    columns = ["pos", "band", "x", "y", "digest", "component", "asks", "main"]
+    columns = ["band", "x", "y", "digest", "component", "asks", "main"]
     found = joined_links(asking.select(columns).union(asked.select(columns)).withColumn("strict", F.lit(True)), candidates, found)
 
     of_class = classes.select("digest", "node").join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
