@@ -79,13 +79,21 @@ def test_substrings(docs, nothing, monkeypatch):
             if seen[b[p : p + length]] > 1:
                 gone[p : p + length] = True
         want.append((str(i), int(gone.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
-    for group in (substrings.GROUP, 1):
+    for group, few in ((substrings.GROUP, 100_000), (3, 100_000), (1, 0)):
         monkeypatch.setattr(substrings, "GROUP", group)
+        monkeypatch.setattr(substrings, "BROADCAST_GROUPS", few)
         got = [(str(r["doc_id"]), r["n_removed"], r["kept_sha256"]) for r in substrings.remove_repeated(docs, length).collect()]
         assert sorted(got) == sorted(want)
     assert substrings.remove_repeated(nothing).count() == 0
 
 
+def test_substring_segments_cover_every_string_once(monkeypatch):
+    text = bytes(RNG.integers(97, 101, 40_000, np.uint8))
+    monkeypatch.setattr(substrings, "SEGMENT", 4096)
+    starts = [int(a) + k for _, _, _, _, start, n, place in substrings.runs_of([text], 60) for a, m, p in zip(start, n, place) if a <= p for k in range(int(m))]
+    assert sorted(starts) == list(range(len(text) - 59))
+
+
 def test_deep_shallow_sort():
     for _ in range(200):
         strings = [bytes(RNG.integers(97, 99, int(RNG.integers(0, 120)))) if RNG.random() < 0.5 else b"ab" * int(RNG.integers(0, 70)) for _ in range(9)]

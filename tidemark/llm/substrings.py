@@ -3,16 +3,18 @@
 Every 400-byte string is represented by its minimizer, the least hash of its
 32-byte grams, so equal strings have the same minimizer at the same place. The
 consecutive strings of a document that share a minimizer are a run; its row holds
-the minimizer's hash and a fingerprint of the run's bytes. Runs equal to another
+the minimizer's hash and a BLAKE2 digest of the run's bytes. Runs equal to another
 are repeated as a whole, runs whose minimizer stands nowhere else are not repeated
 at all, and only the rest, where copies begin, end or differ, ship their bytes:
 once for each different run. In a group of one minimizer, the suffixes that start
 there are sorted deep-shallow (multikey quicksort to SHALLOW bytes, blind tries for
 what is still equal), as are the reversed bytes before it. Merging neighbours by
 falling common prefix, and within a merged set looking at the neighbours by common
-text before, gives each run's repeated strings without comparing all pairs. Groups
-of more than GROUP different runs are judged by a fingerprint of each string instead,
-which Spark counts, so no group has to fit in a task.
+text before, gives each run's repeated strings without comparing all pairs. A group
+of more than GROUP different runs is first split the same way over Spark's keys: what
+all its runs have in common, before and after, is judged at once, and runs that can
+share more meet again under a longer prefix of the bytes after or before, until a
+group fits one task.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ LENGTH, GRAM, SHALLOW = 400, 32, 64
 #: Bits of a gram's place in a chunk; the higher bits of its hash decide.
 PLACE_BITS = 22
 GROUP = 4096
+#: Keys and lengths of groups that are broadcast; more are joined by a shuffle.
+BROADCAST_GROUPS = 100_000
 SEGMENT = 1 << 21
 
 
@@ -47,7 +51,7 @@ def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, minimizer hash, two fingerprints, first string's start, strings, minimizer's place) of the runs."""
+    """(text, minimizer hash, digest in two halves, first string's start, strings, minimizer's place) of the runs."""
     for at, chunk in in_chunks(texts):
         if len(chunk) == 1 and len(chunk[0]) > SEGMENT:
             # A very long text: segments that share no string.
@@ -76,9 +80,10 @@ def runs_of(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarr
         a, p, t = start[heads], place[heads], of[heads]
         b = a + n + length - 1
         shape = n.astype(np.uint64) << np.uint64(32) | (p - a).astype(np.uint64)
-        two, inverse2 = prefix_sums(data, 1)
-        f1 = mixed((sums[b] - sums[a]) * inverse[a] + mixed(shape))
-        f2 = mixed((two[b] - two[a]) * inverse2[a] + mixed(shape + np.uint64(1)))
+        whole_text = data.tobytes()
+        digests = b"".join([hashlib.blake2b(whole_text[x:y], digest_size=16).digest() for x, y in zip(a.tolist(), b.tolist())])
+        f1, f2 = np.frombuffer(digests, np.uint64).reshape(-1, 2).T
+        f1 = f1 ^ mixed(shape)
         base = ends[t] - np.array([len(x) for x in chunk])[t]
         yield t + at, grams[p], f1, f2, a - base, n, p - base
 
@@ -244,30 +249,8 @@ def bytes_of_runs(joined: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(cut, f"h long, single boolean, doc_id {kind}, key long, place int, before binary, after binary")
 
 
-def strings_of_runs(joined: DataFrame, length: int) -> DataFrame:
-    """(h, d, w1, w2, single, doc_id, key, start): a fingerprint for each string of the runs."""
-    kind = dict(joined.dtypes)["doc_id"]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, key = batch.column(0), batch.column(1)
-            for i in range(batch.num_rows):
-                text = np.frombuffer((batch.column(2)[i].as_py() or "").encode("utf-8", "replace"), np.uint8)
-                for r in batch.column(3)[i].as_py():
-                    a, n = r["start"], r["n"]
-                    part = text[a : a + n - 1 + length]
-                    w = []
-                    for which in (0, 1):
-                        sums, inverse = prefix_sums(part, which)
-                        w.append(mixed((sums[length:] - sums[:-length]) * inverse[:n]).view(np.int64))
-                    starts, at = np.arange(a, a + n, dtype=np.int32), pa.array([i] * n)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["h"])), pa.array(r["place"] - starts), pa.array(w[0]), pa.array(w[1]), pa.array(np.full(n, r["single"])), doc.take(at), key.take(at), pa.array(starts)], ["h", "d", "w1", "w2", "single", "doc_id", "key", "start"])
-
-    return joined.mapInArrow(cut, f"h long, d int, w1 long, w2 long, single boolean, doc_id {kind}, key long, start int")
-
-
 def group_spans(shipped: DataFrame, length: int) -> DataFrame:
-    """(doc_id, key, a, b) of bytes that strings shared within a minimizer's group cover; sorted by h."""
+    """(doc_id, key, a, b) of bytes that strings shared within a group cover; ``shipped`` is sorted by it."""
     kind = dict(shipped.dtypes)["doc_id"]
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,6 +282,38 @@ def group_spans(shipped: DataFrame, length: int) -> DataFrame:
     return shipped.mapInArrow(solve, f"doc_id {kind}, key long, a int, b int")
 
 
+def split_groups(crowd: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(spans, groups that fit a task) of groups of more than GROUP runs, by prefixes of their bytes.
+
+    All runs of a group share some bytes P after the minimizer and Q before it. Two of its runs that
+    share a string share P + s after or Q + s before, where s is half of what P + Q lacks of the
+    length; so each run goes on in at most two smaller groups.
+    """
+    spans, fitting = [], []
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, a, b, c, d = (x.to_pylist() for x in batch.columns)
+            after, before = [common(x, y) for x, y in zip(a, b)], [common(x, y) for x, y in zip(c, d)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(after, pa.int32()), pa.array(before, pa.int32())], ["of", "p", "q"])
+
+    while not crowd.isEmpty():
+        ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("after", "before") for f in (F.min, F.max)]
+        shared = checkpoint(crowd.groupBy(F.col("h").alias("of")).agg(*ends).mapInArrow(reach, "of long, p int, q int"))
+        shared = F.broadcast(shared) if shared.count() <= BROADCAST_GROUPS else shared
+        held = checkpoint(crowd.join(shared, F.col("h") == F.col("of")))
+        spans.append(held.where((F.col("p") + F.col("q") >= length) & F.col("single")).select("doc_id", "key", (F.col("place") - F.col("q")).alias("a"), (F.col("place") + F.col("p")).alias("b")))
+        step = F.greatest(F.lit(1), F.ceil((length - F.col("p") - F.col("q")) / 2)).cast("int")
+        longer = [held.where(F.octet_length(c) >= F.col(k) + step).withColumn("h", F.xxhash64("h", F.lit(c), F.substring(F.col(c), F.lit(1), F.col(k) + step))) for c, k in (("after", "p"), ("before", "q"))]
+        parts = checkpoint(longer[0].union(longer[1]).drop("of", "p", "q"))
+        sizes = checkpoint(parts.groupBy(F.col("h").alias("of")).agg(F.count("*").alias("g")).where("g > 1"))
+        sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_GROUPS else sizes
+        sized = parts.join(sizes, F.col("h") == F.col("of")).drop("of")
+        fitting.append(sized.where(F.col("g") <= GROUP).drop("g"))
+        crowd = checkpoint(sized.where(F.col("g") > GROUP).drop("g"))
+    return spans, fitting
+
+
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, key, a, b): bytes covered by a string of ``length`` bytes that also starts elsewhere."""
     runs = checkpoint(run_rows(rows, length))
@@ -310,23 +325,28 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
     asked = checkpoint(kinds.join(sizes, "h").select("h", (F.col("c") == 1).alias("single"), "g", "one.*"))
 
-    def with_text(some: DataFrame) -> DataFrame:
+    def with_bytes(some: DataFrame) -> DataFrame:
         by_doc = some.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_list(F.struct("h", "single", "start", "n", "place")).alias("runs"))
-        return rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("doc_id", "key", "text", "runs")
+        held = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("doc_id", "key", "text", "runs")
+        return bytes_of_runs(held, length)
 
-    shipped = bytes_of_runs(with_text(asked.where(F.col("g") <= GROUP)), length).repartition("h").sortWithinPartitions("h")
-    partly = group_spans(shipped, length)
-    strings = strings_of_runs(with_text(asked.where(F.col("g") > GROUP)), length)
-    twice = strings.groupBy("h", "d", "w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("h", "d", "w1", "w2")
-    crowded = strings.where("single").join(twice, ["h", "d", "w1", "w2"], "left_semi").select("doc_id", "key", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
-    return copied.union(partly).union(crowded)
+    spans, fitting = split_groups(checkpoint(with_bytes(asked.where(F.col("g") > GROUP))), length)
+    shipped = with_bytes(asked.where(F.col("g") <= GROUP))
+    for more in fitting:
+        shipped = shipped.union(more.select(shipped.columns))
+    spans.append(group_spans(shipped.repartition("h").sortWithinPartitions("h"), length))
+    for some in spans:
+        copied = copied.union(some)
+    return copied
 
 
 def remove_repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that remain).
 
-    Null text counts as empty. Rows of one id and one text are repeats of each other. What
-    remains may not be valid UTF-8, so it's returned as bytes.
+    Null text counts as empty; an empty table gives an empty result; very long texts are taken whole,
+    in segments. Rows of one id and one text are repeats of each other; a null id is a document like
+    others. Further columns, whatever their names, aren't looked at. What remains may not be valid
+    UTF-8, so it's returned as bytes.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spans = repeated_spans(rows, length).groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
