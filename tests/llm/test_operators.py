@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import public_tokenizers
 from tidemark.llm import decontaminate, embeddings, langid, licences, minhash, packing, pii, quality, substrings, toxicity
@@ -38,8 +39,9 @@ def labels(spark):
 
 
 def test_packing(spark, docs, nothing):
-    out = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
-    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    out = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = lambda text: plain.encode(text, add_special_tokens=False).ids
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     bins = {}
     for r in out:
@@ -52,17 +54,17 @@ def test_packing(spark, docs, nothing):
             assert offset == at
             at += length
         assert at <= 1024
-    assert packing.pack(nothing, public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
+    assert packing.pack(nothing, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
 def test_bins_are_full_where_they_can_be():
     assert packing.fullest({5: 2, 3: 1, 7: 1}, 8) == {5: 1, 3: 1}
     plan = packing.plan_bins({600: 3, 424: 2, 400: 1, 24: 1}, 1024)
     assert sum(n for _, n in plan) == 3
-    words = packing.WordIds(packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken")))
-    other = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    for t in ("a  b", "a \n b", " lead", "trail ", "it's 12,5 €", "<|endoftext|>", " x 　y", ""):
-        assert np.frombuffer(words.text(t), "<u4").tolist() == list(other(t)), t
+    words = packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a  b", "a \n b", " lead", "trail ", "it's 12,5 €", "<|endoftext|>", " x \u3000y", "", "a b", "b a"]
+    for t, ids in zip(texts, words.texts(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
 def test_substrings(docs, nothing, monkeypatch):
@@ -261,13 +263,11 @@ def test_deobfuscation_has_no_length_limit(spark):
 
 
 def test_packing_encodes_as_the_vocabulary_with_its_defaults(spark):
-    from tokenizers import Tokenizer
-
     texts = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>y z", "<|endoftext|><|endoftext|> hi", "two  <|endoftext|>\n\n end", "<|endoftext", "é <|endoftext|>\t ß", ""]
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = {i: plain.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
     assert 50256 in want[0]
-    out = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    out = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json")).collect()
     assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in out} == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
 
 
@@ -334,3 +334,35 @@ def test_minhash_keeps_one_row_of_each_group(spark):
     d = spark.createDataFrame([(1, a, "en"), (3, a, "en"), (3, z, "en"), (5, q, "en"), (5, q, "fr"), (5, q, "en"), (None, q, "en"), (7, None, "en"), (8, "", "en")], "doc_id long, text string, lang string")
     got = sorted((str(r[0]), str(r[1])[:1]) for r in minhash.keep_one(d).collect())
     assert got == sorted([("1", "a"), ("3", "z"), ("5", "q"), ("None", "q"), ("7", "N"), ("8", "")])
+
+
+def test_decontamination_without_broadcast_and_by_row(spark, docs, monkeypatch):
+    bench = spark.createDataFrame([(1, " ".join(PROSE[5].split()[10:40])), (2, "one"), (4, PROSE[2][:100].upper())], "item_id long, text string")
+    want = sorted(str(r) for r in decontaminate.contamination(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    assert sorted(str(r) for r in decontaminate.contamination(docs, bench).collect()) == want
+    d = spark.createDataFrame([(1, PROSE[5]), (1, PROSE[7]), (2, "one"), (None, PROSE[5])], "doc_id long, text string")
+    assert sorted(str(r[1])[:9] for r in decontaminate.keep_clean(d, bench).collect()) == sorted([PROSE[7][:9], PROSE[5][:9]])
+
+
+def test_labelled_sample_takes_one_row_of_an_id(spark, docs):
+    from tidemark.llm.common import labelled_sample
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    twice = docs.union(docs.withColumn("text", F.lit("other words")))
+    got = [r["id"] for r in labelled_sample(twice, labels, "quality", 5, 5, 0).collect()]
+    assert len(got) == len(set(got)) == 5
+
+
+def test_pii_secrets_cues_and_number_boundaries():
+    field = pii.trained()
+    for text, want in (
+        ('le token = "11acdf0b9c2e4f6a8b7d1234567890abcdef1234" est', ("secret", "11acdf0b9c2e4f6a8b7d1234567890abcdef1234")),
+        ("llame 1 (663) 555-6869 hoy", ("phone", "1 (663) 555-6869")),
+        ("téléphone: 663-555-6869, merci", ("phone", "663-555-6869")),
+    ):
+        _, every = pii.find(text, field)
+        assert [(k, text[a:b]) for k, a, b in every] == [want]
+    assert pii.find("see words/of/a_path_12/to_files and some-long-hyphen-name-2019", field) == ([], [])
+    text = "a@b.cd " * 3000 + "1 2 3 4 5 6 7 8 9 " * 3000
+    assert len(pii.find(text, field)[0]) == 3000

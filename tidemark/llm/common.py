@@ -47,7 +47,8 @@ def labelled_sample(
 
     The rows with the smallest hash of their id are taken, so the sample doesn't
     depend on partitioning. It's broadcast: ``limit`` bounds its size. Conflicting
-    labels of one id count as the larger one; null ids and labels are left out.
+    labels of one id count as the larger one; of several rows of one id the text with
+    the smallest hash counts; null ids and labels are left out.
     """
     chosen = (
         labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y"))
@@ -58,7 +59,7 @@ def labelled_sample(
         .limit(limit)
     )
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(F.broadcast(chosen), F.col("id") == F.col("_id")).select("id", "text", "y")
+    return rows.join(F.broadcast(chosen), F.col("id") == F.col("_id")).groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("id", "text", "y")
 
 
 def texts_of(batches: Iterator[pa.RecordBatch], name: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:

@@ -1,11 +1,10 @@
 """Benchmark decontamination as a prefix-filtered set join, with DataFrame functions only.
 
 A window (13 consecutive words of an item, or the whole of a shorter item) is a
-set of 5-word shingles. Shingles are ordered by rarity in the documents; a window
-can only occur where its rarest shingle, its necessary prefix, does, so only that
-one is joined. The shingle's place in the window and the document's length bound
-where the window may start, and the window is verified by the exact shingles that
-cover it, word for word.
+set of 5-word shingles. Shingles are counted and ordered by rarity in the documents;
+a window can only occur where its rarest shingle, its necessary prefix, does, so only
+that one is joined. The shingle's place in the window and the document's length bound
+where the window may start, and there the window is verified word for word.
 """
 
 from __future__ import annotations
@@ -39,20 +38,27 @@ def hashed(columns: list[Column]) -> Column:
     return F.xxhash64(*columns)
 
 
-def doc_shingles(rows: DataFrame, size: int) -> DataFrame:
-    """(doc_id, key, pos, shingle hash, w0 ...): every place of every document."""
+def doc_shingles(rows: DataFrame, size: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, key, n_words, pos, s, h) and ``carry``: words and hash of the shingle at every place of every document."""
     parts = [F.slice("w", k + 1, F.greatest(F.size("w") - k, F.lit(0))).alias(f"w{k}") for k in range(size)]
     long_enough = rows.where(F.size("w") >= size)
-    places = long_enough.select("doc_id", "key", "n_words", F.posexplode(F.arrays_zip(*parts)).alias("pos", "s"))
-    return places.where(F.col(f"s.w{size - 1}").isNotNull()).select("doc_id", "key", "n_words", "pos", "s", hashed([F.col(f"s.w{k}") for k in range(size)]).alias("h"))
+    places = long_enough.select("doc_id", "key", "n_words", *carry, F.posexplode(F.arrays_zip(*parts)).alias("pos", "s"))
+    return places.where(F.col(f"s.w{size - 1}").isNotNull()).select("doc_id", "key", "n_words", *carry, "pos", "s", hashed([F.col(f"s.w{k}") for k in range(size)]).alias("h"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A null text has no words and isn't contaminated, nor is any text if the benchmark
-    is empty. Rows of one id and one text get the same result, each its own row.
+    is empty; an empty table gives an empty result. Very long texts are taken whole. Rows of
+    one id and one text get the same result, each its own row; a null id is a document like
+    others. Further columns, whatever their names, aren't looked at.
     """
+    return judged(docs, benchmark, window, shingle, id_col, text_col, item_col).drop("key")
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """``contamination`` with ``key``, which tells apart rows that share an id."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("key"), words(F.col(text_col)).alias("w")).withColumn("n_words", F.size("w").cast("long"))
     wins = windows(benchmark, window, item_col, "text" if "text" in benchmark.columns else text_col).withColumn("len", F.size("words"))
     texts = checkpoint(wins.groupBy("text").agg(F.first("words").alias("words"), F.first("len").alias("len")))
@@ -65,29 +71,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         parts = of_size.select("text", "len", F.posexplode(F.transform(offsets, lambda o: F.slice("words", o + 1, size))).alias("offset", "sw"))
         parts = checkpoint(parts.select("text", "len", "offset", F.array_join("sw", " ").alias("shingle"), hashed([F.col("sw")[k] for k in range(size)]).alias("h")))
         distinct = parts.select("h", "shingle").distinct()
-        small = distinct.count() <= BROADCAST_ROWS
-        # Every place in the documents where a shingle of the benchmark stands, compared word for word.
-        places = doc_shingles(rows, size).join(F.broadcast(distinct) if small else distinct, "h")
-        places = places.where(F.concat_ws(" ", *(F.col(f"s.w{k}") for k in range(size))) == F.col("shingle"))
-        hits = checkpoint(places.select("doc_id", "key", "n_words", "pos", "shingle").distinct())
-        rarity = hits.groupBy("shingle").agg(F.count("*").alias("n"))
+        small = parts.count() <= BROADCAST_ROWS  # bounds every table made of ``parts``
+        sent = F.broadcast if small else lambda df: df
+        # How often each shingle of the benchmark stands in the documents, compared word for word.
+        same = F.concat_ws(" ", *(F.col(f"s.w{k}") for k in range(size))) == F.col("shingle")
+        rarity = checkpoint(doc_shingles(rows, size).join(sent(distinct), "h").where(same).groupBy("shingle").agg(F.count("*").alias("n")))
         # The necessary prefix of a window: its rarest shingle; a window with a shingle that never occurs is out.
         rated = parts.join(rarity, "shingle", "left")
-        prefix = rated.groupBy("text", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "offset")).alias("p")).where("p.n > 0").select("text", "len", "p.shingle", "p.offset")
-        starts = hits.join(F.broadcast(prefix) if small else prefix, "shingle").select("doc_id", "key", "text", "len", (F.col("pos") - F.col("offset")).alias("start"), "n_words")
-        starts = starts.where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n_words")))
-        # Shingles that cover the window: every ``size`` words, and the last.
-        cover = parts.where((F.col("offset") % size == 0) | (F.col("offset") == F.col("len") - size)).select("text", "offset", F.col("shingle").alias("needed"))
-        need = F.when(F.col("len") % size == 0, F.col("len") / size).otherwise(F.floor(F.col("len") / size) + 1)
-        asked = starts.join(F.broadcast(cover) if small else cover, "text").select("doc_id", "key", "text", "len", "start", (F.col("start") + F.col("offset")).alias("pos"), F.col("needed").alias("shingle"))
-        there = asked.join(hits.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("pos").alias("p"), F.col("shingle").alias("sh")), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")) & (F.col("pos") == F.col("p")) & (F.col("shingle") == F.col("sh")))
-        whole = there.groupBy("doc_id", "key", "text", "len", "start").agg(F.count("*").alias("n")).where(F.col("n") == need).select("doc_id", "key", "text", "len", "start")
+        prefix = rated.groupBy("text", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "offset", "h")).alias("p")).where("p.n > 0").select("text", "len", "p.shingle", "p.offset", "p.h")
+        prefix = checkpoint(prefix)
+        # The words themselves come along only where the join doesn't shuffle the places.
+        start = F.col("pos") - F.col("offset")
+        starts = doc_shingles(rows, size, ("w",) if small else ()).join(sent(prefix), "h").where(same & (start >= 0) & (start + F.col("len") <= F.col("n_words")))
+        starts = starts.select("doc_id", "key", "text", "len", start.alias("start"), *(["w"] if small else []))
+        if not small:
+            held = rows.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "w")
+            starts = starts.distinct().join(held, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
+        whole = starts.where(F.array_join(F.slice("w", F.col("start") + 1, F.col("len")), " ") == F.col("text")).select("doc_id", "key", "text", "len", "start").distinct()
         found = whole if found is None else found.union(whole)
 
     base = rows.select("doc_id", "key", "n_words")
     nothing = F.sha2(F.lit(""), 256)
     if found is None:
-        return base.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), nothing.alias("items_sha256"), F.lit(False).alias("contaminated"))
+        return base.select("doc_id", "key", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), nothing.alias("items_sha256"), F.lit(False).alias("contaminated"))
     found = checkpoint(found)
     end = F.col("start") + F.col("len")
     before = Window.partitionBy("doc_id", "key").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,15 +106,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     out = base.join(both, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.sha2(F.array_join("ids", ","), 256), nothing).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        "doc_id", "key", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.sha2(F.array_join("ids", ","), 256), nothing).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows that aren't contaminated, columns as they were; rows with a null id stay."""
-    id_col = options.get("id_col", "doc_id")
-    bad = contamination(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")
+    """The rows that aren't contaminated, columns as they were.
+
+    It's decided by id and text: a clean row stays where another text of its id goes. Rows with a null id stay.
+    """
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    bad = judged(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("key").alias("_key")).distinct()
+    return docs.join(bad, (docs[id_col] == bad["_bad"]) & (text_key(text_col) == bad["_key"]), "left_anti")
 
 
 ORACLE_SQL = r"""

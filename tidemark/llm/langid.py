@@ -116,7 +116,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
         .select(F.col("id").alias("_id"), F.col("lang").alias("_lang"))
     )
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null")
-    rows = rows.join(F.broadcast(chosen), (F.col("id") == F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi").select(F.col("id").cast("string").alias("id"), "text", "lang")
+    rows = rows.join(F.broadcast(chosen), (F.col("id") == F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi").groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select(F.col("id").cast("string").alias("id"), "text", "lang")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in texts_of(batches):

@@ -12,12 +12,11 @@ length from counts per partition, and the rank tells the bin and the place.
 
 from __future__ import annotations
 
-import base64
 import functools
-import json
-import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,68 +24,66 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint
+from tidemark.llm.common import checkpoint, in_chunks
 
 CAPACITY = 1024
 END_ID = 2
-#: Entries after which a task empties its table of encoded words.
-CACHE_WORDS = 300_000
+#: Entries after which a Python worker empties its table of encoded words (some 120 MB).
+CACHE_WORDS = 600_000
+
+
+#: How the vocabulary writes a space, and words encoded as one text.
+SPACE, TOGETHER = "Ġ", 500
+#: A space before an empty word, or before one that begins with white space.
+ODD_WORD = re.compile(r" (?:\s|\Z)")
 
 
 class WordIds(dict):
     """Ids (as little-endian uint32 bytes) of what stands between two spaces.
 
     The vocabulary's pattern always begins a new piece before a space that a
-    non-space follows, so texts can be encoded word by word. Words for which this
-    doesn't hold (empty ones, those that begin with white space) give None.
+    non-space follows, so texts can be encoded word by word. Texts with a word for
+    which this doesn't hold (an empty one, or one that begins with white space) are
+    encoded whole.
     """
 
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, word: str):
+    def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        vocab = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)
+        self.opens[[i for token, i in vocab.items() if token.startswith(SPACE)]] = True
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> None:
+        """Many words are encoded as one text: only a word's first id begins with a space."""
+        groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        for group, ids in zip(groups, self.encoded(["".join(f" {w}" for w in g) for g in groups])):
+            starts = (4 * np.flatnonzero(self.opens[np.frombuffer(ids, "<u4")])).tolist()
+            if len(starts) == len(group):
+                self.update(zip(group, map(ids.__getitem__, map(slice, starts, [*starts[1:], len(ids)]))))
+            else:
+                self.update(zip(group, self.encoded([f" {w}" for w in group])))
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; new words are encoded together."""
+        parts = [t.split(" ") for t in texts]
+        plain = [ODD_WORD.search(t) is None for t in texts]
         if len(self) > CACHE_WORDS:
             self.clear()
-        ids = None if not word or word[0].isspace() else np.array(self.encode(" " + word), "<u4").tobytes()
-        self[word] = ids
-        return ids
-
-    def text(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        try:
-            return np.array(self.encode(first), "<u4").tobytes() + b"".join(map(self.__getitem__, rest))
-        except TypeError:
-            return np.array(self.encode(text), "<u4").tobytes()
-
-
-@functools.cache
-def added_tokens(vocabulary: str) -> dict[str, int]:
-    """The added tokens of a tokenizers .json with their ids; none where there's no such file."""
-    if not os.path.exists(vocabulary):
-        return {}
-    with open(vocabulary, encoding="utf-8") as f:
-        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
-
-
-def encoder(vocabulary: str):
-    """Encode function for a vocabulary file: .tiktoken ranks or a tokenizers .json.
-
-    An added token's string in a text becomes its id, as with tokenizers' defaults; for
-    ranks, the added tokens are those of the .json of the same name.
-    """
-    if vocabulary.endswith(".tiktoken"):
-        import public_tokenizers
-        import tiktoken
+        new = [w for w in set(chain.from_iterable(p for p, ok in zip(parts, plain) if ok)) if w not in self and w and not w[0].isspace()]
+        self.learn(new)
+        heads = self.encoded([p[0] if ok else t for p, ok, t in zip(parts, plain, texts)])
+        return [h + b"".join(map(self.__getitem__, islice(p, 1, None))) if ok else h for h, p, ok in zip(heads, parts, plain)]
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        added = added_tokens(vocabulary.removesuffix(".tiktoken") + ".json")
-        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
-        return lambda text: own.encode(text, allowed_special="all") if any(t in text for t in added) else own.encode_ordinary(text)
-    from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(vocabulary)
-    return lambda text: t.encode(text, add_special_tokens=False).ids
+@functools.lru_cache(maxsize=1)
+def word_ids(vocabulary: str) -> WordIds:
+    """One table for all tasks of a Python worker."""
+    return WordIds(vocabulary)
 
 
 PIECES = "doc_id {id_type}, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -104,13 +101,14 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     arrow_id = to_arrow_type(id_type)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end, part = WordIds(encoder(vocabulary)), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        words, end, part = word_ids(vocabulary), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         nth = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: list[tuple] = []
-            for doc, text in zip(ids, texts):
-                b = words.text(text or "") + end
+            texts = [t or "" for t in texts]
+            for doc, b in zip(ids, (b for _, chunk in in_chunks(texts) for b in words.texts(chunk))):
+                b += end
                 n = len(b) // 4
                 at, k = 0, 0
                 while at < n:

@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "y", "x"])
 
     rows = labelled_sample(docs.select(F.col(id_col).cast("string").alias(id_col), text_col), labels, label, sample, MODULUS, HELD, id_col, text_col)
-    got = sorted(rows.mapInArrow(features, "id string, y int, x binary").collect())  # ``sample`` rows of 256 bytes, but for repeated ids
+    got = sorted(rows.mapInArrow(features, "id string, y int, x binary").collect())  # ``sample`` rows of 256 bytes
     x = np.frombuffer(b"".join(bytes(r[2]) for r in got), np.float32).reshape(len(got), INPUTS).astype(np.float64)
     return vectors, fit_network(x, np.array([r[1] for r in got], np.float64))
 

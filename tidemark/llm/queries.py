@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import decontaminate, embeddings, langid, licences, minhash, packing, pii, quality, substrings, toxicity
 from tidemark.llm.common import read_table
 
-#: The ranks of the vocabulary byte_bpe_50k.json: the same ids, encoded faster.
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
