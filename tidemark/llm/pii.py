@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,8 +75,8 @@ SPELT_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\s?[\[({<]\s?(?:dot|DOT|\.)\s?
 SPELT_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?| dot |\.)[0-9]{1,3}){3}(?![0-9])")
 NUMBER = re.compile(r"(?<![0-9])(?:\(|\b00)?[0-9][0-9 ().\-/–]{5,94}[0-9](?![0-9])")
 SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,64}[0-9])[A-Za-z0-9_+/-]{16,94}={0,2}(?![A-Za-z0-9_+/=-])")
-#: No number of a kind has more digits.
-MOST_DIGITS = 19
+#: No number of a kind has more digits, or more groups of them.
+MOST_DIGITS, MOST_GROUPS = 19, 8
 WORD_BEFORE = re.compile(r"([^\W\d_]+)[^\w]{0,4}\Z")
 
 #: Words before a value that tell what it is, in English, French, German and Spanish.
@@ -104,7 +105,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
         for k, (a, _) in enumerate(groups):
             a = m.start() if not k else m.start() + a - (m[0][a - 1] == "(")
             n = 0
-            for x, y in groups[k:]:
+            for x, y in groups[k : k + MOST_GROUPS]:
                 n += y - x
                 if n > MOST_DIGITS:
                     break
@@ -162,7 +163,7 @@ class Field:
         total, back = [0.0], []
         for n, i in enumerate(order):
             k = int(scores[i].argmax())
-            before = int(np.searchsorted(ends[:n], spans[i][0], side="right"))
+            before = bisect_right(ends, spans[i][0], 0, n)
             taken = total[before] + scores[i, k]
             back.append((before, FIELD_KINDS[k], i) if taken > total[n] else None)
             total.append(max(taken, total[n]))
@@ -179,7 +180,7 @@ class Field:
         found = found or [features(text, *s) for s in spans]
         scores, order = self.scores_of(found), sorted(range(len(spans)), key=lambda i: (spans[i][1], spans[i][0]))
         ends, starts = [spans[i][1] for i in order], [spans[i][0] for i in order]
-        before = [int(np.searchsorted(ends[:n], starts[n], side="right")) for n in range(len(order))]
+        before = [bisect_right(ends, starts[n], 0, n) for n in range(len(order))]
         all_kinds = [float(np.logaddexp.reduce(scores[i])) for i in order]
         ahead = [0.0]
         for n in range(len(order)):
