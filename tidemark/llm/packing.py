@@ -12,7 +12,6 @@ length from counts per partition, and the rank tells the bin and the place.
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,8 +27,8 @@ from tidemark.llm.common import checkpoint, in_chunks
 
 CAPACITY = 1024
 END_ID = 2
-#: Entries after which a Python worker empties its table of encoded words (some 120 MB).
-CACHE_WORDS = 600_000
+#: Entries after which a task empties its table of encoded words (some 60 MB).
+CACHE_WORDS = 300_000
 
 
 #: How the vocabulary writes a space, and words encoded as one text.
@@ -80,12 +79,6 @@ class WordIds(dict):
         return [h + b"".join(map(self.__getitem__, islice(p, 1, None))) if ok else h for h, p, ok in zip(heads, parts, plain)]
 
 
-@functools.lru_cache(maxsize=1)
-def word_ids(vocabulary: str) -> WordIds:
-    """One table for all tasks of a Python worker."""
-    return WordIds(vocabulary)
-
-
 PIECES = "doc_id {id_type}, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
@@ -101,7 +94,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     arrow_id = to_arrow_type(id_type)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end, part = word_ids(vocabulary), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        words, end, part = WordIds(vocabulary), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         nth = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
