@@ -186,23 +186,33 @@ def territories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH p AS (SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part),
-    s AS (SELECT a.p_partkey AS listing_id, b.p_partkey AS property_id,
-      2.5 * CASE WHEN a.p_name = b.p_name THEN 1 ELSE greatest(0, 1 - levenshtein(a.p_name, b.p_name) / greatest(len(a.p_name), len(b.p_name))::DOUBLE) END + 0.7
-      + 1.5 * greatest(0, 1 - (abs(a.p_size - b.p_size) / greatest(a.p_size, b.p_size)::DOUBLE) / 0.08) + 0.6 * greatest(0, 1 - (abs(a.p_retailprice - b.p_retailprice) / greatest(a.p_retailprice, b.p_retailprice)) / 0.25) AS total
-      FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size % 5 = b.p_size % 5 AND a.p_partkey <> b.p_partkey WHERE a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1),
-    c AS (SELECT listing_id, property_id, total / 5.3 AS confidence FROM s QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY total / 5.3 DESC, property_id) = 1)
-    SELECT p_partkey AS listing_id, CASE WHEN confidence >= 0.55 THEN property_id END AS property_id, round(coalesce(confidence, 0), 6) AS confidence, CASE WHEN confidence >= 0.78 THEN 'match' WHEN confidence >= 0.55 THEN 'review' ELSE 'none' END AS decision FROM p LEFT JOIN c ON listing_id = p_partkey WHERE p_partkey % 2 = 0"""
+    f"""WITH p AS (SELECT p_partkey AS id, p_name AS street, p_brand AS kind, p_size AS surface, p_retailprice AS price, CASE WHEN p_partkey % 10 < 2 THEN 'k' || (p_partkey // 4) END AS mk, (1000 + p_size)::VARCHAR AS postal, '+32' || (p_partkey % 977) AS phone, p_partkey % 1000 AS seen FROM part),
+    l AS (SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN phone END AS phone) FROM p WHERE id % 2 = 0), c AS (SELECT * FROM p WHERE id % 2 = 1),
+    t AS (SELECT l.id AS lid, c.id AS pid, 1 AS tier FROM l JOIN c ON l.mk = c.mk UNION ALL SELECT l.id, c.id, 2 FROM l JOIN c ON l.postal = c.postal AND l.kind = c.kind UNION ALL SELECT l.id, c.id, 3 FROM l JOIN c ON l.phone = c.phone),
+    o AS (SELECT lid, pid, min(tier) AS tier, any_value(c.seen) AS seen FROM t JOIN c ON c.id = pid GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY lid ORDER BY min(tier), any_value(c.seen) DESC, pid) <= 25),
+    f AS (SELECT lid, pid, l.postal <> c.postal AS apart, coalesce(l.mk = c.mk, false) AS exact, coalesce(l.phone = c.phone, false) AS called, l.kind = c.kind AS alike, CASE WHEN l.street = c.street THEN 1 ELSE greatest(0, 1 - levenshtein(l.street, c.street) / greatest(len(l.street), len(c.street))::DOUBLE) END AS street,
+      greatest(0, 1 - (abs(l.surface - c.surface) / greatest(l.surface, c.surface)::DOUBLE) / 0.08) AS surface, greatest(0, 1 - (abs(l.price - c.price) / greatest(l.price, c.price)) / 0.25) AS price FROM o JOIN l ON l.id = lid JOIN c ON c.id = pid),
+    g AS (SELECT lid, pid, CASE WHEN apart THEN 0.1 ELSE greatest((CASE WHEN exact THEN 6 ELSE 2.5 * street END + 1.5 + CASE WHEN alike THEN 0.7 ELSE 0 END + 1.5 * surface + CASE WHEN called THEN 3 ELSE 0 END + 0.6 * price) / (CASE WHEN exact THEN 6 ELSE 2.5 END + 1.5 + 0.7 + 1.5 + CASE WHEN called THEN 3 ELSE 0 END + 0.6), CASE WHEN exact THEN 0.95 WHEN called THEN 0.82 ELSE 0 END) END AS x FROM f),
+    b AS (SELECT lid, pid, x FROM g QUALIFY row_number() OVER (PARTITION BY lid ORDER BY x DESC, pid) = 1)
+    SELECT l.id AS listing_id, CASE WHEN x >= 0.55 THEN pid END AS property_id, round(coalesce(x, 0), 6) AS confidence, CASE WHEN x >= 0.78 THEN 'match' WHEN x >= 0.55 THEN 'review' ELSE 'none' END AS decision FROM l LEFT JOIN b ON lid = l.id"""
 )
 def match_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The even parts, as listings, against the odd ones, as properties: two tables in one, not a sample."""
+    listings, known = listings_and_properties(spark, sf_dir)
+    return resolution.match_properties(listings, known).withColumn("confidence", F.round("confidence", 6))
+
+
+def listings_and_properties(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     none = lambda kind: F.lit(None).cast(kind)
-    p = A.properties(spark, sf_dir).withColumn("cell", F.col("p_size") % 5)
-    common = (none("string").alias("match_key"), F.col("p_name").alias("street"), none("string").alias("house_number"), none("string").alias("postal_code"), none("string").alias("city"), F.lit("other").alias("property_type"), F.col("p_size").alias("surface"), none("int").alias("bedrooms"))
-    listings = p.where("property_id % 2 = 0").select(F.col("property_id").alias("listing_id"), "p_brand", "cell", *common, none("string").alias("phone"), none("string").alias("title"), none("string").alias("description"), F.col("p_retailprice").alias("price"))
+    key, phone = F.col("p_partkey"), F.concat(F.lit("+32"), (F.col("p_partkey") % 977).cast("string"))
+    p = A.read(spark, sf_dir, "part").select(
+        key.alias("property_id"), F.when(key % 10 < 2, F.concat(F.lit("k"), F.floor(key / 4).cast("string"))).alias("match_key"), F.col("p_name").alias("street"), none("string").alias("house_number"), (1000 + F.col("p_size")).cast("string").alias("postal_code"), none("string").alias("city"),
+        F.col("p_brand").alias("property_type"), F.col("p_size").alias("surface"), none("int").alias("bedrooms"), phone.alias("phone"), F.col("p_retailprice").alias("price"), (key % 1000).alias("last_seen"),
+    )
+    listings = p.where("property_id % 2 = 0").withColumnRenamed("property_id", "listing_id").withColumn("phone", F.when(F.col("listing_id") % 3 == 0, F.col("phone"))).withColumns({"title": none("string"), "description": none("string")})
     empty = F.array().cast("array<string>")
-    known = p.where("property_id % 2 = 1").select("property_id", "p_brand", "cell", *common, empty.alias("phones"), empty.alias("titles"), empty.alias("descriptions"), F.array("p_retailprice").alias("prices"))
-    return resolution.match_properties(listings, known, ["p_brand", "cell"]).withColumn("confidence", F.round("confidence", 6))
+    known = p.where("property_id % 2 = 1").withColumns({"phones": F.array("phone"), "titles": empty, "descriptions": empty, "prices": F.array("price")})
+    return listings, known
 
 
 @query(
@@ -218,7 +228,7 @@ def crm_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     c = A.contacts(spark, sf_dir)
     k = c.select("contact_id", "agency_id", F.concat(F.lit("at:"), "contact_id").alias("address_key"), F.array(F.concat(F.lit("own:"), "contact_id")).alias("owned_keys"), F.concat(F.lit("+32"), "contact_id").alias("phone"), F.lit(None).cast("string").alias("email"), named(F.col("contact_id")).alias("name"), F.col("contact_id").cast("string").alias("postal_code"))
-    return resolution.crm_matches(m, k)
+    return resolution.crm_matches(m, k).drop("known_owner")
 
 
 @query(
@@ -261,7 +271,7 @@ def score_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
         crm.alias("has_crm_match"), F.lit(0.88).alias("crm_confidence"), (crm & (key % 6 == 0)).alias("is_known_owner"), no.alias("was_client"), no.alias("had_valuation"), F.when(crm, (key % 240).cast("int")).alias("relationship_months"), none.alias("silent_months"), no.alias("never_contacted"),
         F.element_at(F.array(*map(F.lit, ("postal_code", "municipality", "province", "none"))), (key % 4 + 1).cast("int")).alias("territory"),
     ).withColumnRenamed("territory", "place")
-    scored = opportunities.score(context.withColumnRenamed("place", "territory").withColumn("territory_kind", F.col("territory")))
+    scored = opportunities.score(context.withColumnRenamed("place", "territory").withColumn("territory_kind", F.col("territory")), with_reasons=False)
     return scored.select("dedupe_key", "type", "intent", "relationship", "timing", "territory", "confidence", "score")
 
 
@@ -381,3 +391,6 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.sessions(A.read(spark, sf_dir, "events"))
+
+
+from tidemark import catalog_flow  # noqa: E402, F401  registers its queries here

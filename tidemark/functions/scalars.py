@@ -162,3 +162,33 @@ def stable_hash(fields: dict[str, Column]) -> Column:
     """SHA-256 of the fields that aren't null or empty, by name, as k=v joined by |."""
     parts = [F.when(c.isNotNull() & (c.cast("string") != ""), F.concat(F.lit(f"{k}="), c.cast("string"))) for k, c in sorted(fields.items())]
     return F.sha2(F.concat_ws("|", *parts), 256)
+
+
+def add_days(c: Column, days: int) -> Column:
+    return c + F.make_dt_interval(F.lit(days))
+
+
+def end_of_day_in_brussels(c: Column) -> Column:
+    """The last millisecond of a day written as YYYY-MM-DD, in UTC; null for a date that doesn't exist."""
+    day = F.try_to_timestamp(F.when(c.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), c), F.lit("yyyy-MM-dd"))
+    return F.to_utc_timestamp(day + F.make_dt_interval(F.lit(1)), "Europe/Brussels") - F.expr("INTERVAL '0.001' SECOND")
+
+
+def relative_time(c: Column, now: Column) -> Column:
+    """How long ago, in Dutch: minutes, hours, days up to 30, months of 30 days, years of 365."""
+    minutes = minutes_between(c, now)
+    hours, days = F.floor(minutes / 60), F.floor(minutes / 1440)
+    months = F.floor(days / 30)
+    says = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit} geleden"))
+    return F.when(minutes < 1, "zojuist").when(minutes < 60, says(minutes, "min")).when(hours < 24, says(hours, "u")).when(days < 31, says(days, "d")).when(months < 12, says(months, "mnd")).otherwise(says(F.floor(days / 365), "j"))
+
+
+def european_number(c: Column) -> Column:
+    """A number as written in Belgium: dots before three digits are dropped, a comma is the decimal sign."""
+    kept = F.regexp_replace(c.cast("string"), r"[^0-9,.\-]", "")
+    plain = F.when(F.contains(kept, F.lit(",")), F.regexp_replace(F.replace(kept, F.lit("."), F.lit("")), "^([^,]*),", "$1.")).otherwise(F.regexp_replace(kept, r"\.(?=[0-9]{3}\b)", ""))
+    return F.nullif(plain, F.lit("")).try_cast("double")
+
+
+def total_drop_percent(first: Column, current: Column) -> Column:
+    return F.when((first > 0) & (current > 0) & (first > current), (first - current) / first * 100).otherwise(0.0)

@@ -59,7 +59,10 @@ def content_tokens(c: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two token sets; 0 if either is empty."""
-    x, y = F.array_distinct(content_tokens(a)), F.array_distinct(content_tokens(b))
+    return token_jaccard(F.array_distinct(content_tokens(a)), F.array_distinct(content_tokens(b)))
+
+
+def token_jaccard(x: Column, y: Column) -> Column:
     return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(0.0)
 
 
@@ -71,7 +74,11 @@ def edit_distance(a: Column, b: Column) -> Column:
 
 def similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length of the normalised texts; 0 if either is empty."""
-    x, y = normalize_text(a), normalize_text(b)
+    return normal_similarity(normalize_text(a), normalize_text(b))
+
+
+def normal_similarity(x: Column, y: Column) -> Column:
+    """``similarity`` of texts that are normalised already."""
     longest = F.greatest(F.length(x), F.length(y))
     return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - edit_distance(x, y) / longest))
 

@@ -28,8 +28,8 @@ def change_percent() -> Column:
 def listing_state(observations: DataFrame, key: str = "listing_id", at: str = "observed_at", tie: tuple[str, ...] = ()) -> DataFrame:
     """The last observation of each listing with first price and sight, and its drops."""
     h = history(observations, key, at, tie)
-    last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at), *(F.desc(t) for t in tie)))
-    return h.withColumn("_last", last).where("_last = 1").drop("_last")
+    last = h.groupBy(key).agg(F.max_by(F.struct(*(c for c in h.columns if c != key)), F.struct(at, *tie)).alias("s"))
+    return last.select(key, "s.*").select(*h.columns)
 
 
 def detect_events(h: DataFrame, key: str = "listing_id", at: str = "observed_at") -> DataFrame:
@@ -56,22 +56,69 @@ def detect_events(h: DataFrame, key: str = "listing_id", at: str = "observed_at"
         F.col("e.dedupe_key").alias("dedupe_key"), key, F.col("e.type").alias("type"), F.col(at).alias("occurred_at"), F.when(price_event, F.col("old_price")).alias("old_price"), F.when(price_event, F.col("price")).alias("new_price"),
         F.when(price_event, F.col("old_price") - F.col("price")).alias("absolute_drop"), F.when(price_event, F.round((F.col("old_price") - F.col("price")).cast("decimal(20,6)") / F.col("old_price") * 100, 2).cast("double")).alias("percentage_drop"), "drop_count", "seller_type",
     )
-    first = Window.partitionBy("dedupe_key").orderBy("occurred_at", F.col("new_price").asc_nulls_first())
+    # The key holds the listing, so this needs no shuffle beyond the history's.
+    first = Window.partitionBy(key, "dedupe_key").orderBy("occurred_at", F.col("new_price").asc_nulls_first())
     return out.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
 def missed_runs(seen: DataFrame, runs: DataFrame, key: str = "listing_id", run: str = "run") -> DataFrame:
     """(listing, run, missed): runs missed in a row since the listing was last seen, from its first sight on.
 
-    ``runs`` is the small table of run numbers; the grid starts at each listing's first run.
+    ``runs`` is the small table of run numbers. Only the spans without the listing are made, from
+    each sight to the next one.
     """
-    first = seen.groupBy(key).agg(F.min(run).alias("first_run"))
-    grid = first.join(F.broadcast(runs.select(F.col(run).alias("run"))), F.col("run") >= F.col("first_run")).select(key, "run")
-    marked = grid.join(seen.select(key, F.col(run).alias("run"), F.lit(1).alias("hit")).distinct(), [key, "run"], "left")
-    w = Window.partitionBy(key).orderBy("run")
-    island = F.sum(F.coalesce("hit", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    inside = Window.partitionBy(key, "island").orderBy("run").rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("island", island).withColumn("missed", F.sum(F.when(F.col("hit").isNull(), 1).otherwise(0)).over(inside)).select(key, "run", "missed")
+    numbered = runs.select(F.col(run).alias("run")).withColumn("i", F.row_number().over(Window.orderBy("run")))  # one row per run, not per listing
+    hits = seen.select(key, F.col(run).alias("run")).distinct().join(numbered, "run")
+    beyond = F.coalesce(F.lead("i").over(Window.partitionBy(key).orderBy("i")), F.col("last") + 1)
+    spans = hits.crossJoin(F.broadcast(numbered.agg(F.max("i").alias("last")))).withColumn("next", beyond)
+    grid = spans.select(key, "i", F.explode(F.sequence(F.col("i"), F.col("next") - 1)).alias("j"))
+    return grid.select(key, F.col("j").alias("i"), (F.col("j") - F.col("i")).cast("long").alias("missed")).join(numbered, "i").select(key, "run", "missed")
+
+
+def absence(seen: DataFrame, runs: DataFrame, threshold: int = REMOVED_AFTER, key: str = "listing_id", run: str = "run") -> tuple[DataFrame, DataFrame]:
+    """(states, removals) after the last run.
+
+    states: key, missed, status ACTIVE, MISSING or REMOVED. removals: key, run and dedupe_key of the
+    first time that a listing was missed ``threshold`` times in a row. From gaps alone, no grid.
+    """
+    numbered = runs.select(F.col(run).alias("run")).withColumn("i", F.row_number().over(Window.orderBy("run")))  # one row per run
+    last = numbered.agg(F.max("i").alias("last"))
+    hits = seen.select(key, F.col(run).alias("run")).distinct().join(numbered, "run").crossJoin(F.broadcast(last))
+    gaps = hits.withColumn("gap", F.coalesce(F.lead("i").over(Window.partitionBy(key).orderBy("i")), F.col("last") + 1) - F.col("i") - 1)
+    missed = F.max_by("gap", "i")
+    states = gaps.groupBy(key).agg(missed.alias("missed")).withColumn("status", F.when(F.col("missed") == 0, "ACTIVE").when(F.col("missed") < threshold, "MISSING").otherwise("REMOVED"))
+    gone = gaps.where(F.col("gap") >= threshold).groupBy(key).agg((F.min("i") + threshold).alias("i"))
+    removals = gone.join(numbered, "i").select(key, "run", F.concat(F.col(key).cast("string"), F.lit(":LISTING_REMOVED")).alias("dedupe_key"))
+    return states, removals
+
+
+def predecessors(listings: DataFrame, window_days: int = RELIST_WINDOW) -> DataFrame:
+    """(listing_id, previous_id, gap_days, dedupe_key): of each new listing the property's last gone one.
+
+    listings: listing_id, property_id, first_seen, last_seen, removed_at, status, previous_id. Only
+    MISSING or REMOVED ones that nothing has relisted yet can be a predecessor, the latest removed
+    (none removed first) and then the last seen one; the gap counts from removal, or last sight.
+    Each property's gone listings are reduced to the latest before the join.
+    """
+    taken = listings.where("previous_id is not null").select(F.col("previous_id").alias("listing_id")).distinct()
+    gone = listings.where(F.col("status").isin("MISSING", "REMOVED")).join(taken, "listing_id", "left_anti")
+    order = F.struct(F.col("removed_at").isNull(), "removed_at", "last_seen", "listing_id")
+    latest = gone.groupBy("property_id").agg(F.max_by(F.struct("listing_id", F.coalesce("removed_at", "last_seen").alias("at")), order).alias("g"))
+    fresh = listings.where("status = 'ACTIVE' and previous_id is null").join(latest, "property_id")
+    gap = days_between(F.col("g.at"), F.col("first_seen"))
+    out = fresh.where(F.col("g.at") <= F.col("first_seen")).select("listing_id", F.col("g.listing_id").alias("previous_id"), gap.alias("gap_days"))
+    return out.where(F.col("gap_days") <= window_days).withColumn("dedupe_key", F.concat(F.col("listing_id").cast("string"), F.lit(":RELISTED:"), F.col("previous_id").cast("string")))
+
+
+def listing_cycles(events: DataFrame, listings: DataFrame) -> DataFrame:
+    """(property_id, cycles): one, and one more for each relisting event of the property's listings."""
+    return listings.select("listing_id", "property_id").join(events.select("listing_id", "type"), "listing_id", "left").groupBy("property_id").agg((1 + F.count_if(F.col("type") == "RELISTED")).alias("cycles"))
+
+
+def seller_counts(listings: DataFrame, order: list[str]) -> DataFrame:
+    """Adds active_before: the active listings of the same seller among the rows before, in this order."""
+    before = Window.partitionBy("seller_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return listings.withColumn("active_before", F.coalesce(F.sum(F.col("active").cast("long")).over(before), F.lit(0)))
 
 
 def relisted(listings: DataFrame, window_days: int = RELIST_WINDOW) -> DataFrame:

@@ -44,33 +44,42 @@ def factors() -> list[tuple[str, str, Column]]:
     ]
 
 
-def score(context: DataFrame) -> DataFrame:
-    """Adds the five dimensions, weighted_base, cross_bonus, score and reasons (code, dimension, points, most first).
+def score(context: DataFrame, with_reasons: bool = True) -> DataFrame:
+    """Adds the five dimensions, weighted_base, cross_bonus, score and, if asked for, reasons (code,
+    dimension, points, most first).
 
-    Within a dimension, the factors with the most points fill it to 100, the last one cut. The
-    relationship counts only where there is a match with a contact.
+    A dimension is the sum of its factors, 100 at most; in the reasons, the factors with the most
+    points fill it, the last one cut. The relationship counts only where there is a match with a contact.
     """
-    listed = F.filter(F.array(*(F.struct(F.lit(code).alias("code"), F.lit(d).alias("dimension"), p.cast("int").alias("points"), F.lit(i).alias("n")) for i, (code, d, p) in enumerate(factors()))), lambda f: f["points"] > 0)
-    by_points = lambda a, b: F.when(a["points"] != b["points"], b["points"] - a["points"]).otherwise(a["n"] - b["n"])
-    out = context.withColumn("_factors", F.array_sort(listed, by_points))
-    of_dimension = lambda d: F.filter("_factors", lambda f: f["dimension"] == d)
+    all_factors = factors()
+    totals = {}
     for d in WEIGHTS:
-        mine = of_dimension(d)
-        kind = "struct<total:int,kept:array<struct<code:string,dimension:string,points:int,n:int>>>"
-        start = F.struct(F.lit(0).alias("total"), F.array().cast("array<struct<code:string,dimension:string,points:int,n:int>>").alias("kept")).cast(kind)
-        fill = lambda s, f: F.struct(
-            F.least(F.lit(100), s["total"] + f["points"]).alias("total"),
-            F.when(s["total"] >= 100, s["kept"]).otherwise(F.concat(s["kept"], F.array(F.struct(f["code"].alias("code"), f["dimension"].alias("dimension"), F.least(f["points"], 100 - s["total"]).alias("points"), f["n"].alias("n"))))).alias("kept"),
-        ).cast(kind)
-        out = out.withColumn(f"_{d}", F.aggregate(mine, start, fill)).withColumn(d, F.col(f"_{d}.total"))
+        points = [F.greatest(F.lit(0), F.coalesce(p.cast("int"), F.lit(0))) for _, of, p in all_factors if of == d]
+        totals[d] = F.least(F.lit(100), sum(points[1:], points[0]))
+    # ``territory`` is both a factor's input and a dimension, so the dimensions come in by one step.
+    out = (with_reason_list(context, all_factors) if with_reasons else context).withColumns(totals)
     crm = F.coalesce("has_crm_match", F.lit(False))
     full = sum((w * F.col(d) for d, w in WEIGHTS.items()), F.lit(0.0))
     alone = sum((w * F.col(d) for d, w in WEIGHTS.items() if d != "relationship"), F.lit(0.0)) / (1 - WEIGHTS["relationship"])
     bonus = F.when((F.col("origin") == "CROSS") & crm, F.floor(CROSS_BONUS * F.col("relationship") / 100 * F.col("crm_confidence") + 0.5)).otherwise(0).cast("int")
     out = out.withColumn("weighted_base", F.floor(F.round(F.when(crm, full).otherwise(alone), 9) + 0.5).cast("int")).withColumn("cross_bonus", bonus)
-    out = out.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), F.col("weighted_base") + F.col("cross_bonus"))))
-    reasons = F.transform(F.array_sort(F.concat(*(F.col(f"_{d}.kept") for d in WEIGHTS)), by_points), lambda r: F.struct(r["code"].alias("code"), r["dimension"].alias("dimension"), r["points"].alias("points")))
-    return out.withColumn("reasons", reasons).drop("_factors", *(f"_{d}" for d in WEIGHTS))
+    return out.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), F.col("weighted_base") + F.col("cross_bonus"))))
+
+
+def with_reason_list(context: DataFrame, all_factors: list[tuple[str, str, Column]]) -> DataFrame:
+    listed = F.filter(F.array(*(F.struct(F.lit(code).alias("code"), F.lit(d).alias("dimension"), p.cast("int").alias("points"), F.lit(i).alias("n")) for i, (code, d, p) in enumerate(all_factors))), lambda f: f["points"] > 0)
+    by_points = lambda a, b: F.when(a["points"] != b["points"], b["points"] - a["points"]).otherwise(a["n"] - b["n"])
+    out = context.withColumn("_factors", F.array_sort(listed, by_points))
+    item = "struct<code:string,dimension:string,points:int,n:int>"
+    kind = f"struct<total:int,kept:array<{item}>>"
+    start = F.struct(F.lit(0).alias("total"), F.array().cast(f"array<{item}>").alias("kept")).cast(kind)
+    fill = lambda s, f: F.struct(
+        F.least(F.lit(100), s["total"] + f["points"]).alias("total"),
+        F.when(s["total"] >= 100, s["kept"]).otherwise(F.concat(s["kept"], F.array(F.struct(f["code"].alias("code"), f["dimension"].alias("dimension"), F.least(f["points"], 100 - s["total"]).alias("points"), f["n"].alias("n"))))).alias("kept"),
+    ).cast(kind)
+    kept = [F.aggregate(F.filter("_factors", lambda f, d=d: f["dimension"] == d), start, fill)["kept"] for d in WEIGHTS]
+    reasons = F.transform(F.array_sort(F.concat(*kept), by_points), lambda r: F.struct(r["code"].alias("code"), r["dimension"].alias("dimension"), r["points"].alias("points")))
+    return out.withColumn("reasons", reasons).drop("_factors")
 
 
 def merge_opportunities(state: DataFrame, batch: DataFrame) -> DataFrame:

@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import closeness, logistic
-from tidemark.functions.text import description_similarity, first_contained, name_key, normalize_text, similarity, text_or_empty
+from tidemark.functions.text import agency_name, content_tokens, first_contained, name_key, normal_similarity, normalize_text, text_or_empty, token_jaccard
 
 LICENCE = r"(?i)\b(?:ipi|biv)\s*(?:nr\.?|n°|number|nummer)?\s*:?\s*[0-9]{3}[.\s]?[0-9]{3}\b"
 LEGAL_FORM = r"(?i)\b(bvba|bv|nv|sa|sprl|srl|cvba|comm\.?\s?va|vzw|asbl|scrl)\b"
 #: Words and phrases by which agencies and private sellers are told.
-AGENCY_WORDS = "immo,immobilier,immobiliere,vastgoed,makelaar,makelaardij,kantoor,real estate,realestate,properties,property,estate,agence,agency,residence,invest,group,partners,notaris,notaire,syndic".split(",")
-AGENCY_PHRASES = "ons kantoor,onze kantoren,ons team,onze makelaar,uw makelaar,bezoek onze website,maak een afspraak met ons,onze expert,notre bureau,notre agence,notre equipe,votre agent,plan een bezichtiging via,contacteer ons kantoor".split(",")
-NO_AGENT_PHRASES = "zonder makelaar,geen makelaars,geen makelaar,geen immokantoren,geen immo kantoren,niet voor makelaars,makelaars onthouden zich,sans agence,sans agent,pas d agences,pas d agence,agences s abstenir,de particulier a particulier,particulier a particulier,no agents,no agencies,direct van eigenaar,rechtstreeks van de eigenaar".split(",")
-PRIVATE_WORDS = "particulier,particuliere verkoop,eigenaar verkoopt,door eigenaar,proprietaire,vente par le proprietaire,privaat,prive verkoop".split(",")
-PARTICLES = "de,van,der,den,het,du,le,la".split(",")
+AGENCY_WORDS = ["immo", "immobilier", "immobiliere", "vastgoed", "makelaar", "makelaardij", "kantoor", "real estate", "realestate", "properties", "property", "estate", "agence", "agency", "residence", "invest", "group", "partners", "notaris", "notaire", "syndic"]
+AGENCY_PHRASES = ["ons kantoor", "onze kantoren", "ons team", "onze makelaar", "uw makelaar", "bezoek onze website", "maak een afspraak met ons", "onze expert", "notre bureau", "notre agence", "notre equipe", "votre agent", "plan een bezichtiging via", "contacteer ons kantoor"]
+NO_AGENT_PHRASES = ["zonder makelaar", "geen makelaars", "geen makelaar", "geen immokantoren", "geen immo kantoren", "niet voor makelaars", "makelaars onthouden zich", "sans agence", "sans agent", "pas d agences", "pas d agence", "agences s abstenir", "de particulier a particulier", "particulier a particulier", "no agents", "no agencies", "direct van eigenaar", "rechtstreeks van de eigenaar"]
+PRIVATE_WORDS = ["particulier", "particuliere verkoop", "eigenaar verkoopt", "door eigenaar", "proprietaire", "vente par le proprietaire", "privaat", "prive verkoop"]
+PARTICLES = ["de", "van", "der", "den", "het", "du", "le", "la"]
 MIN_CONFIDENCE, MAX_CONFIDENCE, MANY_LISTINGS = 0.6, 0.99, 4
 
 
@@ -60,20 +60,26 @@ def classify_sellers(sellers: DataFrame) -> DataFrame:
 
 
 BLOCK_POSTAL, BLOCK_NUMBER, SAME_STREET, MATCH, REVIEW = 0.10, 0.30, 0.85, 0.78, 0.55
+#: Candidates of a listing, and how many of a block can be among them.
+CANDIDATES = 25
 
 
 def property_confidence(l: str = "l", c: str = "c") -> Column:  # noqa: E741
-    """Weighted mean of the available signals of a listing (struct l) and a candidate (struct c)."""
+    """Weighted mean of the available signals of a listing (struct l) and a candidate (struct c), whose texts are normalised.
+
+    Fixed values: the weights, tolerances and floors.
+    """
     a, b = (lambda f: F.col(f"{l}.{f}")), (lambda f: F.col(f"{c}.{f}"))
-    street = similarity(a("street"), b("street"))
+    street = normal_similarity(a("street"), b("street"))
     exact = F.coalesce(a("match_key") == b("match_key"), F.lit(False))
     same = lambda f: F.when(a(f).isNotNull() & b(f).isNotNull(), (a(f) == b(f)).cast("double"))
     phone = F.coalesce(F.array_contains(b("phones"), a("phone")), F.lit(False))
+    described = lambda x, y: F.greatest(token_jaccard(x["tokens"], y["tokens"]), normal_similarity(x["head"], y["head"]))
     parts = [
         (6.0, F.when(exact, 1.0)), (2.5, F.when(~exact & a("street").isNotNull() & b("street").isNotNull(), street)), (2.0, F.when(~exact & (a("house_number") == b("house_number")), 1.0)), (1.5, same("postal_code")), (0.5, same("city")),
         (0.7, F.coalesce(a("property_type") == b("property_type"), F.lit(False)).cast("double")), (1.5, closeness(a("surface"), b("surface"), 0.08)), (0.8, same("bedrooms")), (3.0, F.when(phone, 1.0)),
-        (1.2, F.when(a("title").isNotNull() & (F.size(b("titles")) > 0), F.array_max(F.transform(b("titles"), lambda t: similarity(a("title"), t))))),
-        (1.8, F.when(a("description").isNotNull() & (F.size(b("descriptions")) > 0), F.array_max(F.transform(b("descriptions"), lambda t: description_similarity(a("description"), t))))),
+        (1.2, F.when(a("title").isNotNull() & (F.size(b("titles")) > 0), F.array_max(F.transform(b("titles"), lambda t: normal_similarity(a("title"), t))))),
+        (1.8, F.when(a("description").isNotNull() & (F.size(b("descriptions")) > 0), F.array_max(F.transform(b("descriptions"), lambda t: described(a("description"), t))))),
         (0.6, F.when(F.size(b("prices")) > 0, F.array_max(F.transform(b("prices"), lambda p: closeness(a("price"), p, 0.25))))),
     ]
     total, weight = F.lit(0.0), F.lit(0.0)
@@ -87,29 +93,62 @@ def property_confidence(l: str = "l", c: str = "c") -> Column:  # noqa: E741
     return F.when(postal_conflict, BLOCK_POSTAL).when(F.coalesce(number_conflict, F.lit(False)), BLOCK_NUMBER).otherwise(floored)
 
 
-def match_properties(listings: DataFrame, properties: DataFrame, block: list[str], priority: str = "property_id") -> DataFrame:
-    """(listing_id, property_id, confidence, decision): the best candidate of each listing; the first
-    by ``priority`` wins ties. Decision: match, review or none.
+def property_candidates(listings: DataFrame, properties: DataFrame, block: list[str] | None = None, limit: int = CANDIDATES) -> DataFrame:
+    """(listing_id, property_id, tier): at most ``limit`` properties of each listing, by priority.
 
-    Candidates share the block columns, the match key, postal code with type, or a phone: a
-    distinct union of equi-joins, never an OR that would compare all pairs.
+    First those of the same match key, then of the same postal code and type, then those that the
+    seller's phone was seen with, and last those of the block, if one is given; within a tier the
+    last seen ones first (where last_seen is known, then by id). A block's properties are
+    cut to twice the limit before the join, more can't come in, so pairs grow with the listings alone.
+    """
+    if "last_seen" not in properties.columns:
+        properties = properties.withColumn("last_seen", F.lit(None).cast("timestamp"))
+    phones = properties.select("property_id", "last_seen", F.explode(F.array_distinct("phones")).alias("phone"))
+    recent = [F.col("last_seen").desc_nulls_last(), F.col("property_id")]
+    found = None
+    for tier, (known, keys) in enumerate(((properties, ["match_key"]), (properties, ["postal_code", "property_type"]), (phones, ["phone"]), *([(properties, block)] if block else [])), 1):
+        usable = known.dropna(subset=keys).select("property_id", "last_seen", *keys)
+        top = usable.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*recent))).where(F.col("n") <= 2 * limit).drop("n")
+        pairs = listings.select("listing_id", *keys).join(top, keys).select("listing_id", "property_id", "last_seen", F.lit(tier).alias("tier"))
+        found = pairs if found is None else found.union(pairs)
+    once = found.groupBy("listing_id", "property_id").agg(F.min("tier").alias("tier"), F.first("last_seen").alias("last_seen"))
+    n = F.row_number().over(Window.partitionBy("listing_id").orderBy("tier", *recent))
+    return once.withColumn("n", n).where(F.col("n") <= limit).select("listing_id", "property_id", "tier")
+
+
+def match_properties(listings: DataFrame, properties: DataFrame, block: list[str] | None = None, limit: int = CANDIDATES) -> DataFrame:
+    """(listing_id, property_id, confidence, decision): the best candidate of each listing; the lowest
+    id wins ties. Decision: match, review or none.
+
+    listings: listing_id, match_key, street, house_number, postal_code, city, property_type, surface,
+    bedrooms, phone, title, description, price. properties: the same with property_id, last_seen and
+    the arrays phones, titles, descriptions and prices. Texts are normalised once for each row, not
+    for each pair.
     """
-    fields = ("match_key", "street", "house_number", "postal_code", "city", "property_type", "surface", "bedrooms")
-    l = listings.select("listing_id", F.struct(*fields, "phone", "title", "description", "price").alias("l"))  # noqa: E741
-    c = properties.select("property_id", F.struct(*fields, "phones", "titles", "descriptions", "prices").alias("c"))
-    phones = properties.select("property_id", F.explode("phones").alias("phone"))
-    pairs = None
-    for known, keys in ((properties, block), (properties, ["match_key"]), (properties, ["postal_code", "property_type"]), (phones, ["phone"])):
-        if keys:
-            some = listings.select("listing_id", *keys).join(known.select("property_id", *keys), keys).select("listing_id", "property_id")
-            pairs = some if pairs is None else pairs.union(some)
-    scored = pairs.distinct().join(l, "listing_id").join(c, "property_id").select("listing_id", "property_id", property_confidence().alias("confidence"))
-    best = scored.groupBy("listing_id").agg(F.min_by(F.struct("property_id", "confidence"), F.struct(-F.col("confidence"), F.col(priority))).alias("b"))
+    fields = ("match_key", "house_number", "postal_code", "city", "property_type", "surface", "bedrooms")
+    normal = lambda c: F.when(c.isNotNull(), normalize_text(c))
+    text = lambda c: F.when(c.isNotNull(), F.struct(F.array_distinct(content_tokens(c)).alias("tokens"), normalize_text(F.substring(text_or_empty(c), 1, 240)).alias("head")))
+    street = normal(F.col("street")).alias("street")
+    l = listings.select("listing_id", F.struct(*fields, street, "phone", normal(F.col("title")).alias("title"), text(F.col("description")).alias("description"), "price").alias("l"))  # noqa: E741
+    c = properties.select("property_id", F.struct(*fields, street, "phones", F.transform("titles", normal).alias("titles"), F.transform("descriptions", text).alias("descriptions"), "prices").alias("c"))
+    scored = property_candidates(listings, properties, block, limit).join(l, "listing_id").join(c, "property_id").select("listing_id", "property_id", property_confidence().alias("confidence"))
+    best = scored.groupBy("listing_id").agg(F.min_by(F.struct("property_id", "confidence"), F.struct(-F.col("confidence"), "property_id")).alias("b"))
     out = listings.select("listing_id").join(best, "listing_id", "left").select("listing_id", "b.property_id", F.coalesce("b.confidence", F.lit(0.0)).alias("confidence"))
     decision = F.when(F.col("confidence") >= MATCH, "match").when(F.col("confidence") >= REVIEW, "review").otherwise("none")
     return out.withColumn("decision", decision).withColumn("property_id", F.when(F.col("decision") != "none", F.col("property_id")))
 
 
+def enrich_properties(properties: DataFrame, matched: DataFrame) -> DataFrame:
+    """Properties whose gaps the newest matched listing fills; what is known stays. last_seen moves forward.
+
+    matched: property_id, observed_at, street, house_number, city, surface, bedrooms.
+    """
+    fields = ("street", "house_number", "city", "surface", "bedrooms")
+    new = matched.groupBy("property_id").agg(F.max("observed_at").alias("_at"), *(F.max_by(f, F.when(F.col(f).isNotNull(), F.struct("observed_at", f))).alias(f"_{f}") for f in fields))
+    j = properties.join(new, "property_id", "left")
+    return j.withColumns({**{f: F.coalesce(f, f"_{f}") for f in fields}, "last_seen": F.greatest("last_seen", "_at")}).select(*properties.columns)
+
+
 CRM_REVIEW, CRM_AUTO = 0.55, 0.80
 
 
@@ -125,29 +164,30 @@ def crm_confidence(owner: Column, address: Column, phone: Column, email: Column,
 
 
 def crm_matches(market: DataFrame, contacts: DataFrame) -> DataFrame:
-    """(market_id, agency_id, contact_id, confidence, confirmed): the best contact of each agency.
+    """(market_id, agency_id, contact_id, confidence, confirmed, known_owner): the best contact of each agency.
 
     market: market_id, match_key, phone, email, name, postal_code. contacts: contact_id, agency_id,
     address_key, owned_keys (array), phone, email, name, postal_code. Candidates are a union of
     equi-joins, one for each kind of evidence, never an OR that would compare all pairs.
     """
-    m, k = market.alias("m"), contacts.alias("k")
-    pair = lambda joined: joined.select("m.market_id", "k.contact_id")
-    owned = contacts.select("contact_id", F.explode("owned_keys").alias("owned_key"))
-    named_market, named = market.withColumn("nk", name_key(F.col("name"))), contacts.withColumn("nk", name_key(F.col("name")))
-    pairs = [
-        pair(m.join(k, F.col("m.match_key") == F.col("k.address_key"))), market.join(owned, F.col("match_key") == F.col("owned_key")).select("market_id", "contact_id"), pair(m.join(k, F.col("m.phone") == F.col("k.phone"))), pair(m.join(k, F.col("m.email") == F.col("k.email"))),
-        pair(named_market.alias("m").join(named.alias("k"), (F.col("m.nk") == F.col("k.nk")) & (F.col("m.postal_code") == F.col("k.postal_code")))),
-    ]
-    union = pairs[0]
-    for p in pairs[1:]:
-        union = union.unionByName(p)
-    rows = union.distinct().join(m, "market_id").join(k, "contact_id")
-    eq = lambda a, b: F.col(f"m.{a}") == F.col(f"k.{b}")
-    confidence = crm_confidence(F.array_contains(F.col("k.owned_keys"), F.col("m.match_key")), eq("match_key", "address_key"), eq("phone", "phone"), eq("email", "email"), similarity(F.col("m.name"), F.col("k.name")), eq("postal_code", "postal_code"))
-    scored = rows.select("market_id", "contact_id", F.col("k.agency_id").alias("agency_id"), confidence.alias("confidence")).where(F.col("confidence") >= CRM_REVIEW)
+    m = market.select("market_id", "match_key", "phone", "email", "postal_code", normalize_text(F.col("name")).alias("n"), name_key(F.col("name")).alias("nk"))
+    k = contacts.select("contact_id", "agency_id", "address_key", "phone", "email", "postal_code", normalize_text(F.col("name")).alias("n"), name_key(F.col("name")).alias("nk"))
+    owned = contacts.select("contact_id", F.explode("owned_keys").alias("match_key"))
+    flags = ("owner", "address", "phone", "email")
+    joined = {
+        "owner": m.select("market_id", "match_key").join(owned, "match_key"), "address": m.select("market_id", "match_key").join(k.select("contact_id", F.col("address_key").alias("match_key")), "match_key"),
+        "phone": m.select("market_id", "phone").join(k.select("contact_id", "phone"), "phone"), "email": m.select("market_id", "email").join(k.select("contact_id", "email"), "email"), "name": m.select("market_id", "nk", "postal_code").join(k.select("contact_id", "nk", "postal_code"), ["nk", "postal_code"]),
+    }
+    union = None
+    for kind, rows in joined.items():
+        some = rows.select("market_id", "contact_id", *(F.lit(kind == f).alias(f) for f in flags))
+        union = some if union is None else union.unionAll(some)
+    pairs = union.groupBy("market_id", "contact_id").agg(*(F.bool_or(f).alias(f) for f in flags))
+    rows = pairs.join(m.select("market_id", F.col("n").alias("mn"), F.col("postal_code").alias("mp")), "market_id").join(k.select("contact_id", "agency_id", F.col("n").alias("kn"), F.col("postal_code").alias("kp")), "contact_id")
+    alike = rows.select("market_id", "contact_id", "agency_id", *flags, normal_similarity(F.col("mn"), F.col("kn")).alias("alike"), (F.col("mp") == F.col("kp")).alias("near"))
+    scored = alike.select("market_id", "contact_id", "agency_id", F.col("owner").alias("known_owner"), crm_confidence(*(F.col(f) for f in flags), F.col("alike"), F.col("near")).alias("confidence")).where(F.col("confidence") >= CRM_REVIEW)
     best = Window.partitionBy("market_id", "agency_id").orderBy(F.desc("confidence"), "contact_id")
-    return scored.withColumn("n", F.row_number().over(best)).where("n = 1").select("market_id", "agency_id", "contact_id", "confidence", (F.col("confidence") >= CRM_AUTO).alias("confirmed"))
+    return scored.withColumn("n", F.row_number().over(best)).where("n = 1").select("market_id", "agency_id", "contact_id", "confidence", (F.col("confidence") >= CRM_AUTO).alias("confirmed"), "known_owner")
 
 
 def dedupe_contacts(incoming: DataFrame, existing: DataFrame) -> DataFrame:
@@ -169,3 +209,15 @@ def resolve_sellers(observed: DataFrame, sellers: DataFrame) -> DataFrame:
     found = joined.groupBy("row_id", "phone", "name").agg(F.coalesce(F.min("p_id"), F.min("n_id")).alias("found"))
     fresh = F.substring(F.sha2(F.coalesce("phone", "name", F.lit("")), 256), 1, 16)
     return found.select("row_id", F.coalesce("found", fresh).alias("seller_id"), F.col("found").isNull().alias("is_new"))
+
+
+def agency_links(sellers: DataFrame, agencies: DataFrame, shortest: int = 3) -> DataFrame:
+    """(seller_id, market_agency_id, is_new): professional sellers linked to an agency by its normalised name.
+
+    sellers: seller_id, name, seller_type. agencies: market_agency_id, name_key. A name that no agency
+    has gets a new id from the name; names under ``shortest`` characters link with nothing.
+    """
+    named = sellers.where("seller_type = 'professional'").select("seller_id", agency_name(F.col("name")).alias("name_key")).where(F.length("name_key") >= shortest)
+    known = agencies.groupBy("name_key").agg(F.min("market_agency_id").alias("known"))
+    j = named.join(known, "name_key", "left")
+    return j.select("seller_id", F.coalesce("known", F.substring(F.sha2("name_key", 256), 1, 16)).alias("market_agency_id"), F.col("known").isNull().alias("is_new"))
