@@ -12,6 +12,7 @@ length from counts per partition, and the rank tells the bin and the place.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -47,6 +48,8 @@ class WordIds(dict):
     """
 
     def __init__(self, vocabulary: str):
+        # Spark runs a task per core; threads of the tokenizer's own would only leave memory behind in each worker.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
