@@ -43,7 +43,7 @@ SIGN, PUT_IN, SEPARATOR, SPACE, DRAWN_OUT, DOUBLED = -1.0, -12.0, -0.5, -3.0, -0
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+€£])(?:[ ._*\-]{1,2}(?:[^\W_]|[@$!|+€£])){3,}(?![^\W_])")
 LETTERS = re.compile(r"[^\W\d_]+")
 EDGE, TAIL = ".,;:?\"'()[]{}<>#%&*/\\`~^=-_", re.compile(r"(?:!+|[$@+|]{2,})$")
-RUN = re.compile(r"(.)\1*", re.S)
+RUN, DRAWN = re.compile(r"(.)\1*", re.S), re.compile(r"(.)\1\1", re.S)
 
 
 @functools.cache
@@ -133,7 +133,7 @@ def decode(text: str, model: np.ndarray | list) -> str:
 
 
 def is_plain(word: str) -> bool:
-    return word.isalpha() and all(m.end() - m.start() < 3 for m in RUN.finditer(word))
+    return word.isalpha() and not DRAWN.search(word)
 
 
 def readings(token: str, model: np.ndarray | list) -> list[str]:
@@ -150,9 +150,17 @@ def spaced(text: str, model: np.ndarray | list) -> list[str]:
 
 
 def hashed(word: str) -> list[int]:
+    """Buckets of the whole word and of its beginnings, each hash carried on from the shorter one's."""
     if len(word) < 3:
         return []
-    return [zlib.crc32(x.encode("utf-8", "replace")) % BUCKETS for x in (f"<{word}>", *(f"<{word[:k]}" for k in PREFIXES if len(word) >= k))]
+    out, crc, at = [], zlib.crc32(b"<"), 0
+    for k in PREFIXES:
+        if len(word) < k:
+            break
+        crc, at = zlib.crc32(word[at:k].encode("utf-8", "replace"), crc), k
+        out.append(crc % BUCKETS)
+    out.append(zlib.crc32(f"{word[at:]}>".encode("utf-8", "replace"), crc) % BUCKETS)
+    return out
 
 
 class Restored(dict):
