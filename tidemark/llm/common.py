@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,13 +63,37 @@ def labelled_sample(
     return rows.join(F.broadcast(chosen), F.col("id") == F.col("_id")).groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("id", "text", "y")
 
 
+#: Rows whose texts are held as Python strings at once.
+ROWS = 1000
+
+
 def texts_of(batches: Iterator[pa.RecordBatch], name: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Each batch with its texts; null counts as empty."""
-    for batch in batches:
-        if batch.num_rows:
+    """The rows, ROWS at a time, with their texts; null counts as empty."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(at, ROWS)
             yield batch, [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+def give_back() -> None:
+    """Return to the system what this worker's allocators hold unused, as Spark keeps the worker for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def lean(task: Callable) -> Callable:
+    """``task``, a function of batches, giving its memory back when it is through."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        give_back()
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) from the undirected edges (a, b): the smallest node reachable.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, texts_of
+from tidemark.llm.common import fold, lean, texts_of
 
 BUCKETS, DIMS, SAMPLE, EPOCHS, SEED = 4096, 16, 6000, 12, 11
 MODULUS, HELD, UNKNOWN = 5, 0, "und"
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
             share = [(np.bincount(b, minlength=BUCKETS) / max(1, len(b))).astype(np.float32).tobytes() for b in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([_sparse(s) for s in share], pa.binary())], ["id", "lang", "x"])
 
-    got = sorted(rows.mapInArrow(features, "id string, lang string, x binary").collect())  # ``sample`` rows of a few KB
+    got = sorted(rows.mapInArrow(lean(features), "id string, lang string, x binary").collect())  # ``sample`` rows of a few KB
     langs = sorted({r[1] for r in got})
     if not langs:
         return None
@@ -166,4 +166,4 @@ def identify(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text
                 langs.append(model.langs[int(p.argmax())]), scores.append(float(p.max())), rejected.append(float(p.max()) < model.reject_below)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(langs), pa.array(scores, pa.float64()), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
-    return rows.mapInArrow(predict, f"doc_id {rows.dtypes[0][1]}, held_out boolean, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(lean(predict), f"doc_id {rows.dtypes[0][1]}, held_out boolean, lang_pred string, score double, rejected boolean")

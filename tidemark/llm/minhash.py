@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, components, in_chunks, mixed, run_hashes, text_key, texts_of
+from tidemark.llm.common import checkpoint, components, in_chunks, lean, mixed, run_hashes, text_key, texts_of
 
 SHINGLE, PERMUTATIONS, BAND_VALUES, SEED = 5, 64, 4, 13
 BANDS = 2 * PERMUTATIONS // BAND_VALUES
@@ -133,7 +133,7 @@ def sketches(rows: DataFrame) -> DataFrame:
             columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "digest", "bands", "sig"])
 
-    return rows.mapInArrow(sketch, f"doc_id {rows.dtypes[0][1]}, key long, n long, digest binary, bands array<long>, sig binary")
+    return rows.mapInArrow(lean(sketch), f"doc_id {rows.dtypes[0][1]}, key long, n long, digest binary, bands array<long>, sig binary")
 
 
 def compare(table: pa.Table) -> pa.Table:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, in_chunks
+from tidemark.llm.common import checkpoint, in_chunks, lean
 
 CAPACITY = 1024
 END_ID = 2
@@ -117,7 +117,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
                 names = ("doc_id", "piece", "start", "length", "ids_crc32", "part", "nth")
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
-    return rows.mapInArrow(cut, PIECES.format(id_type=id_type.simpleString()))
+    return rows.mapInArrow(lean(cut), PIECES.format(id_type=id_type.simpleString()))
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -198,4 +198,4 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(first + nth // k), pa.array(offset + nth % k * length)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     kept = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    return kept.mapInArrow(place, ", ".join(f"{c} {t}" for c, t in kept.dtypes[:5]) + ", sequence_id long, offset long")
+    return kept.mapInArrow(lean(place), ", ".join(f"{c} {t}" for c, t in kept.dtypes[:5]) + ", sequence_id long, offset long")

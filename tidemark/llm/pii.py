@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import texts_of
+from tidemark.llm.common import lean, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: What the field tells apart; a secret is a token, key or password that has no base pattern.
@@ -324,7 +324,7 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             personal = pa.array([bool(every) for _, every in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, sha, pa.array([joined(every) for _, every in found], pa.string()), added, secret, personal], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_secret", "has_personal"])
 
-    return rows.mapInArrow(scan, f"doc_id {rows.dtypes[0][1]}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string, n_added long, n_secret long, has_personal boolean")
+    return rows.mapInArrow(lean(scan), f"doc_id {rows.dtypes[0][1]}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string, n_added long, n_secret long, has_personal boolean")
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -342,7 +342,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return numbered.mapInArrow(scan, numbered.schema).toDF(*docs.columns)
+    return numbered.mapInArrow(lean(scan), numbered.schema).toDF(*docs.columns)
 
 
 def with_length(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, in_chunks, labelled_sample, run_hashes, texts_of
+from tidemark.llm.common import fold, in_chunks, labelled_sample, lean, run_hashes, texts_of
 
 BUCKETS, DIMS, NONZERO, REACH = 8192, 32, 2, 2
 #: The bucket of a repeated word.
@@ -80,7 +80,7 @@ def context_sums(docs: DataFrame, text_col: str = "text") -> DataFrame:
         if len(seen):
             yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array(sums[seen, i]) for i in range(DIMS))], ["word", *columns])
 
-    sums = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(gather, "word long, " + ", ".join(f"{c} long" for c in columns))
+    sums = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lean(gather), "word long, " + ", ".join(f"{c} long" for c in columns))
     return sums.groupBy("word").agg(*(F.sum(c).alias(c) for c in columns))
 
 
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "y", "x"])
 
     rows = labelled_sample(docs.select(F.col(id_col).cast("string").alias(id_col), text_col), labels, label, sample, MODULUS, HELD, id_col, text_col)
-    got = sorted(rows.mapInArrow(features, "id string, y int, x binary").collect())  # ``sample`` rows of 256 bytes
+    got = sorted(rows.mapInArrow(lean(features), "id string, y int, x binary").collect())  # ``sample`` rows of 256 bytes
     x = np.frombuffer(b"".join(bytes(r[2]) for r in got), np.float32).reshape(len(got), INPUTS).astype(np.float64)
     return vectors, fit_network(x, np.array([r[1] for r in got], np.float64))
 
@@ -203,7 +203,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thre
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*batch.schema.names[1:], "score", "predicted"])
 
     kept = rows.drop("_text")
-    out = rows.mapInArrow(score, ", ".join(f"`{c}` {t}" for c, t in kept.dtypes) + ", score double, predicted int")
+    out = rows.mapInArrow(lean(score), ", ".join(f"`{c}` {t}" for c, t in kept.dtypes) + ", score double, predicted int")
     return out.select("doc_id", "held_out", "score", "predicted", *(F.col(f"_{i}").alias(c) for i, c in enumerate(carry)))
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, labelled_sample, texts_of
+from tidemark.llm.common import fold, labelled_sample, lean, texts_of
 
 MODULUS, HELD, THRESHOLD = 4, 2, 0.3
 SAMPLE, FEATURES, BUCKETS, SEED = 30_000, 1024, 1 << 22, 5
@@ -73,7 +73,7 @@ def language_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["triple", "n"])
 
     rows = docs.select(F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(count, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(lean(count), "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n"))
 
 
 def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -237,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
         rest = np.flatnonzero((n[1] == 0) & (n[0] > 0))
         yield pa.RecordBatch.from_arrays([pa.array(rest), pa.array(np.zeros(len(rest), np.int64)), pa.array(n[0][rest].astype(np.int64))], ["feature", "with1", "with0"])
 
-    counted = rows.mapInArrow(tell, "feature long, with1 long, with0 long").groupBy("feature").agg(F.sum("with1").alias("a"), F.sum("with0").alias("b"))
+    counted = rows.mapInArrow(lean(tell), "feature long, with1 long, with0 long").groupBy("feature").agg(F.sum("with1").alias("a"), F.sum("with0").alias("b"))
     n1, n0 = max(1, of_kind[1]), max(1, of_kind[0])
     share = (F.col("a") + F.col("b")) / (n1 + n0)
     term = lambda n, e: F.when(n > 0, n * F.log(n / e)).otherwise(0.0)
@@ -251,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
         for batch, texts in texts_of(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([sorted(tokens.text(t)) for t in texts], pa.list_(pa.int32()))], ["id", "y", "hits"])
 
-    got = sorted((str(r[0]), int(r[1] > 0), list(r[2])) for r in rows.mapInArrow(hits, "id string, y int, hits array<int>").collect()) if wanted else []  # ``sample`` rows
+    got = sorted((str(r[0]), int(r[1] > 0), list(r[2])) for r in rows.mapInArrow(lean(hits), "id string, y int, hits array<int>").collect()) if wanted else []  # ``sample`` rows
     x = np.zeros((len(got), len(wanted)), np.uint8)
     for i, (_, _, found) in enumerate(got):
         x[i, found] = 1
@@ -278,4 +278,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
             s = np.array([model.score(tokens.text(t)) for t in texts])
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(score, f"doc_id {rows.dtypes[0][1]}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(score), f"doc_id {rows.dtypes[0][1]}, held_out boolean, score double, predicted int")
