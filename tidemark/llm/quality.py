@@ -50,8 +50,9 @@ def word_buckets(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray
     for at, chunk in in_chunks([t.encode("utf-8", "replace") for t in texts]):
         hashes, first = run_hashes(chunk, byte_classes())
         ids = (hashes % np.uint64(BUCKETS - 1)).astype(np.int64) + 1
-        if len(ids) > 1:
-            ids[1:][hashes[1:] == hashes[:-1]] = AGAIN
+        again = np.append(False, hashes[1:] == hashes[:-1])[: len(ids)]
+        again[first[first < len(ids)]] = False  # the word before it is another text's
+        ids[again] = AGAIN
         yield at, ids, first
 
 
