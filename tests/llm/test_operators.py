@@ -241,6 +241,8 @@ def test_held_out_accuracy(spark):
     assert lang.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("double"))).first()[0] >= 0.97
     t = toxicity.score_toxicity(d, y).join(y, "doc_id").where("held_out")
     assert t.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double"))).first()[0] >= 0.85
+    hit, said, true = t.agg(F.sum(F.col("predicted") * F.col("toxic")), F.sum("predicted"), F.sum("toxic")).first()
+    assert hit >= 0.6 * true > 0 and hit >= 0.8 * said  # an answer of 0 for all has no hit
 
 
 def test_deobfuscation(spark):
@@ -366,3 +368,23 @@ def test_pii_secrets_cues_and_number_boundaries():
     assert pii.find("see words/of/a_path_12/to_files and some-long-hyphen-name-2019", field) == ([], [])
     text = "a@b.cd " * 3000 + "1 2 3 4 5 6 7 8 9 " * 3000
     assert len(pii.find(text, field)[0]) == 3000
+
+
+def test_quality_features_by_plain_python():
+    """Words in Python's own loops, each text by itself: neighbours in a batch make no difference."""
+    vectors = RNG.normal(size=(quality.BUCKETS, quality.DIMS)).astype(np.float32)
+    texts = ["to be or", "or not to be", "be be be 12ab!?", "", "or", "or", "é ß 1", "a  b", " ".join(RNG.choice(VOCABULARY, 500))]
+
+    def words(t):
+        return re.findall(r"[A-Za-z\u0080-\uffff]+|[0-9]+|[^A-Za-z0-9\s\u0080-\uffff]+", t)
+
+    def bucket(w):
+        return next(ids[0] for _, ids, _ in quality.word_buckets([w]))
+
+    want = []
+    for t in texts:
+        w = words(t)
+        ids = [quality.AGAIN if i and w[i] == w[i - 1] else bucket(x) for i, x in enumerate(w)]
+        v = vectors[ids].astype(np.float64) if ids else np.zeros((1, quality.DIMS))
+        want.append(np.concatenate([v.mean(0), v.std(0), [np.log1p(len(ids))]]))
+    assert np.allclose(quality.pooled(texts, vectors), np.array(want), atol=1e-3)
