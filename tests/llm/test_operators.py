@@ -388,3 +388,29 @@ def test_quality_features_by_plain_python():
         v = vectors[ids].astype(np.float64) if ids else np.zeros((1, quality.DIMS))
         want.append(np.concatenate([v.mean(0), v.std(0), [np.log1p(len(ids))]]))
     assert np.allclose(quality.pooled(texts, vectors), np.array(want), atol=1e-3)
+
+
+def test_decoding_by_trying_all_readings():
+    model = np.log(RNG.dirichlet(np.ones(toxicity.SYMBOLS), (toxicity.SYMBOLS, toxicity.SYMBOLS)))
+    for _ in range(150):
+        token = "".join(RNG.choice(list("ab1l0o5s.é-"), int(RNG.integers(1, 7))))
+        best = None
+        for path in itertools.product(*toxicity.lattice(token)):
+            codes = [z for _, c, _ in path for z in c]
+            score = sum(cost for _, _, cost in path) + sum(model[x][y][z] for x, y, z in zip([0, 0, *codes], [0, *codes], codes))
+            best = max(best or (-np.inf, ""), (score, "".join(t for t, _, _ in path)))
+        assert toxicity.decode(token, model) == best[1].strip(), token
+
+
+def test_language_scores_by_plain_python():
+    langs, table = ["a", "b", "c"], RNG.normal(size=(langid.BUCKETS, 3)).astype(np.float32)
+    model = langid.Model(langs, table, np.array([0.1, 0.0, -0.1]), 0.7)
+    for text in ("Hello, World", "x", "é 1 ß!", "two  words", "a" * 500):
+        kept = re.sub(r"[^\W\d_]+|(.)", lambda m: m[0] if m[1] is None else "\0", text.lower(), flags=re.S)
+        padded = " " + re.sub("\0+", " ", kept).strip() + " "
+        buckets, has_letter = langid.subwords(text)
+        n = [len(padded) - 1, len(padded) - 2]
+        if text[-1].isalpha():
+            assert has_letter and len(buckets) == sum(n)
+        z = (table[buckets].astype(np.float64).mean(0) + model.bias) / 0.7
+        assert np.allclose(model.probabilities(model.average(buckets)), np.exp(z) / np.exp(z).sum(), atol=1e-4)
