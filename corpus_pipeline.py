@@ -1,7 +1,11 @@
 """From raw documents to packed training sequences: five stages over whole tables.
 
 Each stage takes (spark, docs, sf_dir), docs being what the stage before it kept,
-and is written as Parquet before the next one reads it.
+and is written as Parquet before the next one reads it. Null and empty texts have no
+words: they keep their rows but for what the classifier says, and packing makes them
+one piece. Rows with a null id are never taken out as duplicates or as contaminated; other
+rows repeated whole end as one if they have a word. Very long texts are taken whole.
+Further columns are carried on until packing.
 """
 
 from __future__ import annotations
@@ -43,7 +47,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", good), ("near_duplicates", distinct), ("decontamination", uncontaminated), ("personal_data", private), ("packing", packed)]
 
-#: The classifier, the field and the packing aren't SQL; tests compare the stages with brute force.
+#: The classifier, the field and the packing aren't SQL; tests compare each stage with its operator, and operators with brute force.
 ORACLE_SQL = None
 
 
