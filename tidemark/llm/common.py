@@ -41,6 +41,16 @@ def text_key(text_col: str = "text"):
     return F.xxhash64(F.col(text_col))
 
 
+def distinct_rows(table: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, key, text, copies): rows that share an id and a text become one with their number.
+
+    They are counted within tasks before the shuffle, which deals out by id and key, so that neither
+    a row repeated very often nor an id with many texts makes a hot task.
+    """
+    rows = table.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    return rows.groupBy("doc_id", "key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, limit: int, modulus: int, held: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:

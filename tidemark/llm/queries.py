@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, embeddings, langid, licences, minhash, packing, pii, quality, substrings, toxicity
+from tidemark.llm import decontaminate, embeddings, langid, licences, minhash, packing, pii, quality, resampling, substrings, toxicity
 from tidemark.llm.common import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -53,6 +53,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -60,7 +64,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_decontamination, op3_substrings, op4_licences, op5_pii, op6_language, op7_packing, op8_embeddings, op9_minhash, op10_toxicity, pipeline)
+    f.__name__: f for f in (op1_quality, op2_decontamination, op3_substrings, op4_licences, op5_pii, op6_language, op7_packing, op8_embeddings, op9_minhash, op10_toxicity, op11_resampling, pipeline)
 }
 
 OP8_SQL = """
@@ -84,4 +88,4 @@ comp AS (SELECT v, min(r) AS c FROM reach GROUP BY 1)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, d.doc_id = c AS kept FROM d JOIN comp ON comp.v = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-ORACLE: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE_SQL, "op4_licences": licences.oracle_sql(), "op8_embeddings": OP8_SQL, "op9_minhash": OP9_SQL}
+ORACLE: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE_SQL, "op4_licences": licences.oracle_sql(), "op8_embeddings": OP8_SQL, "op9_minhash": OP9_SQL, "op11_resampling": resampling.ORACLE_SQL}
