@@ -40,7 +40,7 @@ def places(table: DataFrame, orders: int = ORDERS, buckets: int = BUCKETS, id_co
 
 def bucket_counts(grams: DataFrame) -> DataFrame:
     """(bucket, n), repeated rows counted as often as they stand."""
-    return grams.select("copies", F.explode("grams").alias("bucket")).where("bucket is not null").groupBy("bucket").agg(F.sum("copies").alias("n"))
+    return grams.select("copies", F.explode_outer("grams").alias("bucket")).where("bucket is not null").groupBy("bucket").agg(F.sum("copies").alias("n"))
 
 
 def gains(documents: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -48,9 +48,9 @@ def gains(documents: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> Da
     s, t = bucket_counts(documents).withColumnRenamed("n", "s"), bucket_counts(target).withColumnRenamed("n", "t")
     every = documents.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     both = every.join(s, "bucket", "left").join(t, "bucket", "left").na.fill(0, ["s", "t"]).withColumns({c: F.col(c).cast("double") for c in "st"})
-    sums = both.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
-    ratio = ((F.col("t") + 1) * (F.col("all_s") + buckets)) / ((F.col("s") + 1) * (F.col("all_t") + buckets))
-    return both.crossJoin(F.broadcast(sums)).select("bucket", F.floor(1000 * F.log(ratio)).alias("gain"))
+    every_bucket = Window.partitionBy()  # ``buckets`` rows at any size of the input
+    ratio = ((F.col("t") + 1) * (F.sum("s").over(every_bucket) + buckets)) / ((F.col("s") + 1) * (F.sum("t").over(every_bucket) + buckets))
+    return both.select("bucket", F.floor(1000 * F.log(ratio)).alias("gain"))
 
 
 def noise(id_col: Column, seed: int = SEED) -> Column:
@@ -64,7 +64,7 @@ def weights(docs: DataFrame, target: DataFrame, orders: int = ORDERS, buckets: i
     grams = places(docs, orders, buckets, id_col, text_col)
     # The table of gains has ``buckets`` rows at any size of the input, so it can be sent to all tasks.
     gain = F.broadcast(gains(grams, places(target, orders, buckets, target_id), buckets))
-    each = grams.select("doc_id", "key", "copies", "n_words", F.explode("grams").alias("bucket")).join(gain, "bucket", "left")
+    each = grams.select("doc_id", "key", "copies", "n_words", F.explode_outer("grams").alias("bucket")).join(gain, "bucket", "left")
     sums = each.groupBy("doc_id", "key").agg(F.first("copies").alias("copies"), F.first("n_words").alias("n_words"), F.count("bucket").alias("n_features"), F.coalesce(F.sum("gain"), F.lit(0)).alias("total"))
     weight = F.when(F.col("n_features") > 0, F.expr("(total - pmod(total, n_features)) div n_features")).otherwise(F.lit(0)).cast("long")
     return sums.select("doc_id", "key", "copies", "n_words", "n_features", weight.alias("weight")).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
