@@ -7,10 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, embeddings, langid, licences, minhash, packing, pii, quality, resampling, substrings, toxicity
+from tidemark.llm import decontaminate, embeddings, langid, licences, minhash, packing, pii, quality, resampling, substrings, token_counts, toxicity
 from tidemark.llm.common import read_table
 
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,7 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_decontamination, op3_substrings, op4_licences, op5_pii, op6_language, op7_packing, op8_embeddings, op9_minhash, op10_toxicity, op11_resampling, pipeline)
+    f.__name__: f for f in (op1_quality, op2_decontamination, op3_substrings, op4_licences, op5_pii, op6_language, op7_packing, op8_embeddings, op9_minhash, op10_toxicity, op11_resampling, op12_token_counts, pipeline)
 }
 
 OP8_SQL = """
