@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, embeddings, langid, licences, minhash, packing, pii, quality, resampling, substrings, token_counts, toxicity
+from tidemark.llm import alignment, decontaminate, embeddings, langid, licences, minhash, packing, pii, quality, resampling, substrings, token_counts, toxicity
 from tidemark.llm.common import read_table
 
 VOCABULARY, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -61,6 +61,10 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECES))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_decontamination, op3_substrings, op4_licences, op5_pii, op6_language, op7_packing, op8_embeddings, op9_minhash, op10_toxicity, op11_resampling, op12_token_counts, pipeline)
+    f.__name__: f for f in (op1_quality, op2_decontamination, op3_substrings, op4_licences, op5_pii, op6_language, op7_packing, op8_embeddings, op9_minhash, op10_toxicity, op11_resampling, op12_token_counts, op13_alignment, pipeline)
 }
 
 OP8_SQL = """
