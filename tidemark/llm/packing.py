@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, in_chunks, lean
+from tidemark.llm.common import checkpoint, in_chunks, lean, texts_of
 
 CAPACITY = 1024
 END_ID = 2
@@ -99,10 +99,9 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end, part = WordIds(vocabulary), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         nth = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for batch, texts in texts_of(batches):
+            ids = batch.column(0).to_pylist()
             out: list[tuple] = []
-            texts = [t or "" for t in texts]
             for doc, b in zip(ids, (b for _, chunk in in_chunks(texts) for b in words.texts(chunk))):
                 b += end
                 n = len(b) // 4

@@ -336,10 +336,10 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = Field()
         field.weights = sent.value
-        for batch in batches:
-            texts = [t if t is None else redacted(t, find(t, field)[1]) for t in batch.column(at).to_pylist()]
+        for batch, texts in texts_of(batches, f"c{at}"):
+            known = batch.column(at).is_valid().to_pylist()
             columns = list(batch.columns)
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            columns[at] = pa.array([redacted(t, find(t, field)[1]) if there else None for t, there in zip(texts, known)], batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return numbered.mapInArrow(lean(scan), numbered.schema).toDF(*docs.columns)

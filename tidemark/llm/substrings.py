@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, in_chunks, mixed, prefix_sums, text_key
+from tidemark.llm.common import checkpoint, in_chunks, mixed, prefix_sums, text_key, texts_of
 
 LENGTH, GRAM, SHALLOW = 400, 32, 64
 #: Bits of a gram's place in a chunk; the higher bits of its hash decide.
@@ -221,8 +221,8 @@ RUN = "doc_id {0}, key long, h long, f1 long, f2 long, start int, n int, place i
 
 def run_rows(rows: DataFrame, length: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [(t or "").encode("utf-8", "replace") for t in batch.column(2).to_pylist()]
+        for batch, strings in texts_of(batches):
+            texts = [t.encode("utf-8", "replace") for t in strings]
             for t, h, f1, f2, start, n, place in runs_of(texts, length):
                 at = pa.array(t)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x.view(np.int64)) for x in (h, f1, f2)), *(pa.array(x.astype(np.int32)) for x in (start, n, place))], ["doc_id", "key", "h", "f1", "f2", "start", "n", "place"])
@@ -353,9 +353,9 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left").select("doc_id", "text", "spans")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in texts_of(batches):
             out = []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, found in zip(texts, batch.column(2).to_pylist()):
                 data, parts, at = text.encode("utf-8", "replace"), [], 0
                 gone = union([(s["a"], s["b"]) for s in found or []])
                 for a, b in gone:
