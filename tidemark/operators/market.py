@@ -32,11 +32,12 @@ def listing_state(observations: DataFrame, key: str = "listing_id", at: str = "o
     return last.select(key, "s.*").select(*h.columns)
 
 
-def detect_events(h: DataFrame, key: str = "listing_id", at: str = "observed_at") -> DataFrame:
+def detect_events(h: DataFrame, key: str = "listing_id", at: str = "observed_at", carry: tuple[str, ...] = ()) -> DataFrame:
     """(dedupe_key, listing, type, occurred_at, old and new price, drop, percent) of observations with history.
 
     Sub-threshold changes move the baseline without an event. A threshold of days fires on the
-    first observation that has reached it. Events with the same key count once.
+    first observation that has reached it. Events with the same key count once. ``carry``: further
+    columns of the observations to keep.
     """
     kind = lambda name, cond, tail="": F.when(cond, F.struct(F.lit(name).alias("type"), F.concat(F.col(key).cast("string"), F.lit(f":{name}"), tail if isinstance(tail, Column) else F.lit(tail)).alias("dedupe_key")))
     both = (F.col("price") > 0) & (F.col("old_price") > 0) & (change_percent() >= MIN_CHANGE_PERCENT)
@@ -54,7 +55,7 @@ def detect_events(h: DataFrame, key: str = "listing_id", at: str = "observed_at"
     price_event = F.col("e.type").isin("PRICE_DROP", "PRICE_INCREASE")
     out = rows.select(
         F.col("e.dedupe_key").alias("dedupe_key"), key, F.col("e.type").alias("type"), F.col(at).alias("occurred_at"), F.when(price_event, F.col("old_price")).alias("old_price"), F.when(price_event, F.col("price")).alias("new_price"),
-        F.when(price_event, F.col("old_price") - F.col("price")).alias("absolute_drop"), F.when(price_event, F.round((F.col("old_price") - F.col("price")).cast("decimal(20,6)") / F.col("old_price") * 100, 2).cast("double")).alias("percentage_drop"), "drop_count", "seller_type",
+        F.when(price_event, F.col("old_price") - F.col("price")).alias("absolute_drop"), F.when(price_event, F.round((F.col("old_price") - F.col("price")).cast("decimal(20,6)") / F.col("old_price") * 100, 2).cast("double")).alias("percentage_drop"), "drop_count", "seller_type", *carry,
     )
     # The key holds the listing, so this needs no shuffle beyond the history's.
     first = Window.partitionBy(key, "dedupe_key").orderBy("occurred_at", F.col("new_price").asc_nulls_first())
