@@ -125,8 +125,9 @@ def test_alignment(docs, nothing, monkeypatch):
     for (x, _), n in df.items():
         best[x] = max(best[x], n)
     want = [(i, a, b, g, len(links), sum(df[p] == best[p[0]] for p in links), sum(df[p] for p in links), digest) for i, a, b, g, links, digest in held]
-    for run, pairs in ((4096, 1_000_000), (50, 0)):
+    for run, pairs, together in ((4096, 1_000_000, 400_000), (50, 0, 100)):
         monkeypatch.setattr(alignment, "RUN", run)
+        monkeypatch.setattr(alignment, "TOGETHER", together)
         monkeypatch.setattr(alignment, "BROADCAST_PAIRS", pairs)
         assert by_text(map(tuple, alignment.align(docs, VOCABULARY, MODEL).collect())) == by_text(want)
     assert alignment.align(nothing, VOCABULARY, MODEL).count() == 0
@@ -134,12 +135,12 @@ def test_alignment(docs, nothing, monkeypatch):
 
 def test_machine_takes_events_in_any_runs():
     tables = alignment.SideA.bytes_of(VOCABULARY), alignment.SideB.bytes_of(MODEL)
-    lengths, writer = tuple([alignment.np.array(list(map(len, t))) for t in tables]), alignment.Writer(51_000)
+    lengths = tuple(alignment.np.array(list(map(len, t))) for t in tables)
     text = "One 日本 text, and tokens of it" * 3
     sides = [alignment.np.frombuffer(s(p).ids([text])[0], "<u4").astype(int) for s, p in ((alignment.SideA, VOCABULARY), (alignment.SideB, MODEL))]
     results = set()
     for run in (1, 2, 7, 1000):
-        machine = alignment.Machine(lengths, writer)
+        machine = alignment.Machine(alignment.Sweep(lengths))
         events = sorted((int(lengths[s][ids[: k + 1]].sum()), s, k) for s, ids in enumerate(sides) for k in range(0, len(ids), run))
         for _, s, k in events:
             machine.feed(s, sides[s][k : k + run])

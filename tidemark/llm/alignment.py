@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ROWS, distinct_rows, in_chunks, lean, texts_of, written
-from tidemark.llm.packing import CACHE_WORDS, WordIds
+from tidemark.llm.packing import CACHE_WORDS, ODD_WORD, WordIds
 from tidemark.llm.token_counts import SPACE, Pieces
 
 #: Tokens in a row of events.
 RUN = 4096
+#: Tokens of short documents that are swept at once, and runs from which a document is swept by itself.
+TOGETHER, LONG_RUNS = 400_000, 16
 #: Pairs of ids are sent to all tasks up to this many, and met by a shuffle beyond.
 BROADCAST_PAIRS = 1_000_000
 #: Sides: a document that has no tokens comes first.
@@ -40,12 +42,17 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def gives_back(table: list[bytes], raw: bytes, text: str) -> bool:
+    return b"".join(map(table.__getitem__, np.frombuffer(raw, "<u4").tolist())) == text.encode()
+
+
 class SideA(WordIds):
     """Ids of a space and the text by a byte-level vocabulary, special strings as plain text."""
 
     def __init__(self, vocabulary: str):
         super().__init__(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        self.table, self.lost = self.bytes_of(vocabulary), set()  # words that the ids don't give back
 
     @staticmethod
     def bytes_of(vocabulary: str) -> list[bytes]:
@@ -56,8 +63,15 @@ class SideA(WordIds):
         ids = {i: t for t, i in tokenizer.get_vocab().items()}
         return [special[i].encode() if i in special else bytes(map(table.__getitem__, ids[i])) if i in ids else b"" for i in range(max(ids) + 1)]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return self.texts([f" {t}" for t in texts])
+    def learn(self, words: list[str]) -> None:
+        super().learn(words)
+        self.lost.update(w for w in words if not gives_back(self.table, self[w], f" {w}"))
+
+    def ids(self, texts: list[str]) -> list[bytes | None]:
+        """The ids of each text; None where their bytes aren't a space and the text."""
+        spaced = [f" {t}" for t in texts]
+        known = not self.lost  # then texts of learnt words are given back
+        return [raw if known and not ODD_WORD.search(t) or gives_back(self.table, raw, t) else None for t, raw in zip(spaced, self.texts(spaced))]
 
 
 class SideB(dict):
@@ -69,6 +83,7 @@ class SideB(dict):
 
     def __init__(self, model: str):
         self.pieces = Pieces(model)
+        self.table, self.lost = self.bytes_of(model), set()
         assert not any(SPACE in p.lstrip(SPACE) for p in self.pieces.merged)
 
     @staticmethod
@@ -76,14 +91,20 @@ class SideB(dict):
         m = Pieces(model).model
         return [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace(SPACE, " ").encode() for i in range(m.get_piece_size())]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def ids(self, texts: list[str]) -> list[bytes | None]:
+        """The ids of each text; None where their bytes aren't a space and the text."""
         if len(self) > CACHE_WORDS:
             self.clear()
         parts = [t.split(" ") for t in texts]
         plain = ["" not in p and SPACE not in t for p, t in zip(parts, texts)]
         new = list({w for p, ok in zip(parts, plain) if ok for w in p if w not in self})
         self.update(zip(new, (np.array(ids, "<u4").tobytes() for ids in self.pieces.encoded(new))))
-        return [b"".join(map(self.__getitem__, p)) if ok else np.array(self.pieces.model.encode(t), "<u4").tobytes() for p, t, ok in zip(parts, texts, plain)]
+        self.lost.update(w for w in new if not gives_back(self.table, self[w], f" {w}"))
+        known, out = not self.lost, []
+        for t, p, ok in zip(texts, parts, plain):
+            raw = b"".join(map(self.__getitem__, p)) if ok else np.array(self.pieces.model.encode(t), "<u4").tobytes()
+            out.append(raw if known and ok or gives_back(self.table, raw, f" {t}") else None)
+        return out
 
 
 EVENTS = "doc_id {id_type}, key long, side int, offset long, ids binary, copies long"
@@ -98,16 +119,16 @@ def end_events(rows: DataFrame, side: int, encoder: type, vocabulary: str) -> Da
     names = ["doc_id", "key", "side", "offset", "ids", "copies"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, table = encoder(vocabulary), encoder.bytes_of(vocabulary)
-        lengths = np.array([len(b) for b in table], np.int64)
+        words = encoder(vocabulary)
+        lengths = np.array([len(b) for b in words.table], np.int64)
         for batch, texts in texts_of(batches):
             for at, some in in_chunks(texts):
                 which, sides, offsets, out = [], [], [], []
                 for k, (text, raw) in enumerate(zip(some, words.ids(some)), at):
-                    ids = np.frombuffer(raw, "<u4")
-                    if not text or b"".join(map(table.__getitem__, ids.tolist())) != b" " + text.encode():
+                    if not text or raw is None:
                         which.append(k), sides.append(VOID), offsets.append(-1), out.append(b"")
                         continue
+                    ids = np.frombuffer(raw, "<u4")
                     ends = np.cumsum(lengths[ids])
                     for first in range(0, len(ids), RUN):
                         which.append(k), sides.append(side), offsets.append(int(ends[first]))
@@ -128,59 +149,114 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if raw[-1] == 2 else "<u4", (len(raw) - 1) // raw[-1]).astype(np.int64)
 
 
-class Writer:
-    """Groups as text: ids of either side joined by commas, ``|`` between the sides, ``;`` between groups."""
+class Sweep:
+    """What a stretch of both sides' tokens has between two common ends, of one document or of many in a row.
 
-    def __init__(self, size: int):
-        self.digits = np.array([str(i).ljust(11) for i in range(size)], "S11").view(np.uint8).reshape(size, 11)
-        self.lengths = np.array([len(str(i)) for i in range(size)])
+    Ends are marked on the bytes of the stretch, so that all that follows is linear in its length.
+    """
 
-    def text(self, ids: np.ndarray, marks: np.ndarray) -> bytes:
-        """The ids, each followed by its mark."""
-        cells = self.digits[ids]
-        lengths = self.lengths[ids]
-        cells[np.arange(len(ids)), lengths] = marks
-        return cells[np.arange(11) <= lengths[:, None]].tobytes()
+    def __init__(self, lengths: tuple[np.ndarray, np.ndarray]):
+        self.lengths = lengths
+        most = max(map(len, lengths))
+        self.width = len(str(most)) + 1
+        self.digits = np.array([str(i).ljust(self.width) for i in range(most)], f"S{self.width}").view(np.uint8).reshape(most, self.width)
+        self.n_digits = np.array([len(str(i)) for i in range(most)])
+
+    def ends(self, ids: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.cumsum(length[i]) for length, i in zip(self.lengths, ids))
+
+    def marks(self, ends: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        out = np.zeros((2, int(max(e[-1] for e in ends)) + 1), bool)
+        for mark, e in zip(out, ends):
+            mark[e] = True
+        return out[0], out[1]
+
+    def links(self, ids: tuple[np.ndarray, np.ndarray], marks: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the A token, pair of ids) of each link, in order: between two neighbouring ends lies one token of either side."""
+        at = np.flatnonzero(marks[0] | marks[1])
+        a, b = (np.cumsum(m, dtype=np.int64)[at] - m[at] for m in marks)
+        return a, ids[0][a] << 32 | ids[1][b]
+
+    def text(self, ids: tuple[np.ndarray, np.ndarray], common: tuple[np.ndarray, np.ndarray]) -> tuple[bytes, np.ndarray]:
+        """Groups as text, A's ids before B's, each id with its mark, and where in it each A token's cell begins.
+
+        ``common``: of each side's tokens, whether a group ends there.
+        """
+        last = [np.flatnonzero(c) + 1 for c in common]
+        group = [np.cumsum(c) - c for c in common]
+        n_a, n_b = map(len, ids)
+        place = np.concatenate([np.arange(n_a) + np.append(0, last[1])[group[0]], np.arange(n_b) + last[0][group[1]]])
+        order = np.empty(n_a + n_b, np.int64)
+        order[place] = np.concatenate(ids)
+        marks = np.empty(n_a + n_b, np.uint8)
+        marks[place] = np.concatenate([np.where(common[0], ord("|"), ord(",")), np.where(common[1], ord(";"), ord(","))])
+        cells, n = self.digits[order], self.n_digits[order]
+        cells[np.arange(len(n)), n] = marks
+        begins = np.cumsum(n + 1) - (n + 1)
+        return cells[np.arange(self.width) <= n[:, None]].tobytes(), begins[place[:n_a]]
 
 
 class Machine:
-    """One document's sweep; rows of events come by offset, of both sides."""
+    """One long document's sweep, run by run; it keeps the open group, sums and the pairs so far."""
 
-    def __init__(self, lengths: tuple[np.ndarray, np.ndarray], writer: Writer):
-        self.lengths, self.writer = lengths, writer
-        self.ids = [np.zeros(0, np.int64), np.zeros(0, np.int64)]  # of the open group
-        self.begin, self.counts, self.groups, self.links = 0, [0, 0], 0, 0
+    def __init__(self, sweep: Sweep):
+        self.sweep = sweep
+        self.ids = (np.zeros(0, np.int64), np.zeros(0, np.int64))  # of the open group
+        self.counts, self.groups, self.links = [0, 0], 0, 0
         self.digest, self.pairs = hashlib.sha256(), {}
 
     def feed(self, side: int, ids: np.ndarray) -> None:
-        self.ids[side] = np.concatenate([self.ids[side], ids])
+        self.ids = tuple(np.concatenate([x, ids]) if k == side else x for k, x in enumerate(self.ids))
         self.counts[side] += len(ids)
         if len(self.ids[0]) and len(self.ids[1]):
             self.close()
 
     def close(self) -> None:
         """Write the groups that end at or before the last common end, and keep the rest."""
-        a, b = self.ids
-        ends = [self.begin + np.cumsum(length[i]) for length, i in zip(self.lengths, self.ids)]
-        common = np.intersect1d(*ends, assume_unique=True)
-        if not len(common):
+        ends = self.sweep.ends(self.ids)
+        marks = self.sweep.marks(ends)
+        both = np.flatnonzero(marks[0] & marks[1])
+        if not len(both):
             return
-        n_a, n_b = (int(np.searchsorted(e, common[-1])) + 1 for e in ends)
-        a, b, end_a, end_b = a[:n_a], b[:n_b], ends[0][:n_a], ends[1][:n_b]
-        offsets = np.union1d(end_a, end_b)
-        # Between two neighbouring ends lies one token of either side.
-        pairs, times = np.unique(a[np.searchsorted(end_a, offsets)] << 32 | b[np.searchsorted(end_b, offsets)], return_counts=True)
-        for pair, n in zip(pairs.tolist(), times.tolist()):
-            self.pairs[pair] = self.pairs.get(pair, 0) + n
-        # In the order of the groups, A's ids before B's.
-        group = np.concatenate([np.searchsorted(common, end_a), np.searchsorted(common, end_b)])
-        order = np.argsort(2 * group + np.repeat([0, 1], [n_a, n_b]), kind="stable")
-        marks = np.concatenate([np.where(np.isin(end_a, common), ord("|"), ord(",")), np.where(np.isin(end_b, common), ord(";"), ord(","))])
-        text = self.writer.text(np.concatenate([a, b])[order], marks[order])
+        n = [int(np.searchsorted(e, both[-1])) + 1 for e in ends]
+        ids, ends = tuple(i[:k] for i, k in zip(self.ids, n)), tuple(e[:k] for e, k in zip(ends, n))
+        marks = tuple(m[: both[-1] + 1] for m in marks)
+        _, linked = self.sweep.links(ids, marks)
+        pairs, times = np.unique(linked, return_counts=True)
+        for pair, k in zip(pairs.tolist(), times.tolist()):
+            self.pairs[pair] = self.pairs.get(pair, 0) + k
+        text, _ = self.sweep.text(ids, (marks[1][ends[0]], marks[0][ends[1]]))
         self.digest.update((b";" if self.groups else b"") + text[:-1])
-        self.groups += len(common)
-        self.links += len(offsets)
-        self.begin, self.ids = int(common[-1]), [self.ids[0][n_a:], self.ids[1][n_b:]]
+        self.groups += len(both)
+        self.links += len(linked)
+        self.ids = tuple(i[k:] for i, k in zip(self.ids, n))
+
+    def row(self) -> tuple:
+        pairs = np.array(sorted(self.pairs), np.int64)
+        return (*self.counts, self.groups, self.links, self.digest.hexdigest(), pairs >> 32, pairs & 0xFFFFFFFF, [self.pairs[p] for p in pairs.tolist()])
+
+
+def swept(sweep: Sweep, docs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
+    """Many short documents at once, with what ``Machine.row`` gives of each.
+
+    A document's tokens have the same bytes on both sides, so documents in a row keep in step.
+    """
+    ids = tuple(np.concatenate([d[side] for d in docs]) for side in (0, 1))
+    ends = sweep.ends(ids)
+    marks = sweep.marks(ends)
+    common = marks[1][ends[0]], marks[0][ends[1]]
+    first = [np.cumsum([0] + [len(d[side]) for d in docs]) for side in (0, 1)]
+    groups = np.append(0, np.cumsum(common[0]))[first[0]]
+    token, linked = sweep.links(ids, marks)
+    begins = np.searchsorted(token, first[0])
+    text, cells = sweep.text(ids, common)
+    places = np.append(cells, len(text))[first[0]]
+    out = []
+    for k in range(len(docs)):
+        pairs, times = np.unique(linked[begins[k] : begins[k + 1]], return_counts=True)
+        digest = hashlib.sha256(text[places[k] : places[k + 1] - 1]).hexdigest()
+        out.append((int(first[0][k + 1] - first[0][k]), int(first[1][k + 1] - first[1][k]), int(groups[k + 1] - groups[k]), int(begins[k + 1] - begins[k]), digest, pairs >> 32, pairs & 0xFFFFFFFF, times))
+    return out
 
 
 def aligned(events: DataFrame, vocabulary: str, model: str) -> DataFrame:
@@ -196,37 +272,57 @@ def aligned(events: DataFrame, vocabulary: str, model: str) -> DataFrame:
     schema = f"doc_id {id_type.simpleString()}, " + ", ".join(f"{n} long" for n in names[1:7]) + ", groups_sha256 string, a array<int>, b array<int>, times array<int>"
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = SideA.bytes_of(vocabulary), SideB.bytes_of(model)
-        lengths = tuple(np.array([len(x) for x in t], np.int64) for t in tables)
-        writer = Writer(max(map(len, tables)))
-        at, machine, void, out = None, None, False, []
+        lengths = tuple(np.array([len(x) for x in t], np.int64) for t in (SideA.bytes_of(vocabulary), SideB.bytes_of(model)))
+        work, nothing = Sweep(lengths), (0, 0, 0, 0, "", [], [], [])
+        waiting: list[tuple] = []  # whole short documents: (key, ids of either side)
+        tokens, at, machine, void = 0, None, None, False
+        held: tuple[list, list] = ([], [])
+
+        def done(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-        def finished() -> tuple:
+        def ended() -> list[tuple]:
+            """What the document that has ended gives at once; a short one waits for others."""
             if void:
-                return (*at, 0, 0, 0, 0, "", [], [], [])
-            pairs = np.array(sorted(machine.pairs), np.int64)
-            times = [machine.pairs[p] for p in pairs.tolist()]
-            return (*at, *machine.counts, machine.groups, machine.links, machine.digest.hexdigest(), pairs >> 32, pairs & 0xFFFFFFFF, times)
+                return [(*at, *nothing)]
+            if machine:
+                return [(*at, *machine.row())]
+            waiting.append((at, tuple(map(np.concatenate, held))))
+            return []
 
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+        def together() -> list[tuple]:
+            return [(*key, *row) for (key, _), row in zip(waiting, swept(work, [ids for _, ids in waiting]))] if waiting else []
 
         for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
+            rows = []
             for doc, key, side, _, raw, copies in zip(*(c.to_pylist() for c in batch.columns)):
                 if (doc, key, copies) != at:
                     if at is not None:
-                        out.append(finished())
-                    if len(out) >= 500:
-                        yield rows()
-                        out = []
-                    at, machine, void = (doc, key, copies), Machine(lengths, writer), False
+                        rows += ended()
+                    at, machine, void, held = (doc, key, copies), None, False, ([], [])
+                    if tokens >= TOGETHER:
+                        rows += together()
+                        waiting, tokens = [], 0
                 void = void or side == VOID
-                if not void:
-                    machine.feed(side - A, unpacked(raw))
-        if at is not None:
-            out.append(finished())
-        if out:
-            yield rows()
+                if void:
+                    continue
+                ids = unpacked(raw)
+                tokens += len(ids)
+                if machine:
+                    machine.feed(side - A, ids)
+                    continue
+                held[side - A].append(ids)
+                if sum(map(len, held)) > LONG_RUNS:
+                    machine = Machine(work)
+                    for k, runs in enumerate(held):
+                        for run in runs:
+                            machine.feed(k, run)
+                    held = ([], [])
+            if rows:
+                yield done(rows)
+        rows = (ended() if at is not None else []) + together()
+        if rows:
+            yield done(rows)
 
     return events.mapInArrow(lean(sweep), schema)
 
