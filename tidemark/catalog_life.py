@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.catalog import EVENTS_SQL, days_sql, query
-from tidemark.operators import lifecycle
+from tidemark.catalog import EVENTS_SQL, ORACLE, days_sql, query
+from tidemark.catalog_flow import people, place_of, territory_table
+from tidemark.operators import flow, lifecycle, market
+from tidemark.operators.upkeep import settled
 from tidemark.plans import analogue as A
 
 #: Sources look once a month: a listing's observations of a month are one run's.
@@ -45,3 +47,32 @@ def listing_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def property_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda kind: F.count_if(F.col("type") == kind)
     return lifecycle.lifecycle_events(monthly(spark, sf_dir)).groupBy("property_id").agg((1 + of("RELISTED")).alias("cycles"), of("LISTING_REMOVED").alias("removals"), F.count("*").alias("n_events"))
+
+
+#: The flow's SQL over monthly runs: relisting is read from the events, and its opportunities are made.
+RELIST_SQL = ORACLE["opportunity_flow"]
+for old, new in (
+    (f"WITH {EVENTS_SQL}, ", f"WITH {LIFE_SQL}, "),
+    ("listing_id // 2 AS property_id", "property_id"),
+    ("listing_id % 11 = 0 AS relisted", "listing_id IN (SELECT listing_id FROM life WHERE type = 'RELISTED') AS relisted"),
+    ("ORDER BY observed_at DESC, l_orderkey DESC, l_linenumber DESC", "ORDER BY observed_at DESC, price DESC, seller_type DESC"),
+    ("THEN 'PRIVATE_PRICE_DROP' END AS kind FROM ev JOIN st USING (listing_id) WHERE r = 1", "THEN 'PRIVATE_PRICE_DROP' WHEN ev.type = 'RELISTED' THEN 'PRIVATE_RELIST' END AS kind FROM life ev JOIN st USING (listing_id)"),
+    ("WHEN 'AGENCY_TO_PRIVATE' THEN 30", "WHEN 'AGENCY_TO_PRIVATE' THEN 30 WHEN 'PRIVATE_RELIST' THEN 30"),
+    ("(1 + (drops > 0)::INTEGER + (age >= 30)::INTEGER + relisted::INTEGER + crm::INTEGER + owner::INTEGER)::INTEGER AS n_signals", "concat_ws(',', 'seller_type:' || floor(conf * 1000 + 0.5)::INTEGER, CASE WHEN drops > 0 THEN 'price_drops:' || floor(least(1, drops / 3.0::DOUBLE) * 1000 + 0.5)::INTEGER END, CASE WHEN age >= 30 THEN 'days_on_market:' || floor(least(1, age / 120.0::DOUBLE) * 1000 + 0.5)::INTEGER END, CASE WHEN relisted THEN 'relisted:1000' END, CASE WHEN crm THEN 'crm_match:' || floor(cc * 1000 + 0.5)::INTEGER END, CASE WHEN owner THEN 'known_owner:1000' END) AS signals"),
+):
+    assert old in RELIST_SQL
+    RELIST_SQL = RELIST_SQL.replace(old, new)
+
+
+@query(RELIST_SQL)
+def relist_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From observations by run to one opportunity per agency and property, relisted private sales among them."""
+    rows, key, none = monthly(spark, sf_dir), F.col("listing_id"), F.lit(None).cast("string")
+    events = settled(lifecycle.lifecycle_events(rows))
+    again = events.where("type = 'RELISTED'").select("listing_id", F.lit(True).alias("again")).distinct()
+    state = market.listing_state(rows.distinct(), tie=lifecycle.TIE).select("listing_id", "property_id", "seller_type", "price", "drop_count", "first_seen").join(again, "listing_id", "left")
+    listings = state.withColumns({"seller_confidence": F.when(key % 5 == 0, 0.8).otherwise(0.9), "seller_name": none, "phone": F.when(key % 4 == 0, F.concat(F.lit("+32"), key)), "email": none, "match_key": F.concat(F.lit("own:"), key), "is_relisted": F.coalesce("again", F.lit(False)), **place_of(key)}).drop("again")
+    contacts, interactions = people(spark, sf_dir)
+    out = flow.opportunities_of_events(events, settled(listings), territory_table(spark, sf_dir), settled(contacts), interactions, A.now(), with_reasons=False)
+    signals = F.array_join(F.transform("signals", lambda s: F.concat(s["code"], F.lit(":"), F.floor(s["strength"] * 1000 + 0.5).cast("int"))), ",")
+    return out.select("agency_id", "dedupe_key", "type", "score", "origin", "contact_id", "event_key", signals.alias("signals"), "expires_at")

@@ -10,6 +10,21 @@ from tidemark.functions.text import is_poorer_name
 TEXTS = ("display_name", "email", "phone", "postal_code", "city", "address_key")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Cut lineage here, so that what is used many times is planned and read once.
+
+    It's written to the shared folder that ``spark.checkpoint.dir`` names; where none is named, it stays as it is.
+    """
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        return df
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
+
+
+
 def contact_changes(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """(contact_id, changes): map of field to (before, after) for contacts that an import would change.
 
