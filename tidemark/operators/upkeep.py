@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,17 +12,20 @@ from tidemark.functions.text import is_poorer_name
 TEXTS = ("display_name", "email", "phone", "postal_code", "city", "address_key")
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, needed: bool = False) -> DataFrame:
     """Cut lineage here, so that what is used many times is planned and read once.
 
-    It's written to the shared folder that ``spark.checkpoint.dir`` names; where none is named, it stays as it is.
+    It's written to the shared folder that ``spark.checkpoint.dir`` names. Where none is named, it stays
+    as it is; where it's ``needed``, a session on one machine takes a folder of its own, and a cluster fails.
     """
     spark, context = df.sparkSession, df.sparkSession.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", "")
-    if not folder:
+    if not folder and not needed:
         return df
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint(eager=True)
 
 
