@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ROWS, distinct_rows, in_chunks, lean, texts_of, written
-from tidemark.llm.packing import CACHE_WORDS, ODD_WORD, WordIds
+from tidemark.llm.packing import CACHE_WORDS, WordIds
 from tidemark.llm.token_counts import SPACE, Pieces
 
 #: Tokens in a row of events.
@@ -42,8 +42,17 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-def gives_back(table: list[bytes], raw: bytes, text: str) -> bool:
-    return b"".join(map(table.__getitem__, np.frombuffer(raw, "<u4").tolist())) == text.encode()
+class Table:
+    """The bytes of each id."""
+
+    def __init__(self, entries: list[bytes]):
+        self.flat = np.frombuffer(b"".join(entries), np.uint8)
+        self.lengths = np.array(list(map(len, entries)), np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def bytes(self, ids: np.ndarray) -> np.ndarray:
+        n = self.lengths[ids]
+        return self.flat[np.repeat(self.starts[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
 class SideA(WordIds):
@@ -52,7 +61,6 @@ class SideA(WordIds):
     def __init__(self, vocabulary: str):
         super().__init__(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.table, self.lost = self.bytes_of(vocabulary), set()  # words that the ids don't give back
 
     @staticmethod
     def bytes_of(vocabulary: str) -> list[bytes]:
@@ -63,15 +71,8 @@ class SideA(WordIds):
         ids = {i: t for t, i in tokenizer.get_vocab().items()}
         return [special[i].encode() if i in special else bytes(map(table.__getitem__, ids[i])) if i in ids else b"" for i in range(max(ids) + 1)]
 
-    def learn(self, words: list[str]) -> None:
-        super().learn(words)
-        self.lost.update(w for w in words if not gives_back(self.table, self[w], f" {w}"))
-
-    def ids(self, texts: list[str]) -> list[bytes | None]:
-        """The ids of each text; None where their bytes aren't a space and the text."""
-        spaced = [f" {t}" for t in texts]
-        known = not self.lost  # then texts of learnt words are given back
-        return [raw if known and not ODD_WORD.search(t) or gives_back(self.table, raw, t) else None for t, raw in zip(spaced, self.texts(spaced))]
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return self.texts([f" {t}" for t in texts])
 
 
 class SideB(dict):
@@ -82,35 +83,32 @@ class SideB(dict):
     """
 
     def __init__(self, model: str):
-        self.pieces = Pieces(model)
-        self.table, self.lost = self.bytes_of(model), set()
-        assert not any(SPACE in p.lstrip(SPACE) for p in self.pieces.merged)
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=model)
 
     @staticmethod
     def bytes_of(model: str) -> list[bytes]:
-        m = Pieces(model).model
+        pieces = Pieces(model)
+        if any(SPACE in p.lstrip(SPACE) for p in pieces.merged):
+            raise ValueError("an entry has a space after another character")
+        m = pieces.model
         return [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace(SPACE, " ").encode() for i in range(m.get_piece_size())]
 
-    def ids(self, texts: list[str]) -> list[bytes | None]:
-        """The ids of each text; None where their bytes aren't a space and the text."""
+    def ids(self, texts: list[str]) -> list[bytes]:
         if len(self) > CACHE_WORDS:
             self.clear()
         parts = [t.split(" ") for t in texts]
         plain = ["" not in p and SPACE not in t for p, t in zip(parts, texts)]
         new = list({w for p, ok in zip(parts, plain) if ok for w in p if w not in self})
-        self.update(zip(new, (np.array(ids, "<u4").tobytes() for ids in self.pieces.encoded(new))))
-        self.lost.update(w for w in new if not gives_back(self.table, self[w], f" {w}"))
-        known, out = not self.lost, []
-        for t, p, ok in zip(texts, parts, plain):
-            raw = b"".join(map(self.__getitem__, p)) if ok else np.array(self.pieces.model.encode(t), "<u4").tobytes()
-            out.append(raw if known and ok or gives_back(self.table, raw, f" {t}") else None)
-        return out
+        self.update(zip(new, (np.array(ids, "<u4").tobytes() for ids in self.model.encode(new, num_threads=1))))
+        return [b"".join(map(self.__getitem__, p)) if ok else np.array(self.model.encode(t), "<u4").tobytes() for p, t, ok in zip(parts, texts, plain)]
 
 
 EVENTS = "doc_id {id_type}, key long, side int, offset long, ids binary, copies long"
 
 
-def end_events(rows: DataFrame, side: int, encoder: type, vocabulary: str) -> DataFrame:
+def end_events(rows: DataFrame, side: int, encoder: type, vocabulary: str, table: Table) -> DataFrame:
     """Runs of one side's token ends: the offset of the first token's end, and the ids, from which the other ends follow.
 
     A text that is empty, or whose tokens' bytes aren't a space and the text, gives one row of side VOID.
@@ -120,19 +118,26 @@ def end_events(rows: DataFrame, side: int, encoder: type, vocabulary: str) -> Da
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(vocabulary)
-        lengths = np.array([len(b) for b in words.table], np.int64)
         for batch, texts in texts_of(batches):
             for at, some in in_chunks(texts):
+                raw = words.ids(some)
+                ids = np.frombuffer(b"".join(raw), "<u4")
+                want = [b" " + t.encode() for t in some]
+                tokens = np.cumsum([0] + [len(r) // 4 for r in raw])
+                ends = np.append(0, np.cumsum(table.lengths[ids]))
+                begins = np.cumsum([0] + list(map(len, want)))
+                # Where every text begins at the same byte on both sides, one comparison tells all.
+                got, all_ = table.bytes(ids), np.frombuffer(b"".join(want), np.uint8)
+                alike = np.array_equal(ends[tokens], begins) and np.array_equal(got, all_)
                 which, sides, offsets, out = [], [], [], []
-                for k, (text, raw) in enumerate(zip(some, words.ids(some)), at):
-                    if not text or raw is None:
-                        which.append(k), sides.append(VOID), offsets.append(-1), out.append(b"")
+                for k, text in enumerate(some):
+                    a, b = int(tokens[k]), int(tokens[k + 1])
+                    if not text or not (alike or got[ends[a] : ends[b]].tobytes() == want[k]):
+                        which.append(at + k), sides.append(VOID), offsets.append(-1), out.append(b"")
                         continue
-                    ids = np.frombuffer(raw, "<u4")
-                    ends = np.cumsum(lengths[ids])
-                    for first in range(0, len(ids), RUN):
-                        which.append(k), sides.append(side), offsets.append(int(ends[first]))
-                        out.append(packed(ids[first : first + RUN]))
+                    for first in range(a, b, RUN):
+                        which.append(at + k), sides.append(side), offsets.append(int(ends[first + 1] - ends[a]))
+                        out.append(packed(ids[first : min(first + RUN, b)]))
                 few = batch.take(pa.array(which, pa.int64()))
                 yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array(sides, pa.int32()), pa.array(offsets, pa.int64()), pa.array(out, pa.binary()), few.column(2)], names)
 
@@ -259,7 +264,7 @@ def swept(sweep: Sweep, docs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple
     return out
 
 
-def aligned(events: DataFrame, vocabulary: str, model: str) -> DataFrame:
+def aligned(events: DataFrame, lengths: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Per distinct document: its sums, its distinct linked pairs of ids (a, b) and how often each is linked.
 
     ``events`` come sorted by document and offset within partitions.
@@ -272,7 +277,6 @@ def aligned(events: DataFrame, vocabulary: str, model: str) -> DataFrame:
     schema = f"doc_id {id_type.simpleString()}, " + ", ".join(f"{n} long" for n in names[1:7]) + ", groups_sha256 string, a array<int>, b array<int>, times array<int>"
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = tuple(np.array([len(x) for x in t], np.int64) for t in (SideA.bytes_of(vocabulary), SideB.bytes_of(model)))
         work, nothing = Sweep(lengths), (0, 0, 0, 0, "", [], [], [])
         waiting: list[tuple] = []  # whole short documents: (key, ids of either side)
         tokens, at, machine, void = 0, None, None, False
@@ -337,8 +341,9 @@ def align(docs: DataFrame, vocabulary: str, model: str, id_col: str = "doc_id",
     columns, whatever their names, aren't looked at.
     """
     rows = distinct_rows(docs, id_col, text_col)
-    events = end_events(rows, A, SideA, vocabulary).union(end_events(rows, B, SideB, model))
-    sweeps = aligned(events.repartition("doc_id", "key").sortWithinPartitions("doc_id", "key", "offset", "side"), vocabulary, model)
+    tables = Table(SideA.bytes_of(vocabulary)), Table(SideB.bytes_of(model))
+    events = end_events(rows, A, SideA, vocabulary, tables[0]).union(end_events(rows, B, SideB, model, tables[1]))
+    sweeps = aligned(events.repartition("doc_id", "key").sortWithinPartitions("doc_id", "key", "offset", "side"), (tables[0].lengths, tables[1].lengths))
     # Read twice: for the counts and for the sums.
     per_doc = written(sweeps, "alignment")
     linked = per_doc.select("doc_id", "key", "copies", F.explode(F.arrays_zip("a", "b", "times")).alias("l")).select("doc_id", "key", "copies", "l.a", "l.b", "l.times")
