@@ -10,11 +10,28 @@ from tidemark.streaming import ingest
 
 def test_contacts_csv(spark, tmp_path):
     (tmp_path / "c.csv").write_text('﻿Naam;E-mail;Telefoon;Opmerking\n"Peeters; Jan";a@b.c;0475;"twee\nregels"\nMarie;;;\n;;;\n', encoding="utf-8")
-    got = files.read_contacts(spark, str(tmp_path / "c.csv")).orderBy("display_name").collect()
-    assert [r["display_name"] for r in got] == ["Marie", "Peeters; Jan"]
+    got = files.read_contacts(spark, str(tmp_path / "c.csv")).orderBy("last_name").collect()
+    assert [r["last_name"] for r in got] == ["Marie", "Peeters; Jan"]
     assert got[1]["notes"] == "twee regels" and got[0]["email"] is None
 
 
+def test_headers_of_three_languages():
+    assert files.infer_fields(["voornaam", "achternaam", "e mail", "gsm", "gemeente"]) == ["first_name", "last_name", "email", "phone", "city"]
+    assert files.infer_fields(["telefoon", "telefoon 2", "tel prive"]) == ["phone", None, None]
+    assert files.infer_fields(["voornaam", "interne kolom xyz", "", "leadtype", "makelaar", "naam", "date de creation"])[0] == "first_name"
+    assert files.infer_fields(["interne kolom xyz", ""]) == [None, None]
+
+
+def test_files_with_their_own_headers_and_malformed_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text('Klantnummer,Prenom,Ville\n1,Luc,"Gent, Oost"\n\n2,Ann\n3,Jo,Luik,extra\n', encoding="utf-8")
+    (tmp_path / "in" / "b.csv").write_text('first name|email\n"O ""B"""|x@y.z\n', encoding="utf-8")
+    got = {(r.file[-5:], r.row_number): r for r in files.read_contacts(spark, str(tmp_path / "in")).collect()}
+    assert {k: (r.malformed, r.external_id, r.first_name, r.city, r.email) for k, r in got.items()} == {
+        ("a.csv", 2): (False, "1", "Luc", "Gent, Oost", None), ("a.csv", 3): (True, "2", "Ann", None, None), ("a.csv", 4): (True, "3", "Jo", "Luik", None), ("b.csv", 2): (False, None, 'O "B"', None, "x@y.z"),
+    }
+
+
 def test_listings_json(spark, tmp_path):
     rows = [{"sourceListingId": "a", "url": "https://x/a", "price": "€ 250.000".replace(".", ""), "bedrooms": "3"}, {"url": "https://x/b"}, {"sourceListingId": "c", "url": "nowhere"}]
     (tmp_path / "l.json").write_text(json.dumps(rows))

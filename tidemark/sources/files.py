@@ -1,8 +1,10 @@
-"""Sources: listing JSON, contact CSV, structured data in web pages, and a made market."""
+"""Sources: listing JSON, contact CSV, links of web pages."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import loose_number, valid_price
@@ -25,11 +27,25 @@ def read_listings(spark: SparkSession, path: str, source: str) -> tuple[DataFram
 
 
 DELIMITERS = (";", ",", "\t", "|")
-#: Field and the header texts that name it, the first unused one wins.
+#: Fields in their order, with the header texts that name them in Dutch, French and English.
 HEADERS = {
-    "external_id": ("external id", "contact id", "klantnummer", "id"), "first_name": ("first name", "voornaam", "prenom"), "last_name": ("last name", "achternaam", "familienaam", "nom de famille"), "display_name": ("display name", "full name", "naam", "name", "nom"), "email": ("e mail", "email", "mail"), "phone": ("phone", "telefoon", "gsm", "mobile", "tel"),
-    "address": ("address", "adres", "adresse", "straat"), "postal_code": ("postal code", "postcode", "zip", "code postal"), "city": ("city", "gemeente", "plaats", "ville"), "contact_type": ("contact type", "type"), "status": ("status", "statut"), "notes": ("notes", "opmerking", "remarques"), "created_at": ("created", "aangemaakt", "date de creation"), "last_contact_at": ("last contact", "laatste contact", "dernier contact"),
-}
+    "external_id": ("id", "contact id", "contactid", "klantnummer", "referentie", "reference", "nr"),
+    "first_name": ("voornaam", "first name", "firstname", "prenom"),
+    "last_name": ("achternaam", "naam", "last name", "lastname", "nom", "familienaam"),
+    "display_name": ("volledige naam", "full name", "fullname", "contact", "nom complet", "display name"),
+    "email": ("email", "e-mail", "mail", "emailadres", "courriel"),
+    "phone": ("telefoon", "tel", "gsm", "mobiel", "phone", "telephone", "mobile"),
+    "address": ("adres", "straat", "address", "adresse", "rue", "street"),
+    "postal_code": ("postcode", "postal code", "zip", "code postal", "cp"),
+    "city": ("gemeente", "stad", "city", "plaats", "ville", "localite"),
+    "contact_type": ("type", "contacttype", "soort", "categorie", "category"),
+    "status": ("status", "statut", "staat"),
+    "lead_type": ("leadtype", "lead type", "bron", "source", "interesse", "aanvraag"),
+    "assigned_agent": ("makelaar", "agent", "verantwoordelijke", "eigenaar", "owner", "courtier"),
+    "notes": ("notities", "notes", "opmerking", "opmerkingen", "remarque", "commentaar"),
+    "created_at": ("aangemaakt", "created", "datum", "date", "created at", "aanmaakdatum"),
+    "last_contact_at": ("laatste contact", "last contact", "laatst gecontacteerd", "dernier contact"),
+}
 
 
 def outside_quotes(line: str) -> str:
@@ -43,29 +59,46 @@ def sniff(header: str) -> str:
     return best if counts[best] else ";"
 
 
-def infer_fields(names: list[str], normalized: list[str]) -> dict[str, str]:
-    """field -> column, for headers that contain a text of the field; a column serves one field."""
-    used: dict[str, str] = {}
-    for field, texts in HEADERS.items():
-        for text in texts:
-            column = next((n for n, h in zip(names, normalized) if text in h and n not in used.values()), None)
-            if column is not None:
-                used[field] = column
-                break
-    return used
+def infer_fields(headers: list[str]) -> list[str | None]:
+    """The field of each column, header by header: the first unused one that has a text which the header contains.
+
+    ``headers`` are normalised; an empty or unknown one gives None.
+    """
+    out: list[str | None] = []
+    for header in headers:
+        out.append(next((f for f, texts in HEADERS.items() if header and f not in out and any(t in header for t in texts)), None))
+    return out
+
+
+def header_lines(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+    """(header line, files that have it): one row per file reaches the driver, as their names do for any reader."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nr")).where("trim(value) <> ''")
+    first = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "nr")).alias("line"))
+    return sorted((r["line"], sorted(r["files"])) for r in first.groupBy("line").agg(F.collect_list("file").alias("files")).collect())
 
 
 def read_contacts(spark: SparkSession, path: str) -> DataFrame:
-    """Contacts of CSV files with any of four delimiters, quotes, line breaks in fields and ragged rows; empty is null."""
-    head = spark.read.text(path).limit(1).first()
-    if head is None:
-        return spark.createDataFrame([], ", ".join(f"{f} string" for f in HEADERS))
-    rows = spark.read.csv(path, sep=sniff(head[0].lstrip("﻿")), header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", encoding="UTF-8")
-    names = rows.columns
-    folded = spark.range(1).select(*(normalize_text(F.lit(n)) for n in names)).first()
-    fields = infer_fields(names, list(folded))
-    out = rows.select(*((clean(F.col(f"`{fields[f]}`")) if f in fields else F.lit(None).cast("string")).alias(f) for f in HEADERS))
-    return out.where(F.coalesce(*out.columns).isNotNull())
+    """Contacts of CSV files, each with its own header and any of four delimiters; quotes, line breaks in fields, ragged rows.
+
+    Columns: file, row_number (2 is the first after the header, blank rows not counted), malformed (the row had more or fewer
+    values than the header; it's filled up or cut), and the fields of HEADERS, empty ones null. Files of one header are
+    read together, each by one task, as a line break may stand in a field.
+    """
+    fields = [f"{f} string" for f in HEADERS]
+    out = spark.createDataFrame([], "file string, row_number int, malformed boolean, " + ", ".join(fields))
+    for line, files in header_lines(spark, path):
+        line = line.lstrip("\ufeff")
+        delimiter = sniff(line)
+        names = next(iter(csv.reader([line], delimiter=delimiter)))
+        folded = spark.range(1).select(*(normalize_text(F.lit(n)).alias(f"h{k}") for k, n in enumerate(names))).first()
+        mapped = {f: f"_c{k}" for k, f in enumerate(infer_fields(list(folded))) if f}
+        schema = ", ".join(f"_c{k} string" for k in range(len(names))) + ", _bad string"
+        rows = spark.read.schema(schema).csv(files, sep=delimiter, header=False, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", encoding="UTF-8")
+        values = [clean(F.col(f"_c{k}")) for k in range(len(names))]
+        numbered = rows.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("nr")).where(F.coalesce(*values).isNotNull())
+        numbered = numbered.withColumn("row_number", F.row_number().over(Window.partitionBy("file").orderBy("nr"))).where("row_number > 1")
+        out = out.union(numbered.select("file", "row_number", F.col("_bad").isNotNull().alias("malformed"), *((clean(F.col(mapped[f])) if f in mapped else F.lit(None).cast("string")).alias(f) for f in HEADERS)))
+    return out
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
