@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import european_number
+from tidemark.operators.upkeep import settled
 
 #: Schema.org types of listings.
 LISTING_TYPES = ("RealEstateListing", "Product", "Offer", "Residence", "House", "Apartment", "SingleFamilyResidence")
@@ -91,3 +92,30 @@ def listings_of_pages(pages: DataFrame) -> DataFrame:
         text("additionalType", "@type").alias("property_type"), F.nullif(F.concat_ws(", ", text("address.streetAddress"), place), F.lit("")).alias("address"), text("address.postalCode").alias("postal_code"), text("address.addressLocality").alias("city"), number("numberOfBedrooms", "numberOfRooms").alias("bedrooms"),
         number("floorSize.value").alias("surface"), text("offers.seller.name", "seller.name").alias("seller_name"), text("offers.seller.telephone", "telephone").alias("seller_phone"), F.try_to_timestamp(text("datePosted", "datePublished")).alias("published_at"),
     )
+
+
+def canonical(url: Column) -> Column:
+    """An address without fragment, scheme and host in lower case; an empty path is the root."""
+    bare = F.regexp_replace(url, "#.*$", "")
+    host = F.regexp_extract(bare, "^([A-Za-z]+://[^/?]+)", 1)
+    rest = F.substring(bare, F.length(host) + 1, F.length(bare))
+    return F.concat(F.lower(host), F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest)))
+
+
+def reached(pages: DataFrame, links: DataFrame, roots: DataFrame, depth: int, key: str = "page_id") -> DataFrame:
+    """(key, depth): the pages that links lead to from the roots, and after how many steps at least.
+
+    pages: key, url. links: key, link. Each step is a join of the last step's pages with their links and an
+    anti-join with what was visited, on canonical addresses; steps end when nothing new is found or at
+    ``depth``. Pages of one address are one place.
+    """
+    at = pages.select(key, canonical(F.col("url")).alias("place"))
+    leads = settled(links.join(at, key).select("place", canonical(F.col("link")).alias("to")).distinct().join(at.select(F.col("place").alias("to")).distinct(), "to").where("place <> to"), needed=True)
+    visited = last = settled(at.join(roots.select(key), key, "left_semi").select("place").distinct().withColumn("depth", F.lit(0)), needed=True)
+    for step in range(1, depth + 1):
+        found = leads.join(last.select("place"), "place").select(F.col("to").alias("place")).distinct().join(visited, "place", "left_anti")
+        last = settled(found.withColumn("depth", F.lit(step)), needed=True)
+        if last.isEmpty():
+            break
+        visited = visited.union(last)
+    return at.join(visited, "place").select(key, "depth")
