@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import is_poorer_name
@@ -117,17 +117,53 @@ def redact_sellers(sellers: DataFrame, listings: DataFrame, gone: DataFrame) ->
     return hide(sellers, ("name", "phone", "email")), hide(listings, ("description", "seller_name"))
 
 
-def outbox(selected: DataFrame, sent: DataFrame, now: Column) -> DataFrame:
-    """The alert table after a selection: new rows reserved once, all as dry runs, as nothing is sent from here."""
-    fresh = selected.join(sent.select("rule_id", "opportunity_id"), ["rule_id", "opportunity_id"], "left_anti").dropDuplicates(["rule_id", "opportunity_id"])
-    return sent.select("rule_id", "opportunity_id", "status", "at").unionByName(fresh.select("rule_id", "opportunity_id", F.lit("SUPPRESSED_DRY_RUN").alias("status"), now.alias("at")))
+def outbox(selected: DataFrame, alerts: DataFrame, now: Column, delivered: DataFrame | None = None) -> DataFrame:
+    """The alert table after a selection, and after what the sender says of it.
+
+    selected: rule_id, opportunity_id, and chat_id where there is one. alerts: rule_id, opportunity_id, status, at.
+    A pair is reserved once: what was SENT, or waits, isn't reserved again, what FAILED is. Without a
+    chat it's SUPPRESSED_DRY_RUN. delivered: rule_id, opportunity_id, ok; a pair that waits becomes SENT or FAILED.
+    """
+    pair = ["rule_id", "opportunity_id"]
+    chat = F.lit(None).cast("string") if "chat_id" not in selected.columns else F.col("chat_id")
+    fresh = selected.select(*pair, chat.alias("chat_id")).dropDuplicates(pair).withColumn("_fresh", F.lit(True))
+    j = alerts.select(*pair, "status", "at").join(fresh, pair, "full")
+    again = F.col("_fresh") & (F.col("status").isNull() | (F.col("status") == "FAILED"))
+    new = F.when(F.col("chat_id").isNull(), "SUPPRESSED_DRY_RUN").otherwise("PENDING")
+    out = j.select(*pair, F.when(again, new).otherwise(F.col("status")).alias("status"), F.when(again, now).otherwise(F.col("at")).alias("at"))
+    if delivered is None:
+        return out
+    told = delivered.groupBy(*pair).agg(F.bool_or("ok").alias("ok"))
+    j = out.join(told, pair, "left")
+    sent = (F.col("status") == "PENDING") & F.col("ok").isNotNull()
+    return j.select(*pair, F.when(sent, F.when(F.col("ok"), "SENT").otherwise("FAILED")).otherwise(F.col("status")).alias("status"), F.when(sent, now).otherwise(F.col("at")).alias("at"))
 
 
 def write_snapshots(changed: DataFrame, path: str) -> None:
-    """Appends observations whose content changed, by day, so that a day is read or rewritten alone."""
-    changed.withColumn("day", F.to_date("observed_at")).write.mode("append").partitionBy("day").parquet(path)
+    """Adds observations whose content changed, by day. A row that is there already isn't added again, so a repeat changes nothing.
+
+    Only the days that the batch has are read, and only they are written anew.
+    """
+    spark = changed.sparkSession
+    new = settled(changed.withColumn("day", F.to_date("observed_at")).distinct(), needed=True)
+    rows = new
+    if has_files(spark, path):
+        days = [r[0] for r in new.select("day").distinct().collect()]  # one value per day of the batch
+        there = spark.read.schema(new.schema).parquet(path).where(F.col("day").isin(days) if days else F.lit(False)).select(*new.columns)
+        rows = settled(there.union(new).distinct(), needed=True)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
 def stage_rows(rows: DataFrame, path: str) -> None:
-    """Appends an import's rows once each; repeats of (import_id, row_number) are skipped."""
-    rows.dropDuplicates(["import_id", "row_number"]).write.mode("append").partitionBy("import_id").parquet(path)
+    """Adds an import's rows once each by (import_id, row_number); rows staged by an earlier batch are skipped, so a repeat adds nothing."""
+    spark, key = rows.sparkSession, ["import_id", "row_number"]
+    fresh = rows.dropDuplicates(key)
+    if has_files(spark, path):
+        there = spark.read.schema(rows.schema).parquet(path).join(rows.select("import_id").distinct(), "import_id", "left_semi")
+        fresh = settled(fresh.join(there.select(*key), key, "left_anti"), needed=True)
+    fresh.write.mode("append").partitionBy("import_id").parquet(path)
+
+
+def has_files(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
