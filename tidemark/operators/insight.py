@@ -97,14 +97,16 @@ def search_contacts(contacts: DataFrame, query: str | None = None, kind: str | N
     return rows
 
 
-def due_sources(sources: DataFrame, allowed: list[str], now: Column, limit: int | None = None) -> DataFrame:
+def due_sources(sources: DataFrame, allowed: list[str] | DataFrame, now: Column, limit: int | None = None) -> DataFrame:
     """Allowed, enabled, unlocked sources past cooldown and poll interval, those that waited longest first.
 
-    sources: key, enabled, cooldown_until, locked_until, last_run_at, poll_seconds. None of them is due without an allow-list.
+    sources: key, enabled, cooldown_until, locked_until, last_run_at, poll_seconds. None of them is due without an allow-list,
+    which is a list or a table with a column ``key``.
     """
     past = lambda c: F.col(c).isNull() | (F.col(c) <= now)
     waited = F.col("last_run_at").isNull() | (F.unix_seconds(now) - F.unix_seconds("last_run_at") >= F.col("poll_seconds"))
-    rows = sources.where(F.col("key").isin(*allowed) & F.col("enabled") & past("cooldown_until") & past("locked_until") & waited).orderBy(F.col("last_run_at").asc_nulls_first(), "key")
+    named = sources.join(allowed.select("key").distinct(), "key", "left_semi") if isinstance(allowed, DataFrame) else sources.where(F.col("key").isin(*allowed))
+    rows = named.where(F.col("enabled") & past("cooldown_until") & past("locked_until") & waited).orderBy(F.col("last_run_at").asc_nulls_first(), "key")
     return rows if limit is None else rows.limit(limit)
 
 

@@ -163,26 +163,40 @@ def crm_confidence(owner: Column, address: Column, phone: Column, email: Column,
     return F.round(F.when(hard, near).otherwise(F.least(near, F.lit(0.45))), 3)
 
 
-def crm_matches(market: DataFrame, contacts: DataFrame) -> DataFrame:
+#: Contacts of an agency that one market signal is compared with; those of the lowest ids.
+CRM_CANDIDATES = 20
+
+
+def crm_matches(market: DataFrame, contacts: DataFrame, limit: int = CRM_CANDIDATES) -> DataFrame:
     """(market_id, agency_id, contact_id, confidence, confirmed, known_owner): the best contact of each agency.
 
-    market: market_id, match_key, phone, email, name, postal_code. contacts: contact_id, agency_id,
-    address_key, owned_keys (array), phone, email, name, postal_code. Candidates are a union of
-    equi-joins, one for each kind of evidence, never an OR that would compare all pairs.
+    market: market_id, match_key, phone, email, name, postal_code, and property_id where it's known. contacts:
+    contact_id, agency_id, address_key, owned_keys (array), phone, email, name, postal_code, and owned_ids (array of
+    property ids) and redacted where there are any; redacted ones match nothing. Candidates are a union of
+    equi-joins, one for each kind of evidence, never an OR that would compare all pairs. An agency's
+    ``limit`` candidates of the lowest ids count. So no more than that many contacts of an agency share a key
+    in a join: the others of the key have ``limit`` before them.
     """
-    m = market.select("market_id", "match_key", "phone", "email", "postal_code", normalize_text(F.col("name")).alias("n"), name_key(F.col("name")).alias("nk"))
+    if "redacted" in contacts.columns:
+        contacts = contacts.where(~F.coalesce("redacted", F.lit(False)))
+    m = market.select("market_id", "match_key", "phone", "email", "postal_code", normalize_text(F.col("name")).alias("n"), name_key(F.col("name")).alias("nk"), *(["property_id"] if "property_id" in market.columns else []))
     k = contacts.select("contact_id", "agency_id", "address_key", "phone", "email", "postal_code", normalize_text(F.col("name")).alias("n"), name_key(F.col("name")).alias("nk"))
-    owned = contacts.select("contact_id", F.explode("owned_keys").alias("match_key"))
     flags = ("owner", "address", "phone", "email")
-    joined = {
-        "owner": m.select("market_id", "match_key").join(owned, "match_key"), "address": m.select("market_id", "match_key").join(k.select("contact_id", F.col("address_key").alias("match_key")), "match_key"),
-        "phone": m.select("market_id", "phone").join(k.select("contact_id", "phone"), "phone"), "email": m.select("market_id", "email").join(k.select("contact_id", "email"), "email"), "name": m.select("market_id", "nk", "postal_code").join(k.select("contact_id", "nk", "postal_code"), ["nk", "postal_code"]),
-    }
+    ways = [
+        ("owner", ["match_key"], contacts.select("agency_id", "contact_id", F.explode("owned_keys").alias("match_key"))), ("address", ["match_key"], k.withColumnRenamed("address_key", "match_key")),
+        ("phone", ["phone"], k), ("email", ["email"], k), ("name", ["nk", "postal_code"], k),
+    ]
+    if "property_id" in market.columns and "owned_ids" in contacts.columns:
+        ways.append(("owner", ["property_id"], contacts.select("agency_id", "contact_id", F.explode("owned_ids").alias("property_id"))))
     union = None
-    for kind, rows in joined.items():
-        some = rows.select("market_id", "contact_id", *(F.lit(kind == f).alias(f) for f in flags))
+    for kind, keys, known in ways:
+        nth = F.row_number().over(Window.partitionBy("agency_id", *keys).orderBy("contact_id"))
+        few = known.dropna(subset=keys).select("agency_id", "contact_id", *keys).distinct().withColumn("nth", nth).where(F.col("nth") <= limit)
+        some = m.select("market_id", *keys).join(few, keys).select("market_id", "agency_id", "contact_id", *(F.lit(kind == f).alias(f) for f in flags))
         union = some if union is None else union.unionAll(some)
-    pairs = union.groupBy("market_id", "contact_id").agg(*(F.bool_or(f).alias(f) for f in flags))
+    pairs = union.groupBy("market_id", "agency_id", "contact_id").agg(*(F.bool_or(f).alias(f) for f in flags))
+    nth = F.row_number().over(Window.partitionBy("market_id", "agency_id").orderBy("contact_id"))
+    pairs = pairs.withColumn("nth", nth).where(F.col("nth") <= limit).drop("nth", "agency_id")
     rows = pairs.join(m.select("market_id", F.col("n").alias("mn"), F.col("postal_code").alias("mp")), "market_id").join(k.select("contact_id", "agency_id", F.col("n").alias("kn"), F.col("postal_code").alias("kp")), "contact_id")
     alike = rows.select("market_id", "contact_id", "agency_id", *flags, normal_similarity(F.col("mn"), F.col("kn")).alias("alike"), (F.col("mp") == F.col("kp")).alias("near"))
     scored = alike.select("market_id", "contact_id", "agency_id", F.col("owner").alias("known_owner"), crm_confidence(*(F.col(f) for f in flags), F.col("alike"), F.col("near")).alias("confidence")).where(F.col("confidence") >= CRM_REVIEW)
@@ -195,7 +209,9 @@ def dedupe_contacts(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     tiers = [("external_id", ["external_id"], 1.0), ("phone", ["phone"], 0.95), ("email", ["email"], 0.9), ("name_address", ["name_key", "address_key"], 0.75)]
     found = None
     for rank, (tier, keys, confidence) in enumerate(tiers):
-        hit = incoming.select("row_id", "agency_id", *keys).join(existing.select("contact_id", "agency_id", *keys), ["agency_id", *keys]).select("row_id", "contact_id", F.lit(rank).alias("rank"), F.lit(tier).alias("tier"), F.lit(confidence).alias("confidence"))
+        # One contact for each key, the lowest: a key that many share doesn't multiply.
+        lowest = existing.dropna(subset=keys).groupBy("agency_id", *keys).agg(F.min("contact_id").alias("contact_id"))
+        hit = incoming.select("row_id", "agency_id", *keys).join(lowest, ["agency_id", *keys]).select("row_id", "contact_id", F.lit(rank).alias("rank"), F.lit(tier).alias("tier"), F.lit(confidence).alias("confidence"))
         found = hit if found is None else found.union(hit)
     best = found.groupBy("row_id").agg(F.min(F.struct("rank", "contact_id", "tier", "confidence")).alias("b"))
     return incoming.select("row_id").join(best, "row_id", "left").select("row_id", "b.contact_id", "b.tier", F.coalesce("b.confidence", F.lit(0.0)).alias("confidence"))

@@ -14,16 +14,19 @@ def is_open(now: Column) -> Column:
     return F.col("status").isin(*OPEN) & (F.col("snoozed_until").isNull() | (F.col("snoozed_until") <= now))
 
 
-def work_list(opportunities: DataFrame, now: Column, *, status: str = "OPEN", kind: str | None = None, origin: str | None = None, least_score: int | None = None, max_age_days: int | None = None, price: tuple[float | None, float | None] = (None, None), sort: str = "score", page: int = 1, size: int | None = 25) -> DataFrame:
+def work_list(opportunities: DataFrame, now: Column, *, status: str = "OPEN", kind: str | None = None, origin: str | None = None, least_score: int | None = None, max_age_days: int | None = None, price: tuple[float | None, float | None] = (None, None), sort: str = "score", page: int = 1, size: int | None = 25, assignee: int | str | None = None, crm_only: bool = False, city: str | None = None, **equal: str | None) -> DataFrame:
     """A page of opportunities; a column of the sort that is null comes first, ties by opportunity_id.
 
-    ``size`` None returns all that pass. Every condition is a plain filter that reaches the scan.
+    ``size`` None returns all that pass. Every condition is a plain filter that reaches the scan. assignee: assignee_id;
+    crm_only: those with a contact; city: in any case; ``equal``: postal_code, property_type, seller_type, source.
     """
     rows = opportunities.where(is_open(now)) if status == "OPEN" else opportunities if status == "ALL" else opportunities.where(F.col("status") == status)
-    for column, value in (("type", kind), ("origin", origin)):
+    for column, value in (("type", kind), ("origin", origin), ("assignee_id", assignee), *equal.items()):
         rows = rows if value is None else rows.where(F.col(column) == value)
     rows = rows if least_score is None else rows.where(F.col("score") >= least_score)
     rows = rows if max_age_days is None else rows.where(F.col("created_at") >= now - F.make_dt_interval(F.lit(max_age_days)))
+    rows = rows.where("contact_id is not null") if crm_only else rows
+    rows = rows if city is None else rows.where(F.lower("city") == city.lower())
     low, high = price
     rows = rows if low is None else rows.where(F.col("price") >= low)
     rows = rows if high is None else rows.where(F.col("price") <= high)
@@ -51,15 +54,33 @@ def market_overview(listings: DataFrame, by: list[str]) -> DataFrame:
     return rows.select(*by, "active", "private", F.round(F.col("private") * 100 / F.col("active"), 4).alias("private_share"), F.floor(F.col("m") + 0.5).cast("long").alias("median_price"), "city")
 
 
+def rules_now(rules: DataFrame, hour: int, fallback_chat: str | None = None) -> DataFrame:
+    """The rules that may send at this hour, with their chat: outside quiet hours, which may span midnight, and with a chat of the rule, agency or at all.
+
+    rules: quiet_start, quiet_end (null or equal: never quiet), chat_id, agency_chat_id and others.
+    """
+    start, end, h = F.col("quiet_start"), F.col("quiet_end"), F.lit(hour)
+    quiet = F.when(start < end, (h >= start) & (h < end)).when(start > end, (h >= start) | (h < end)).otherwise(False)
+    chat = F.coalesce("chat_id", "agency_chat_id", F.lit(fallback_chat).cast("string"))
+    return rows_with(rules.where(~quiet).withColumn("chat_id", chat), "chat_id")
+
+
+def rows_with(rows: DataFrame, column: str) -> DataFrame:
+    return rows.where(F.coalesce(F.col(column), F.lit("")) != "")
+
+
 def select_alerts(rules: DataFrame, opportunities: DataFrame, sent: DataFrame) -> DataFrame:
     """(rule_id, opportunity_id, rank): what each rule may still send today, highest scores first.
 
-    rules: rule_id, agency_id, least_score, daily_cap, types (empty: all). sent: rule_id,
-    opportunity_id, today. Nothing is sent twice; today's count is taken off the cap.
+    rules: rule_id, agency_id, least_score, daily_cap, types (empty: all), and require_crm where there
+    is one (then only opportunities with a contact). sent: rule_id, opportunity_id, today. Nothing is sent
+    twice; today's count is taken off the cap.
     """
     used = sent.where("today").groupBy("rule_id").agg(F.count("*").alias("used"))
     left = rules.join(used, "rule_id", "left").withColumn("left", F.col("daily_cap") - F.coalesce("used", F.lit(0)))
     fit = left.join(opportunities, "agency_id").where((F.col("score") >= F.col("least_score")) & ((F.size("types") == 0) | F.array_contains("types", F.col("type"))))
+    if "require_crm" in rules.columns:
+        fit = fit.where(~F.coalesce("require_crm", F.lit(False)) | F.col("contact_id").isNotNull())
     fresh = fit.join(sent.select("rule_id", "opportunity_id"), ["rule_id", "opportunity_id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("rule_id").orderBy(F.desc("score"), "opportunity_id"))
     return fresh.withColumn("rank", rank).where(F.col("rank") <= F.col("left")).select("rule_id", "opportunity_id", "score", "rank")
