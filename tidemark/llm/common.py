@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
+    """The folder that the cluster names in ``spark.checkpoint.dir``; where that is unset, one of our own on one machine, and an error on a cluster."""
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

@@ -190,7 +190,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Vectors that are null, empty, zero or hold null or non-finite components, null labels and
     null ids link with nothing; vectors of different lengths neither. A row with a null id has no
-    component and is kept. Rows that share an id and are equal count as links of each other.
+    component and is kept. Rows that share an id and are equal count as links of each other. An empty
+    table gives an empty result. Further columns, whatever their names, aren't looked at.
     """
     rows = checkpoint(usable(vectors, id_col, vector_col, label_col))
     valid = rows.where("vec_id is not null and label is not null and vector is not null")

@@ -148,7 +148,9 @@ def identify(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text
 
     A text that is null or has no letter is ``und`` with score 0 and rejected, as is
     every text if there is nothing to learn from. ``rejected`` marks predictions
-    whose calibrated probability is under the threshold that keeps ACCEPT of the right ones.
+    whose calibrated probability is under the threshold that keeps ACCEPT of the right ones. Very long texts
+    are taken whole; a null id isn't held out; rows repeated whole get the same result, each its own row. An
+    empty table gives an empty result. Further columns, whatever their names, aren't looked at.
     """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, sample, id_col, text_col, lang_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(fold(id_col, MODULUS) == HELD, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))

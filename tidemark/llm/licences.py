@@ -73,7 +73,9 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     known), n_license_lines and licenses (ids of its lines and of its paragraphs of several lines,
     distinct, sorted, comma-joined; empty without any).
 
-    Null text counts as empty. Rows of one id and one text get the same result, each its own row.
+    Null text counts as empty. Rows of one id and one text get the same result, each its own row; a null
+    id is a document like others. Very long texts are taken whole, line by line. An empty table gives an
+    empty result. Further columns, whatever their names, aren't looked at.
     ``known`` (license_id, text) replaces the built-in table; it's broadcast, so keep it small.
     """
     spark = docs.sparkSession

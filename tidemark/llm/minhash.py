@@ -141,7 +141,8 @@ def compare(table: pa.Table) -> pa.Table:
 
     Columns: digest, component, n, sig, bands, text, band, asks, main and strict. If any member asks,
     only pairs of one that asks and one that doesn't are compared, else all pairs. ``strict`` leaves a
-    pair that meets in an earlier band to that one.
+    pair that meets in an earlier band to that one. A table of one member or none gives no link; of
+    members with equal digests only one is there, as classes are made before.
     """
     table = table.sort_by("digest")
     texts, digests, components_ = (table.column(c).to_pylist() for c in ("text", "digest", "component"))
@@ -209,7 +210,12 @@ def joined_links(units: DataFrame, candidates: DataFrame, found: DataFrame) -> D
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, n_shingles, component_id, kept), a row for each row of ``docs``; key is ``text_key``."""
+    """(doc_id, key, n_shingles, component_id, kept), a row for each row of ``docs``; key is ``text_key``.
+
+    Null and empty texts have no shingles and stay alone, as do rows with a null id. Very long texts are taken
+    whole. Rows repeated whole are one component, each its own row. An empty table gives an empty result. Further
+    columns, whatever their names, aren't looked at.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     all_rows = checkpoint(sketches(rows))
     usable = all_rows.where("n > 0 and doc_id is not null")

@@ -167,8 +167,9 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece with its sequence and offset there.
 
-    Rows of one id are packed each by itself. Empty input gives no rows. Columns:
-    doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    Rows of one id, null ids too, are packed each by itself. Null text counts as empty: a piece with the
+    end id alone. Very long texts are cut into pieces, of which none is lost. Empty input gives no rows.
+    Further columns, whatever their names, aren't looked at. Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
     cut = checkpoint(pieces(docs, vocabulary, capacity, end_id, id_col, text_col))
     by_part = cut.groupBy("part", "length").agg(F.count("*").alias("n"))

@@ -189,7 +189,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score and predicted of every row, and the columns ``carry``.
 
-    Null or empty text is scored as a text without words; a null id is not held out.
+    Null or empty text is scored as a text without words; a null id is not held out. Very long texts
+    are taken whole. Rows repeated whole get the same score, each its own row. An empty table gives an empty
+    result. Further columns, whatever their names, aren't looked at unless ``carry`` names them.
     """
     vectors, net = fit(docs, labels, "quality", sample, id_col, text_col)
     sent = docs.sparkSession.sparkContext.broadcast((vectors, net))

@@ -266,7 +266,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
     """doc_id, held_out, score and predicted of every row.
 
     Null or empty text has no features: its score is the model's base rate. A null
-    id is not held out.
+    id is not held out. Very long texts are taken whole; rows repeated whole get the same score, each its own
+    row. An empty table gives an empty result. Further columns, whatever their names, aren't looked at.
     """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, "toxic", sample, id_col, text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(fold(id_col, MODULUS) == HELD, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
