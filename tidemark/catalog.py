@@ -393,4 +393,4 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.sessions(A.read(spark, sf_dir, "events"))
 
 
-from tidemark import catalog_flow, catalog_actions, catalog_evidence, catalog_life, catalog_limits, catalog_masking, catalog_pages  # noqa: E402, F401, I001  register their queries here
+from tidemark import catalog_flow, catalog_actions, catalog_details, catalog_evidence, catalog_life, catalog_limits, catalog_masking, catalog_pages  # noqa: E402, F401, I001  register their queries here

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import days_between
+
 OPEN = ("NEW", "ASSIGNED", "TO_CONTACT", "CONTACTED", "APPOINTMENT", "NEGOTIATION", "SNOOZED")
 #: PostgreSQL's order: descending puts nulls first.
 SORTS = {"score": ("score", "created_at"), "newest": ("created_at",), "price": ("price", "score"), "relationship": ("relationship", "score")}
@@ -47,11 +49,15 @@ def funnel(opportunities: DataFrame) -> DataFrame:
     return rows.withColumn("conversion", F.when(decided == 0, 0.0).otherwise(F.round(F.col("won") * 100 / decided, 4))).withColumn("cross_share", F.when(F.col("won") == 0, 0.0).otherwise(F.round(F.col("cross_won") * 100 / F.col("won"), 4)))
 
 
-def market_overview(listings: DataFrame, by: list[str]) -> DataFrame:
-    """Active and private listings, share, median price (over 0) and first city of each group."""
+def market_overview(listings: DataFrame, by: list[str], now: Column | None = None) -> DataFrame:
+    """Active and private listings, share, median price (over 0) and first city of each group; with ``now`` the median of the days since first sight too.
+
+    Medians are exact: a group's task holds a count for each different price and number of days, not the rows.
+    """
     price = F.when(F.col("price") > 0, F.col("price"))
-    rows = listings.groupBy(*by).agg(F.count("*").alias("active"), F.count_if(F.col("seller_type") == "private").alias("private"), F.median(price).alias("m"), F.min_by("city", F.struct("first_seen", "listing_id")).alias("city"))
-    return rows.select(*by, "active", "private", F.round(F.col("private") * 100 / F.col("active"), 4).alias("private_share"), F.floor(F.col("m") + 0.5).cast("long").alias("median_price"), "city")
+    days = {} if now is None else {"d": F.median(days_between(F.col("first_seen"), now))}
+    rows = listings.groupBy(*by).agg(*(v.alias(k) for k, v in days.items()), F.count("*").alias("active"), F.count_if(F.col("seller_type") == "private").alias("private"), F.median(price).alias("m"), F.min_by("city", F.struct("first_seen", "listing_id")).alias("city"))
+    return rows.select(*by, "active", "private", F.round(F.col("private") * 100 / F.col("active"), 4).alias("private_share"), F.floor(F.col("m") + 0.5).cast("long").alias("median_price"), "city", *(F.coalesce(k, F.lit(0.0)).alias("median_days") for k in days))
 
 
 def rules_now(rules: DataFrame, hour: int, fallback_chat: str | None = None) -> DataFrame:
