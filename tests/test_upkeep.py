@@ -58,3 +58,16 @@ def test_opportunities_expire(spark):
     assert {r.opportunity_id: r.status for r in opportunities.expire(o, now).collect()} == {1: "DISMISSED", 2: "NEW", 3: "WON", 4: "NEW"}
     newest = insight.latest(o, [F.desc("opportunity_id")], 2)
     assert sorted(r.opportunity_id for r in newest.collect()) == [3, 4]
+
+
+def test_reasons_as_rows_and_lines(spark):
+    kind = "opportunity_id long, reasons array<struct<code: string, dimension: string, points: int>>"
+    scored = spark.createDataFrame([(1, [("a", "intent", 45), ("b", "timing", 30), ("c", "intent", 5)]), (2, []), (3, None)], kind)
+    assert rows(opportunities.reason_rows(scored, 2), "opportunity_id", "rank", "code", "points") == [(1, 0, "a", 45), (1, 1, "b", 30)]
+    lines = scored.select(opportunities.reason_lines(F.col("reasons"), {"a": "Particulier"}, 2).alias("lines")).collect()
+    assert [r.lines for r in lines] == [["Particulier", "b"], [], None]
+
+
+def test_runs_are_bounded(spark):
+    run = spark.createDataFrame([(["w"] * 60, "e" * 900), (None, None)], "warnings array<string>, error string")
+    assert [(len(r.warnings or []), len(r.error or "")) for r in insight.bounded(run).collect()] == [(50, 500), (0, 0)]

@@ -10,7 +10,7 @@ from tidemark.catalog_flow import pick, pick_sql
 from tidemark.functions import places as P
 from tidemark.functions import scalars as S
 from tidemark.functions import text as T
-from tidemark.operators import insight, market, resolution, serving
+from tidemark.operators import insight, market, resolution, serving, upkeep
 from tidemark.plans import analogue as A
 
 PROVINCES = ("oost-vlaanderen", "vlaams-brabant", "luik", "Elsewhere", "", None)
@@ -73,3 +73,42 @@ def latest_with_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     properties = A.read(spark, sf_dir, "part").where(k % 2 == 0).select(k.alias("property_id"), F.col("p_name").alias("street"))
     out = insight.with_parents(first, properties, A.contacts(spark, sf_dir).select("contact_id", "name"))
     return out.select("opportunity_id", F.col("property.street").alias("property"), F.col("contact.name").alias("contact"), F.size("reasons").alias("n_reasons"))
+
+
+@query(
+    f"""WITH {A.OBSERVATIONS_SQL}, q AS (SELECT * FROM obs QUALIFY row_number() OVER (PARTITION BY listing_id, observed_at >= TIMESTAMP '1996-01-01' ORDER BY observed_at DESC, l_orderkey DESC, l_linenumber DESC) = 1),
+    s AS (SELECT *, price // 5000 AS band FROM q WHERE observed_at < TIMESTAMP '1996-01-01' AND listing_id % 5 <> 0), b AS (SELECT *, price // 5000 AS band FROM q WHERE observed_at >= TIMESTAMP '1996-01-01' AND listing_id % 7 <> 0)
+    SELECT coalesce(s.listing_id, b.listing_id) AS listing_id, CASE WHEN b.band IS NOT NULL AND b.band IS DISTINCT FROM s.band THEN b.price ELSE s.price END AS price, coalesce(b.band, s.band)::VARCHAR AS content_hash, coalesce(b.seller_type, s.seller_type) AS seller_type, coalesce(s.price, b.price) AS first_price, coalesce(s.observed_at, b.observed_at) AS first_seen,
+    coalesce(b.observed_at, s.observed_at) AS last_seen, CASE WHEN b.band IS NULL THEN 'MISSING' ELSE 'ACTIVE' END AS status, CASE WHEN b.band IS NULL THEN 2 ELSE 0 END AS missed_runs, (CASE WHEN s.band IS NULL THEN 0 ELSE 1 END + coalesce(b.band <> s.band AND b.price < s.price AND (s.price - b.price) / s.price::DOUBLE * 100 >= 0.5, false)::INTEGER)::INTEGER AS drop_count
+    FROM s FULL JOIN b USING (listing_id)"""
+)
+def upserted_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings as last seen before 1996, merged with what was seen last since; the content is the price's band of 5000."""
+    at, key = F.col("observed_at"), F.col("listing_id")
+    rows = A.observations(spark, sf_dir).withColumn("content_hash", F.floor(F.col("price") / 5000).cast("string"))
+    last = lambda df: df.groupBy("listing_id").agg(F.max_by(F.struct("price", "seller_type", "content_hash", "observed_at"), F.struct("observed_at", *A.TIE)).alias("s")).select("listing_id", "s.*")
+    year = F.lit("1996-01-01").cast("timestamp")
+    state = last(rows.where((at < year) & (key % 5 != 0))).select("listing_id", "price", "seller_type", "content_hash", F.col("price").alias("first_price"), at.alias("first_seen"), at.alias("last_seen"), F.lit("MISSING").alias("status"), F.lit(2).alias("missed_runs"), F.lit(1).alias("drop_count"))
+    return upkeep.upsert_listings(state, last(rows.where((at >= year) & (key % 7 != 0))))
+
+
+@query(
+    f"""WITH {A.OPPORTUNITIES_SQL}, p AS (SELECT * FROM opp WHERE status = 'NEW' ORDER BY score DESC NULLS FIRST, created_at DESC NULLS FIRST, opportunity_id LIMIT 25), h AS (SELECT type, count(*) AS n FROM p GROUP BY 1),
+    s AS (SELECT DISTINCT contact_id FROM opp WHERE status = 'WON'), r AS (SELECT contact_id, count(*) AS n FROM opp GROUP BY 1 ORDER BY n DESC, contact_id LIMIT 1)
+    SELECT 'page' AS what, type AS name, n FROM h UNION ALL SELECT 'total', 'NEW', count(*) FROM opp WHERE status = 'NEW' UNION ALL SELECT 'won', 'contacts', count(*) FROM con WHERE contact_id IN (SELECT contact_id FROM s)
+    UNION ALL SELECT 'richest', contact_id::VARCHAR, n FROM r UNION ALL SELECT 'since', agency_id::VARCHAR, count(*) FILTER (created_at >= TIMESTAMP '1997-01-01') FROM opp GROUP BY agency_id"""
+)
+def dashboard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's types, its list's total, contacts with a won opportunity, the contact with the most, and each agency's since 1997."""
+    o = A.opportunities(spark, sf_dir)
+    page = serving.work_list(o, A.now(), status="NEW")
+    row = lambda df, what, name, n: df.select(F.lit(what).alias("what"), name.cast("string").alias("name"), n.cast("long").alias("n"))
+    won = insight.having(A.contacts(spark, sf_dir), o.where("status = 'WON'"), "contact_id")
+    parts = [
+        row(insight.page_histogram(page, "type"), "page", F.col("type"), F.col("n")), row(o.where("status = 'NEW'").agg(F.count("*").alias("n")), "total", F.lit("NEW"), F.col("n")), row(won.agg(F.count("*").alias("n")), "won", F.lit("contacts"), F.col("n")),
+        row(insight.richest(o, "contact_id"), "richest", F.col("contact_id"), F.col("n")), row(insight.alerts_since(o.withColumnRenamed("created_at", "at"), F.lit("1997-01-01").cast("timestamp")), "since", F.col("agency_id"), F.col("n")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out

@@ -120,3 +120,28 @@ def with_parents(opportunities: DataFrame, properties: DataFrame, contacts: Data
     p = properties.select("property_id", F.struct(*(c for c in properties.columns if c != "property_id")).alias("property"))
     k = contacts.select("contact_id", F.struct(*(c for c in contacts.columns if c != "contact_id")).alias("contact"))
     return opportunities.join(p, "property_id", "left").join(k, "contact_id", "left").withColumn("reasons", F.slice("reasons", 1, reasons))
+
+
+def page_histogram(page: DataFrame, column: str) -> DataFrame:
+    """(column, n) over a page of a list, the most frequent first, ties by value."""
+    return page.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
+
+
+def having(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
+    """The parents that have a child; a parent with many isn't repeated."""
+    return parents.join(children.select(key), key, "left_semi")
+
+
+def richest(children: DataFrame, parent: str) -> DataFrame:
+    """(parent, n): the one with the most children, the lowest of several. Only each task's best reaches the last one."""
+    return children.dropna(subset=[parent]).groupBy(parent).agg(F.count("*").alias("n")).orderBy(F.desc("n"), parent).limit(1)
+
+
+def alerts_since(alerts: DataFrame, since: Column) -> DataFrame:
+    """(agency_id, n): the alerts of each agency from a time on; agencies without one have 0."""
+    return alerts.groupBy("agency_id").agg(F.count_if(F.col("at") >= since).alias("n"))
+
+
+def bounded(runs: DataFrame, warnings: int = 50, error: int = 500) -> DataFrame:
+    """Runs as they are stored: so many warnings, and so many characters of the error, at most."""
+    return runs.withColumns({"warnings": F.slice("warnings", 1, warnings), "error": F.substring("error", 1, error)})

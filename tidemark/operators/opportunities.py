@@ -131,3 +131,15 @@ def assignment_history(assignments: DataFrame) -> DataFrame:
 def expire(opportunities: DataFrame, now: Column) -> DataFrame:
     """NEW ones past expires_at become DISMISSED."""
     return opportunities.withColumn("status", F.when((F.col("status") == "NEW") & (F.col("expires_at") < now), "DISMISSED").otherwise(F.col("status")))
+
+
+def reason_rows(scored: DataFrame, limit: int = 10, key: str = "opportunity_id") -> DataFrame:
+    """(key, rank, code, dimension, points): the reasons of a score as rows, the strongest first from 0, ``limit`` at most."""
+    rows = scored.select(key, F.posexplode(F.slice("reasons", 1, limit)).alias("rank", "r"))
+    return rows.select(key, "rank", "r.code", "r.dimension", "r.points")
+
+
+def reason_lines(reasons: Column, labels: dict[str, str], limit: int = 5) -> Column:
+    """The labels of the first reasons; a code without a label stands for itself."""
+    names = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))
+    return F.transform(F.slice(reasons, 1, limit), lambda r: F.coalesce(F.try_element_at(names, r["code"]), r["code"]))

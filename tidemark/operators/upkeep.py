@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import is_poorer_name
+from tidemark.operators.market import MIN_CHANGE_PERCENT
 
 TEXTS = ("display_name", "email", "phone", "postal_code", "city", "address_key")
 
@@ -52,6 +53,25 @@ def contact_changes(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 RELATION = ["agency_id", "contact_id", "address_key", "role"]
 
 
+def upsert_listings(state: DataFrame, seen: DataFrame, content: tuple[str, ...] = ("price",), least_percent: float = MIN_CHANGE_PERCENT) -> DataFrame:
+    """Listings after a run. What was seen is ACTIVE with no missed run, seen last now, and takes its class; the content only where its hash differs.
+
+    state: listing_id, ``content``, seller_type, content_hash, first_price, first_seen, last_seen, status,
+    missed_runs, drop_count. seen: listing_id, ``content``, seller_type, content_hash, observed_at, one row a
+    listing. A price that fell by ``least_percent`` at least counts as a drop. Others stay as they are.
+    """
+    new = seen.select("listing_id", *(F.col(c).alias(f"_{c}") for c in (*content, "seller_type", "content_hash", "observed_at")))
+    j = state.join(new, "listing_id", "full")
+    there, known = F.col("_observed_at").isNotNull(), F.col("first_seen").isNotNull()
+    changed = there & ~F.col("content_hash").eqNullSafe(F.col("_content_hash"))
+    fell = changed & (F.col("_price") > 0) & (F.col("_price") < F.col("price")) & ((F.col("price") - F.col("_price")) / F.col("price") * 100 >= least_percent)
+    take = lambda cond, c, value: F.when(cond, value).otherwise(F.col(c)).alias(c)
+    return j.select(
+        "listing_id", *(take(changed, c, F.col(f"_{c}")) for c in (*content, "content_hash")), take(there, "seller_type", F.col("_seller_type")), take(~known, "first_price", F.col("_price")), take(~known, "first_seen", F.col("_observed_at")), take(there, "last_seen", F.col("_observed_at")),
+        take(there, "status", F.lit("ACTIVE")), take(there, "missed_runs", F.lit(0)), (F.coalesce("drop_count", F.lit(0)) + F.coalesce(fell, F.lit(False)).cast("int")).alias("drop_count"),
+    )
+
+
 def merge_relations(state: DataFrame, batch: DataFrame) -> DataFrame:
     """One row per agency, contact, address and role; a known one only takes the batch's property, if it names one.
 
