@@ -414,3 +414,18 @@ def test_language_scores_by_plain_python():
             assert has_letter and len(buckets) == sum(n)
         z = (table[buckets].astype(np.float64).mean(0) + model.bias) / 0.7
         assert np.allclose(model.probabilities(model.average(buckets)), np.exp(z) / np.exp(z).sum(), atol=1e-4)
+
+
+def test_licences_sql_knows_whole_texts_and_paragraphs(spark):
+    import duckdb
+
+    whole = {i: t for i, t in licences.known_texts() if len(t) > 900}
+    rows = [(1, "Copyright (c) 2020 Jo\n\n" + whole["MIT"]), (2, "intro\n\n" + whole["MIT"].replace(" ", "  ") + "\n\nend"), (3, None), (4, "SPDX-License-Identifier: Apache-2.0\nx"), (5, whole[max(whole)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    db = duckdb.connect()
+    db.register("documents", docs.toPandas())
+    want = db.sql(licences.oracle_sql()).df()
+    got = licences.scan(docs).toPandas()
+    clean = lambda df: sorted(map(str, df[["doc_id", "digest", "license_id", "n_license_lines", "licenses"]].astype(object).where(df.notna(), None).itertuples(index=False)))
+    assert clean(got) == clean(want)
+    assert set(want["license_id"].dropna()) >= {"MIT"} and "MIT" in want.set_index("doc_id")["licenses"][2]

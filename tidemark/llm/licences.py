@@ -111,13 +111,15 @@ def oracle_sql() -> str:
             form = f"replace({form}, {quote(a)}, {quote(b)})"
         return f"sha256(trim(regexp_replace({form}, {quote(NOT_WORD)}, ' ', 'g')))"
 
-    values = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in KNOWN)
+    values = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in dict.fromkeys(known_texts()))
     return f"""
     WITH known AS (SELECT {digest('text')} AS digest, min(license_id) AS license_id FROM (VALUES {values}) t(license_id, text) GROUP BY 1),
-    lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
-    hits AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS licenses
-             FROM (SELECT doc_id, {digest('line')} AS digest FROM lines WHERE line <> '') JOIN known USING (digest) GROUP BY 1)
-    SELECT d.doc_id, d.digest, k.license_id, coalesce(h.n, 0)::BIGINT AS n_license_lines, coalesce(h.licenses, '') AS licenses
-    FROM (SELECT doc_id, {digest("coalesce(text, '')")} AS digest FROM documents) d
-    LEFT JOIN hits h USING (doc_id) LEFT JOIN known k USING (digest)
+    d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    parts AS (SELECT doc_id, true AS is_line, unnest(string_split(text, chr(10))) AS part FROM d
+      UNION ALL SELECT doc_id, false, part FROM (SELECT doc_id, unnest(regexp_split_to_array(text, {quote(BLANK_LINES)})) AS part FROM d) WHERE contains(trim(part, ' ' || chr(9) || chr(13) || chr(10)), chr(10))),
+    hits AS (SELECT doc_id, count(*) FILTER (is_line) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS licenses
+             FROM (SELECT doc_id, is_line, {digest('part')} AS digest FROM parts WHERE part <> '') JOIN known USING (digest) GROUP BY 1),
+    whole AS (SELECT doc_id, {digest('text')} AS digest FROM d)
+    SELECT w.doc_id, w.digest, k.license_id, coalesce(h.n, 0)::BIGINT AS n_license_lines, coalesce(h.licenses, '') AS licenses
+    FROM whole w LEFT JOIN hits h USING (doc_id) LEFT JOIN known k USING (digest)
     """
