@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ROWS, distinct_rows, in_chunks, lean, texts_of, written
-from tidemark.llm.packing import CACHE_WORDS, WordIds
+from tidemark.llm.packing import WordIds
 from tidemark.llm.token_counts import SPACE, Pieces
 
 #: Tokens in a row of events.
 RUN = 4096
-#: Tokens of short documents that are swept at once, and runs from which a document is swept by itself.
-TOGETHER, LONG_RUNS = 400_000, 16
+#: Tokens of short documents that are swept at once, and rows of events from which a document is swept by itself.
+TOGETHER, LONG_RUNS = 150_000, 16
+#: Bytes of text that are encoded at once, and encoded words that a task keeps, so that a task's arrays and tables stay small.
+STRETCH, KEPT_WORDS = 1 << 18, 100_000
 #: Pairs of ids are sent to all tasks up to this many, and met by a shuffle beyond.
 BROADCAST_PAIRS = 1_000_000
 #: Sides: a document that has no tokens comes first.
@@ -52,7 +54,9 @@ class Table:
 
     def bytes(self, ids: np.ndarray) -> np.ndarray:
         n = self.lengths[ids]
-        return self.flat[np.repeat(self.starts[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        at = np.repeat(self.starts[ids] - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
+        return self.flat[at]
 
 
 class SideA(WordIds):
@@ -72,6 +76,8 @@ class SideA(WordIds):
         return [special[i].encode() if i in special else bytes(map(table.__getitem__, ids[i])) if i in ids else b"" for i in range(max(ids) + 1)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        if len(self) > KEPT_WORDS:
+            self.clear()
         return self.texts([f" {t}" for t in texts])
 
 
@@ -96,7 +102,7 @@ class SideB(dict):
         return [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace(SPACE, " ").encode() for i in range(m.get_piece_size())]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self) > CACHE_WORDS:
+        if len(self) > KEPT_WORDS:
             self.clear()
         parts = [t.split(" ") for t in texts]
         plain = ["" not in p and SPACE not in t for p, t in zip(parts, texts)]
@@ -119,7 +125,7 @@ def end_events(rows: DataFrame, side: int, encoder: type, vocabulary: str, table
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(vocabulary)
         for batch, texts in texts_of(batches):
-            for at, some in in_chunks(texts):
+            for at, some in in_chunks(texts, STRETCH):
                 raw = words.ids(some)
                 ids = np.frombuffer(b"".join(raw), "<u4")
                 want = [b" " + t.encode() for t in some]
