@@ -209,7 +209,9 @@ def opportunity_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     listings = state.withColumns({"property_id": F.floor(key / 2), "seller_confidence": F.when(key % 5 == 0, 0.8).otherwise(0.9), "seller_name": none, "phone": F.when(key % 4 == 0, F.concat(F.lit("+32"), key)), "email": none, "match_key": F.concat(F.lit("own:"), key), "is_relisted": key % 11 == 0, **place_of(key)})
     contacts, interactions = people(spark, sf_dir)
-    out = flow.opportunities_of_events(market.detect_events(h), listings, territory_table(spark, sf_dir), contacts, interactions, A.now(), with_reasons=False)
+    # Each is used several times; where a shared folder is named, they are made once.
+    events, listings, contacts = map(upkeep.settled, (market.detect_events(h), listings, contacts))
+    out = flow.opportunities_of_events(events, listings, territory_table(spark, sf_dir), contacts, interactions, A.now(), with_reasons=False)
     return out.select("agency_id", "dedupe_key", "type", "score", "origin", "contact_id", "event_key", F.size("signals").alias("n_signals"), "expires_at")
 
 
