@@ -38,6 +38,11 @@ def test_listings_json(spark, tmp_path):
     good, bad = files.read_listings(spark, str(tmp_path / "l.json"), "made")
     assert [(r["sourceListingId"], r["price"], r["bedrooms"]) for r in good.collect()] == [("a", 250000, 3)]
     assert bad.count() == 2
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "a.json").write_text(json.dumps(rows))
+    (tmp_path / "more" / "b.json").write_text('[{"sourceListingId": "x", ')
+    good, bad = files.read_listings(spark, str(tmp_path / "more"), "made")
+    assert good.count() == 1 and sorted(r.reason for r in bad.collect()) == ["no id", "not JSON", "url isn't one"]
 
 
 def test_structured_data(spark):

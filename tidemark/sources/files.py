@@ -14,16 +14,20 @@ LISTING = "sourceListingId string, url string, title string, description string,
 
 
 def read_listings(spark: SparkSession, path: str, source: str) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) of a JSON array of listings: without id or url a row is rejected; a bad optional value is null."""
-    raw = spark.read.schema(LISTING).option("multiLine", True).json(path)
+    """(accepted, rejected) of a JSON array of listings: without id or url a row is rejected, with its ``reason``; a bad optional value is null.
+
+    A file that isn't JSON gives one rejected row, and the other files go on.
+    """
+    raw = spark.read.schema(f"{LISTING}, _broken string").option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").json(path)
     whole = lambda c, low, high: F.when(loose_number(F.col(c)).between(low, high), F.floor(loose_number(F.col(c)) + 0.5).cast("int"))
     typed = raw.select(
         F.lit(source).alias("source"), *(clean(F.col(c)).alias(c) for c in ("sourceListingId", "url", "title", "description", "propertyType", "address", "postalCode", "city", "province", "sellerName", "sellerPhone")),
         valid_price(F.col("price")).alias("price"), F.coalesce(F.upper(clean(F.col("currency"))), F.lit("EUR")).alias("currency"), F.when(F.col("listingType") == "rent", "rent").otherwise("sale").alias("listingType"),
-        whole("bedrooms", 0, 50).alias("bedrooms"), whole("surfaceArea", 1, 100_000).alias("surfaceArea"), F.when(F.col("sellerTypeHint").isin("private", "professional"), F.col("sellerTypeHint")).otherwise("unknown").alias("sellerTypeHint"), F.try_to_timestamp("publishedAt").alias("publishedAt"),
+        whole("bedrooms", 0, 50).alias("bedrooms"), whole("surfaceArea", 1, 100_000).alias("surfaceArea"), F.when(F.col("sellerTypeHint").isin("private", "professional"), F.col("sellerTypeHint")).otherwise("unknown").alias("sellerTypeHint"), F.try_to_timestamp("publishedAt").alias("publishedAt"), "_broken",
     )
-    usable = F.col("sourceListingId").isNotNull() & F.col("url").rlike("^https?://")
-    return typed.where(usable), typed.where(~F.coalesce(usable, F.lit(False)))
+    reason = F.when(F.col("_broken").isNotNull() & F.col("sourceListingId").isNull(), "not JSON").when(F.col("sourceListingId").isNull(), "no id").when(F.col("url").isNull(), "no url").when(~F.col("url").rlike("^https?://"), "url isn't one")
+    told = typed.withColumn("reason", reason).drop("_broken")
+    return told.where("reason is null").drop("reason"), told.where("reason is not null")
 
 
 DELIMITERS = (";", ",", "\t", "|")
