@@ -31,3 +31,14 @@ def test_crm_matches_pairs_grow_with_evidence_not_with_signals(spark):
     got = {(r["market_id"], r["agency_id"], r["contact_id"], r["confidence"]) for r in df.collect()}
     assert got == {(m, a, next(c for c in range(60) if c % 2 == a and c % 3 == m % 3), 0.9) for m in range(600) for a in range(2)}
     assert shuffled_rows(df) < 5000  # pairs of signals and contacts would be 36,000 at least
+
+
+def test_property_candidates_shuffle_arrays_not_pairs(spark):
+    key = F.col("id")
+    none = F.lit(None).cast("string")
+    listings = spark.range(400).select(key.alias("listing_id"), none.alias("match_key"), F.lit("9000").alias("postal_code"), F.lit("house").alias("property_type"), F.lit("+321").alias("phone"))
+    properties = spark.range(200).select(key.alias("property_id"), none.alias("match_key"), F.lit("9000").alias("postal_code"), F.when(key >= 190, "house").otherwise("land").alias("property_type"), F.array(F.lit("+321")).alias("phones"))
+    df = resolution.property_candidates(listings, properties)
+    want = {(listing, p, 2) for listing in range(400) for p in range(190, 200)} | {(listing, p, 3) for listing in range(400) for p in range(15)}
+    assert {tuple(r) for r in df.collect()} == want
+    assert shuffled_rows(df) < 6000  # pairs would be 24,000
