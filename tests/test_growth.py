@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import resolution
+from tidemark.operators import normalization, resolution
 
 
 def nodes(plan):
@@ -42,3 +42,13 @@ def test_property_candidates_shuffle_arrays_not_pairs(spark):
     want = {(listing, p, 2) for listing in range(400) for p in range(190, 200)} | {(listing, p, 3) for listing in range(400) for p in range(15)}
     assert {tuple(r) for r in df.collect()} == want
     assert shuffled_rows(df) < 6000  # pairs would be 24,000
+
+
+def test_normalisation_of_one_file_is_dealt_over_tasks(spark, tmp_path):
+    fields = ("title", "description", "price", "currency", "listing_type", "property_type", "address", "postal_code", "city", "province", "bedrooms", "surface", "seller_name", "seller_phone", "seller_type_hint")
+    raw = spark.range(200).select(F.col("id").alias("listing_id"), *(F.lit(None).cast("string").alias(f) for f in fields)).withColumn("title", F.lit("Huis te koop"))
+    raw.coalesce(1).write.parquet(str(tmp_path / "raw"))
+    out = normalization.normalize_listings(spark.read.parquet(str(tmp_path / "raw"))).select("listing_id", "property_type", F.spark_partition_id().alias("task"))
+    rows = out.collect()
+    assert sorted((r[0], r[1]) for r in rows) == [(i, "house") for i in range(200)]
+    assert len({r["task"] for r in rows}) > spark.sparkContext.defaultParallelism

@@ -1,4 +1,4 @@
-"""Raw listings and contacts to the form that matching, events and scoring work on: one projection each."""
+"""Raw listings and contacts to the form that matching, events and scoring work on: one projection each, dealt over all tasks."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.places import city_of, is_province, parse_address
 from tidemark.functions.scalars import contact_date, match_key, phone_e164, phone_is_mobile, phones_in, postal_code, property_class, province_of, stable_hash, valid_price
+from tidemark.functions.spread import dealt
 from tidemark.functions.text import clean, name_key, normalize_text, text_or_empty
 
 #: Words by which a contact's type is told, in the order in which they are tried.
@@ -65,7 +66,7 @@ def normalize_listings(raw: DataFrame) -> DataFrame:
     for the city, the postal code.
     """
     c = F.col
-    rows = parse_address(raw, c("address"), "_a").withColumn("_postal", F.coalesce(postal_code(c("postal_code")), c("_a.postal"), postal_code(c("title"))))
+    rows = parse_address(dealt(raw), c("address"), "_a").withColumn("_postal", F.coalesce(postal_code(c("postal_code")), c("_a.postal"), postal_code(c("title"))))
     rows = rows.withColumn("_city", F.coalesce(clean(c("city")), c("_a.city"), city_of(c("_postal"))))
     rows = rows.withColumn("_phone", best_phone(c("seller_phone"), F.concat_ws(" ", text_or_empty(c("title")), text_or_empty(c("description")))))
     declared = F.replace(normalize_text(c("province")), F.lit(" "), F.lit("-"))
@@ -86,7 +87,7 @@ def normalize_contacts(raw: DataFrame) -> DataFrame:
     contact_type, lead_type, status, created_at, last_contact_at; all strings that may be null.
     """
     c = F.col
-    rows = parse_address(raw, c("address"), "_a").withColumn("_postal", F.coalesce(postal_code(c("postal_code")), c("_a.postal")))
+    rows = parse_address(dealt(raw), c("address"), "_a").withColumn("_postal", F.coalesce(postal_code(c("postal_code")), c("_a.postal")))
     name = F.coalesce(clean(c("display_name")), F.nullif(F.concat_ws(" ", clean(c("first_name")), clean(c("last_name"))), F.lit("")))
     kind = contact_type(F.coalesce("contact_type", "lead_type"))
     out = rows.select(
