@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import normalization, resolution
+from tidemark.operators import lifecycle, market, normalization, resolution
 
 
 def nodes(plan):
@@ -52,3 +52,26 @@ def test_normalisation_of_one_file_is_dealt_over_tasks(spark, tmp_path):
     rows = out.collect()
     assert sorted((r[0], r[1]) for r in rows) == [(i, "house") for i in range(200)]
     assert len({r["task"] for r in rows}) > spark.sparkContext.defaultParallelism
+
+
+def observed(spark):
+    """300 listings of 150 properties, seen 20 times each with gaps."""
+    i = F.col("id")
+    at = F.add_months(F.lit("2020-01-01").cast("date"), (F.floor(i / 300) * 2 + F.when(i / 300 >= 10, 7).otherwise(0)).cast("int")).cast("timestamp")
+    return spark.range(6000).select((i % 4).alias("source"), F.floor(i % 300 / 2).alias("property_id"), (i % 300).alias("listing_id"), at.alias("observed_at"), (100_000 + i * 7919 % 50_000).alias("price"), F.element_at(F.array(*map(F.lit, ("private", "professional", "unknown"))), (i % 7 % 3 + 1).cast("int")).alias("seller_type"))
+
+
+def test_lifecycle_shuffles_observations_once(spark, tmp_path):
+    observed(spark).write.parquet(str(tmp_path / "seen"))
+    df = lifecycle.lifecycle_events(spark.read.parquet(str(tmp_path / "seen")))
+    assert shuffled_rows(df) < 2 * 6000 + 5000
+
+
+def test_lives_are_the_state_and_the_greatest_keys(spark):
+    rows = observed(spark)
+    one = market.lives(lifecycle.seen_with_runs(rows), ("price", "seller_type", "drop_count"), tie=lifecycle.TIE, more=lifecycle.life_kinds(), elsewhere={"RELISTED": F.col("next.listing_id")})
+    got = {tuple(r) for r in one.select(F.explode("events").alias("e")).select("e.*").collect()}
+    want = lifecycle.lifecycle_events(rows).groupBy("listing_id", "type").agg(F.max("dedupe_key").alias("dedupe_key"))
+    assert got == {(r["listing_id"], r["type"], r["dedupe_key"]) for r in want.collect()}
+    state = market.listing_state(rows, tie=lifecycle.TIE).select("listing_id", "price", "seller_type", "drop_count")
+    assert {tuple(r) for r in one.select(*state.columns).collect()} == {tuple(r) for r in state.collect()}

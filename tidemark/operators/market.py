@@ -32,25 +32,30 @@ def listing_state(observations: DataFrame, key: str = "listing_id", at: str = "o
     return last.select(key, "s.*").select(*h.columns)
 
 
-def detect_events(h: DataFrame, key: str = "listing_id", at: str = "observed_at", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(dedupe_key, listing, type, occurred_at, old and new price, drop, percent) of observations with history.
-
-    Sub-threshold changes move the baseline without an event. A threshold of days fires on the
-    first observation that has reached it. Events with the same key count once. ``carry``: further
-    columns of the observations to keep.
-    """
-    kind = lambda name, cond, tail="": F.when(cond, F.struct(F.lit(name).alias("type"), F.concat(F.col(key).cast("string"), F.lit(f":{name}"), tail if isinstance(tail, Column) else F.lit(tail)).alias("dedupe_key")))
+def event_kinds(key: str = "listing_id", at: str = "observed_at") -> list[tuple[str, Column, Column]]:
+    """(type, condition, dedupe_key) of what an observation with history can be."""
+    kind = lambda name, cond, tail="": (name, cond, F.concat(F.col(key).cast("string"), F.lit(f":{name}"), tail if isinstance(tail, Column) else F.lit(tail)))
     both = (F.col("price") > 0) & (F.col("old_price") > 0) & (change_percent() >= MIN_CHANGE_PERCENT)
     moved = F.concat(F.lit(":"), F.col("old_price").cast("string"), F.lit(":"), F.col("price").cast("string"), F.lit(":"), day_key(F.col(at)))
     today = F.concat(F.lit(":"), day_key(F.col(at)))
     age, before = days_between(F.col("first_seen"), F.col(at)), F.coalesce(days_between(F.col("first_seen"), F.col("previous_at")), F.lit(-1))
-    found = [
+    return [
         kind("NEW_LISTING", F.col("n") == 1), kind("FSBO_DETECTED", (F.col("n") == 1) & (F.col("seller_type") == "private")),
         kind("PRICE_DROP", both & (F.col("price") < F.col("old_price")), moved), kind("PRICE_INCREASE", both & (F.col("price") > F.col("old_price")), moved),
         kind("AGENCY_TO_PRIVATE", (F.col("old_seller_type") == "professional") & (F.col("seller_type") == "private"), today),
         kind("PRIVATE_TO_AGENCY", (F.col("old_seller_type") == "private") & (F.col("seller_type") == "professional"), today),
         *(kind(f"STALE_{d}", (F.col("n") > 1) & (age >= d) & (before < d)) for d in STALE_DAYS),
     ]
+
+
+def detect_events(h: DataFrame, key: str = "listing_id", at: str = "observed_at", carry: tuple[str, ...] = (), more: tuple[tuple[str, Column, Column], ...] = ()) -> DataFrame:
+    """(dedupe_key, listing, type, occurred_at, old and new price, drop, percent) of observations with history.
+
+    Sub-threshold changes move the baseline without an event. A threshold of days fires on the
+    first observation that has reached it. Events with the same key count once. ``carry``: further
+    columns of the observations to keep; ``more``: further kinds of events.
+    """
+    found = [F.when(cond, F.struct(F.lit(name).alias("type"), dedupe_key.alias("dedupe_key"))) for name, cond, dedupe_key in (*event_kinds(key, at), *more)]
     rows = h.withColumn("e", F.explode(F.filter(F.array(*found), lambda e: e.isNotNull())))
     price_event = F.col("e.type").isin("PRICE_DROP", "PRICE_INCREASE")
     out = rows.select(
@@ -62,6 +67,20 @@ def detect_events(h: DataFrame, key: str = "listing_id", at: str = "observed_at"
     return out.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
+def lives(h: DataFrame, kept: tuple[str, ...], key: str = "listing_id", at: str = "observed_at", tie: tuple[str, ...] = (), more: tuple[tuple[str, Column, Column], ...] = (), elsewhere: dict[str, Column] | None = None) -> DataFrame:
+    """One row per listing: ``kept`` columns of its last observation, and events: (listing, type, dedupe_key), of each type the greatest key.
+
+    From the history as it lies, in one pass and without a row for each event. ``more``: further kinds of
+    events; ``elsewhere``: of a kind, the listing whose event it is, where it's another one.
+    """
+    of = lambda name: (elsewhere or {}).get(name, F.col(key))
+    kinds = (*event_kinds(key, at), *more)
+    found = [F.max(F.when(cond, F.struct(dedupe_key.alias("dedupe_key"), of(name).alias("owner")))).alias(f"_{name}") for name, cond, dedupe_key in kinds]
+    one = h.groupBy(key).agg(F.max_by(F.struct(*kept), F.struct(at, *tie)).alias("s"), *found)
+    events = F.array_compact(F.array(*(F.when(F.col(f"_{name}").isNotNull(), F.struct(F.col(f"_{name}.owner").alias(key), F.lit(name).alias("type"), F.col(f"_{name}.dedupe_key").alias("dedupe_key"))) for name, _, _ in kinds)))
+    return one.select(key, "s.*", events.alias("events"))
+
+
 def missed_runs(seen: DataFrame, runs: DataFrame, key: str = "listing_id", run: str = "run") -> DataFrame:
     """(listing, run, missed): runs missed in a row since the listing was last seen, from its first sight on.
 
