@@ -68,9 +68,11 @@ for old, new in (
 def relist_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From observations by run to one opportunity per agency and property, relisted private sales among them."""
     rows, key, none = monthly(spark, sf_dir), F.col("listing_id"), F.lit(None).cast("string")
-    events = settled(lifecycle.lifecycle_events(rows))
+    kept = ("property_id", "seller_type", "price", "drop_count", "first_seen")
+    one = settled(market.lives(lifecycle.seen_with_runs(rows), kept, tie=lifecycle.TIE, more=lifecycle.life_kinds(), elsewhere={"RELISTED": F.col("next.listing_id")}))
+    events = one.select(F.explode("events").alias("e")).select("e.*")
     again = events.where("type = 'RELISTED'").select("listing_id", F.lit(True).alias("again")).distinct()
-    state = market.listing_state(rows.distinct(), tie=lifecycle.TIE).select("listing_id", "property_id", "seller_type", "price", "drop_count", "first_seen").join(again, "listing_id", "left")
+    state = one.drop("events").join(again, "listing_id", "left")
     listings = state.withColumns({"seller_confidence": F.when(key % 5 == 0, 0.8).otherwise(0.9), "seller_name": none, "phone": F.when(key % 4 == 0, F.concat(F.lit("+32"), key)), "email": none, "match_key": F.concat(F.lit("own:"), key), "is_relisted": F.coalesce("again", F.lit(False)), **place_of(key)}).drop("again")
     contacts, interactions = people(spark, sf_dir)
     out = flow.opportunities_of_events(events, settled(listings), territory_table(spark, sf_dir), settled(contacts), interactions, A.now(), with_reasons=False)
