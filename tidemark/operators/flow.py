@@ -58,7 +58,8 @@ def opportunities_of_events(events: DataFrame, listings: DataFrame, territories:
     counts only within its agency; opportunities under ``least_score`` aren't made.
     """
     kind = opportunity_type(F.col("type"), confident_private(F.col("seller_type"), F.col("seller_confidence")), F.col("drop_count"))
-    found = events.select("listing_id", "type", F.col("dedupe_key").alias("event_key")).join(listings, "listing_id").withColumn("type", kind).where("type is not null").drop("match_key", "email", "seller_name")
+    # Events of one listing and type differ in their keys alone, and the greatest is kept below.
+    found = events.groupBy("listing_id", "type").agg(F.max("dedupe_key").alias("event_key")).join(listings, "listing_id").withColumn("type", kind).where("type is not null").drop("match_key", "email", "seller_name")
     # What depends on the listing alone is settled once for each, not for each event.
     wanted = listings.join(found.select("listing_id").distinct(), "listing_id", "left_semi")
     served = best_territory(wanted.select(F.col("listing_id").alias("place_id"), F.col("postal_code").alias("postal"), F.col("municipality").alias("city"), "province"), territories)
