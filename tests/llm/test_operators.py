@@ -429,3 +429,17 @@ def test_licences_sql_knows_whole_texts_and_paragraphs(spark):
     clean = lambda df: sorted(map(str, df[["doc_id", "digest", "license_id", "n_license_lines", "licenses"]].astype(object).where(df.notna(), None).itertuples(index=False)))
     assert clean(got) == clean(want)
     assert set(want["license_id"].dropna()) >= {"MIT"} and "MIT" in want.set_index("doc_id")["licenses"][2]
+
+
+def test_licences_read_and_even_out_a_text_once(spark, tmp_path):
+    notice = "SPDX-License-Identifier: MIT"
+    texts = [f"{notice}\r\n\r\n\x01{notice}", f"a\n---\n{notice}\n \t\r\n...\n(c) x 2020 y\n{notice}", f"x\x01y\n\x01\n{notice}\n\x01", "\n" * 50_000 + notice, "Licensed under CC BY-NC 4.0.\nv. 2\n\nReleased under\nthe MIT License.\n\n", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    found = licences.scan(spark.read.parquet(f"{tmp_path}/docs"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "SortMergeJoin" not in plan
+    got = {r["doc_id"]: (r["license_id"], r["n_license_lines"], r["licenses"]) for r in found.collect()}
+    assert got == {0: (None, 2, "MIT"), 1: (None, 2, "MIT"), 2: (None, 1, "MIT"), 3: ("MIT", 1, "MIT"), 4: (None, 1, "CC-BY-NC-4.0,MIT"), 5: (None, 0, ""), 6: (None, 0, "")}
+    parts = spark.createDataFrame([(i, t or "") for i, t in enumerate(texts)], "doc_id long, text string")
+    whole = {r[0]: r[1] for r in parts.select("doc_id", F.sha2(licences.canonical(F.col("text")), 256)).collect()}
+    assert {r["doc_id"]: r["digest"] for r in found.collect()} == whole
