@@ -443,3 +443,16 @@ def test_licences_read_and_even_out_a_text_once(spark, tmp_path):
     parts = spark.createDataFrame([(i, t or "") for i, t in enumerate(texts)], "doc_id long, text string")
     whole = {r[0]: r[1] for r in parts.select("doc_id", F.sha2(licences.canonical(F.col("text")), 256)).collect()}
     assert {r["doc_id"]: r["digest"] for r in found.collect()} == whole
+
+
+def test_packing_encodes_frequent_words_once(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
+    words, learned = packing.WordIds(path), []
+    learn = words.learn
+    monkeypatch.setattr(words, "learn", lambda new: learned.extend(new) or learn(new))
+    for k in range(10):
+        text = "so the herse, " + " ".join(f"x{k}y{i}" for i in range(40)) + " of the\nherse, "[:-1]
+        assert np.frombuffer(words.texts([text])[0], "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(words) + len(words.aside) <= 2 * (50 + 44)
+    assert len(learned) == len(set(learned)) == 10 * 40 + 4 and packing.words_of(path) is packing.words_of(path)

@@ -12,6 +12,7 @@ length from counts per partition, and the rank tells the bin and the place.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -28,7 +29,7 @@ from tidemark.llm.common import checkpoint, in_chunks, lean, texts_of
 
 CAPACITY = 1024
 END_ID = 2
-#: Entries after which a task empties its table of encoded words (some 60 MB).
+#: Entries after which a worker's table of encoded words is set aside (some 60 MB, as much set aside).
 CACHE_WORDS = 300_000
 
 
@@ -45,6 +46,9 @@ class WordIds(dict):
     non-space follows, so texts can be encoded word by word. Texts with a word for
     which this doesn't hold (an empty one, or one that begins with white space) are
     encoded whole.
+
+    A full table is set aside and a new one begun, into which a word that comes again
+    is taken over: so frequent words are encoded once, and rare ones are forgotten.
     """
 
     def __init__(self, vocabulary: str):
@@ -56,6 +60,7 @@ class WordIds(dict):
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for token, i in vocab.items() if token.startswith(SPACE)]] = True
+        self.aside: dict[str, bytes] = {}
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -75,13 +80,22 @@ class WordIds(dict):
         parts = [t.split(" ") for t in texts]
         plain = [ODD_WORD.search(t) is None for t in texts]
         if len(self) > CACHE_WORDS:
+            self.aside = dict(self)
             self.clear()
-        new = [w for w in set(chain.from_iterable(p for p, ok in zip(parts, plain) if ok)) if w not in self and w and not w[0].isspace()]
-        self.learn(new)
+        new = set(chain.from_iterable(islice(p, 1, None) for p, ok in zip(parts, plain) if ok)) - self.keys()
+        known = new & self.aside.keys()
+        self.update(zip(known, map(self.aside.__getitem__, known)))
+        self.learn(list(new - known))
         heads = self.encoded([p[0] if ok else t for p, ok, t in zip(parts, plain, texts)])
         return [h + b"".join(map(self.__getitem__, islice(p, 1, None))) if ok else h for h, p, ok in zip(heads, parts, plain)]
 
 
+@functools.lru_cache(maxsize=1)
+def words_of(vocabulary: str) -> WordIds:
+    """The vocabulary's table, which a worker keeps from task to task."""
+    return WordIds(vocabulary)
+
+
 PIECES = "doc_id {id_type}, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
@@ -97,7 +111,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     arrow_id = to_arrow_type(id_type)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end, part = WordIds(vocabulary), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        words, end, part = words_of(vocabulary), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         nth = np.zeros(capacity + 1, np.int64)
         for batch, texts in texts_of(batches):
             ids = batch.column(0).to_pylist()
