@@ -17,7 +17,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +82,8 @@ class WordIds(dict):
         if len(self) > CACHE_WORDS:
             self.aside = dict(self)
             self.clear()
-        new = set(chain.from_iterable(islice(p, 1, None) for p, ok in zip(parts, plain) if ok)) - self.keys()
+        words = set(chain.from_iterable(islice(p, 1, None) for p, ok in zip(parts, plain) if ok))
+        new = set(filterfalse(self.__contains__, words))  # set - keys would go through all keys
         known = new & self.aside.keys()
         self.update(zip(known, map(self.aside.__getitem__, known)))
         self.learn(list(new - known))
