@@ -12,7 +12,6 @@ length from counts per partition, and the rank tells the bin and the place.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import zlib
@@ -29,7 +28,7 @@ from tidemark.llm.common import checkpoint, in_chunks, lean, texts_of
 
 CAPACITY = 1024
 END_ID = 2
-#: Entries after which a worker's table of encoded words is set aside (some 60 MB, as much set aside).
+#: Entries after which a task's table of encoded words is set aside (some 60 MB, as much set aside).
 CACHE_WORDS = 300_000
 
 
@@ -91,12 +90,6 @@ class WordIds(dict):
         return [h + b"".join(map(self.__getitem__, islice(p, 1, None))) if ok else h for h, p, ok in zip(heads, parts, plain)]
 
 
-@functools.lru_cache(maxsize=1)
-def words_of(vocabulary: str) -> WordIds:
-    """The vocabulary's table, which a worker keeps from task to task."""
-    return WordIds(vocabulary)
-
-
 PIECES = "doc_id {id_type}, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
@@ -112,7 +105,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     arrow_id = to_arrow_type(id_type)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end, part = words_of(vocabulary), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        words, end, part = WordIds(vocabulary), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         nth = np.zeros(capacity + 1, np.int64)
         for batch, texts in texts_of(batches):
             ids = batch.column(0).to_pylist()
