@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from tidemark.llm import decontaminate, embeddings, langid, licences, minhash, packing, pii, quality, substrings, toxicity
+from tidemark.llm import common, decontaminate, embeddings, langid, licences, minhash, packing, pii, quality, substrings, toxicity
 
 RNG = np.random.default_rng(4)
 VOCABULARY = ["ab", "cd", "efg", "hij", "klm", "nop", "qrs", "tuv", "wxy", "zeta", "eta", "theta"]
@@ -456,3 +456,18 @@ def test_packing_encodes_frequent_words_once(monkeypatch):
         assert np.frombuffer(words.texts([text])[0], "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
         assert len(words) + len(words.aside) <= 2 * (50 + 44)
     assert len(learned) == len(set(learned)) == 10 * 40 + 4
+
+
+def test_components_of_few_edges_are_few_tasks(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(200, 201), (201, 200), (300, 300)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = common.components(spark.createDataFrame(edges, "a long, b long"))
+        assert dict(found.collect()) == dict.fromkeys(range(41), 0) | dict.fromkeys(range(100, 160), 100) | {200: 200, 201: 200}
+        stars = found.groupBy(F.spark_partition_id()).count().count()
+        assert stars <= found.rdd.getNumPartitions() <= common.LEAST_TASKS + 40  # the second part are the distinct centres
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
