@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from tidemark.llm import common, decontaminate, embeddings, langid, licences, minhash, packing, pii, quality, substrings, toxicity
+from tidemark.llm import alignment, common, decontaminate, embeddings, langid, licences, minhash, packing, pii, quality, substrings, toxicity
 
 RNG = np.random.default_rng(4)
 VOCABULARY = ["ab", "cd", "efg", "hij", "klm", "nop", "qrs", "tuv", "wxy", "zeta", "eta", "theta"]
@@ -458,6 +458,27 @@ def test_packing_encodes_frequent_words_once(monkeypatch):
     assert len(learned) == len(set(learned)) == 10 * 40 + 4
 
 
+def test_a_stretch_looks_each_word_up_once(monkeypatch):
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    texts = ["the cat, the\nhat " * 300 + "end", "the cat", "", " ", "a  b", "\u00fcber 12 \u2581the cat\u3000x"]
+    for kind, path, name in ((packing.WordIds, paths[0], "texts"), (alignment.SideA, paths[0], "ids")):
+        looked_up = []
+
+        class Counting(kind):
+            def __getitem__(self, word):
+                looked_up.append(word)
+                return dict.__getitem__(self, word)
+
+        words = Counting(path)
+        got = [np.frombuffer(b, "<u4").tolist() for b in getattr(words, name)(texts)]
+        if kind is alignment.SideB:
+            assert got == words.model.encode(texts)
+        else:
+            space = " " if kind is alignment.SideA else ""
+            assert got == [words.tokenizer.encode(space + t, add_special_tokens=False).ids for t in texts]
+        assert len(looked_up) < 20
+
+
 def test_components_of_few_edges_are_few_tasks(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(200, 201), (201, 200), (300, 300)]
     before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}

@@ -16,10 +16,11 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, filterfalse, islice
+from itertools import compress, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +31,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Entries after which a task's table of encoded words is set aside (some 60 MB, as much set aside).
 CACHE_WORDS = 300_000
-
-
+#: Characters of text whose words are looked up at once, each different one once.
+STRETCH = 1 << 22
 #: How the vocabulary writes a space, and words encoded as one text.
 SPACE, TOGETHER = "Ġ", 500
 #: A space before an empty word, or before one that begins with white space.
@@ -74,20 +75,52 @@ class WordIds(dict):
             else:
                 self.update(zip(group, self.encoded([f" {w}" for w in group])))
 
-    def texts(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; new words are encoded together."""
-        parts = [t.split(" ") for t in texts]
-        plain = [ODD_WORD.search(t) is None for t in texts]
+    def known(self, words: list[str]) -> None:
+        """See to it that each of the words, which are distinct, is in the table."""
         if len(self) > CACHE_WORDS:
             self.aside = dict(self)
             self.clear()
-        words = set(chain.from_iterable(islice(p, 1, None) for p, ok in zip(parts, plain) if ok))
-        new = set(filterfalse(self.__contains__, words))  # set - keys would go through all keys
+        new = set(filterfalse(self.__contains__, words))
         known = new & self.aside.keys()
         self.update(zip(known, map(self.aside.__getitem__, known)))
         self.learn(list(new - known))
-        heads = self.encoded([p[0] if ok else t for p, ok, t in zip(parts, plain, texts)])
-        return [h + b"".join(map(self.__getitem__, islice(p, 1, None))) if ok else h for h, p, ok in zip(heads, parts, plain)]
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; new words are encoded together."""
+        plain = [ODD_WORD.search(t) is None for t in texts]
+        words, place, begins = distinct_words(list(compress(texts, plain)))
+        # A text's first word has no space before it: it isn't looked up, but encoded for that text.
+        heads, inner = begins[:-1], np.ones(len(place), bool)
+        inner[heads] = False
+        used = np.zeros(len(words), bool)
+        used[place[inner]] = True
+        kept = list(compress(words, used))
+        self.known(kept)
+        first = self.encoded([words[k] for k in place[heads].tolist()])
+        place = (np.cumsum(used) - 1)[place]
+        place[heads] = len(kept) + np.arange(len(heads))
+        looked_up = iter(gathered([*map(self.__getitem__, kept), *first], place, begins))
+        odd = iter(self.encoded([t for t, ok in zip(texts, plain) if not ok]))
+        return [next(looked_up if ok else odd) for ok in plain]
+
+
+def distinct_words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different words between spaces, which of them stands at each place, and each text's first place, with the number of all at the end."""
+    parts = pc.split_pattern(pa.array(texts, pa.string()), " ")
+    coded = parts.flatten().dictionary_encode()
+    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist()
+    return words, coded.indices.to_numpy().astype(np.int64), parts.offsets.to_numpy().astype(np.int64)
+
+
+def gathered(cells: list[bytes], place: np.ndarray, begins: np.ndarray) -> list[bytes]:
+    """Each text's ids, from those of its words: ``place`` and ``begins`` as ``distinct_words`` gives them."""
+    ids, n = np.frombuffer(b"".join(cells), "<u4"), np.fromiter(map(len, cells), np.int64, len(cells)) // 4
+    starts, n = (np.cumsum(n) - n)[place], n[place]
+    ends = np.append(0, np.cumsum(n))
+    at = np.repeat(starts - ends[:-1], n)
+    at += np.arange(len(at))
+    raw, cuts = ids[at].tobytes(), (4 * ends[begins]).tolist()
+    return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 PIECES = "doc_id {id_type}, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -110,7 +143,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
         for batch, texts in texts_of(batches):
             ids = batch.column(0).to_pylist()
             out: list[tuple] = []
-            for doc, b in zip(ids, (b for _, chunk in in_chunks(texts) for b in words.texts(chunk))):
+            for doc, b in zip(ids, (b for _, chunk in in_chunks(texts, STRETCH) for b in words.texts(chunk))):
                 b += end
                 n = len(b) // 4
                 at, k = 0, 0
