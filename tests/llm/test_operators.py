@@ -461,7 +461,7 @@ def test_packing_encodes_frequent_words_once(monkeypatch):
 def test_a_stretch_looks_each_word_up_once(monkeypatch):
     paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
     texts = ["the cat, the\nhat " * 300 + "end", "the cat", "", " ", "a  b", "\u00fcber 12 \u2581the cat\u3000x"]
-    for kind, path, name in ((packing.WordIds, paths[0], "texts"), (alignment.SideA, paths[0], "ids")):
+    for kind, path, name in ((packing.WordIds, paths[0], "texts"), (alignment.SideA, paths[0], "ids"), (alignment.SideB, paths[1], "ids")):
         looked_up = []
 
         class Counting(kind):

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ROWS, distinct_rows, in_chunks, lean, texts_of, written
-from tidemark.llm.packing import WordIds
+from tidemark.llm.packing import WordIds, distinct_words, gathered
 from tidemark.llm.token_counts import SPACE, Pieces
 
 #: Tokens in a row of events.
@@ -104,11 +105,12 @@ class SideB(dict):
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self) > KEPT_WORDS:
             self.clear()
-        parts = [t.split(" ") for t in texts]
-        plain = ["" not in p and SPACE not in t for p, t in zip(parts, texts)]
-        new = list({w for p, ok in zip(parts, plain) if ok for w in p if w not in self})
+        plain = [bool(t) and t[0] != " " != t[-1] and "  " not in t and SPACE not in t for t in texts]
+        words, place, begins = distinct_words(list(compress(texts, plain)))
+        new = list(filterfalse(self.__contains__, words))
         self.update(zip(new, (np.array(ids, "<u4").tobytes() for ids in self.model.encode(new, num_threads=1))))
-        return [b"".join(map(self.__getitem__, p)) if ok else np.array(self.model.encode(t), "<u4").tobytes() for p, t, ok in zip(parts, texts, plain)]
+        looked_up = iter(gathered(list(map(self.__getitem__, words)), place, begins))
+        return [next(looked_up) if ok else np.array(self.model.encode(t), "<u4").tobytes() for t, ok in zip(texts, plain)]
 
 
 EVENTS = "doc_id {id_type}, key long, side int, offset long, ids binary, copies long"
