@@ -147,3 +147,22 @@ def test_machine_takes_events_in_any_runs():
         results.add((machine.digest.hexdigest(), machine.groups, machine.links, tuple(sorted(machine.pairs.items()))))
         assert not len(machine.ids[0]) and not len(machine.ids[1])
     assert len(results) == 1
+
+
+def test_alignment_encodes_frequent_words_once(monkeypatch):
+    """A word is encoded once for each side, though the table of words is set aside several times; odd texts are encoded whole."""
+    monkeypatch.setattr(alignment, "KEPT_WORDS", 50)
+    a_side, b_side = alignment.SideA(VOCABULARY), alignment.SideB(MODEL)
+    learned = ([], [])
+    for side, seen in zip((a_side, b_side), learned):
+        monkeypatch.setattr(side, "cells", lambda new, cells=side.cells, seen=seen: seen.extend(new) or cells(new))
+    words = alignment.Words([a_side, b_side])
+    assert [counts.tolist() for _, counts in words.ids(["", " x"])] == [[len(ids) // 4 for ids in side.ids(["", " x"])] for side in (a_side, b_side)]
+    for k in range(10):
+        texts = ["so the herse, " + " ".join(f"x{k}y{i}" for i in range(40)) + " of the\n\nherse,", " odd", "", f"caf\u00e9 <|endoftext|> \u65e5\u672c\n the herse,", "two  spaces\t the", "a\u2581b", "of"]
+        (a, n_a), (b, n_b) = words.ids(texts)
+        assert a.tolist() == [x for t in texts for x in a_side.tokenizer.encode(f" {t}", add_special_tokens=False).ids]
+        assert b.tolist() == [x for t in texts for x in b_side.model.encode(t)]
+        assert n_b.tolist() == list(map(len, b_side.model.encode(texts))) and n_a.sum() == len(a)
+    for seen in learned:
+        assert len(seen) == len(set(seen)) > 400

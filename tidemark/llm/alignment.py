@@ -1,8 +1,8 @@
 """Alignment of two tokenizers over whole texts by a sweep of the ends of their tokens.
 
-Each text is encoded by both tokenizers. The ends of the tokens, in bytes, are the events:
-rows hold a run of them with its offset, of side A or B, and are united, dealt out by
-document and sorted by offset within the task. A machine reads the rows in that order. An
+Each text is split into words once and encoded by both tokenizers. The ends of the tokens,
+in bytes, are the events: rows hold a run of them with its offset, of side A or B, and are
+dealt out by document and sorted by offset within the task. A machine reads the rows in that order. An
 offset at which both sides end a token closes a group; each different offset is one link,
 since between two neighbouring ends lies exactly one token of either side. The machine
 keeps only what the open group has and the document's sums.
@@ -23,15 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ROWS, distinct_rows, in_chunks, lean, texts_of, written
-from tidemark.llm.packing import WordIds, distinct_words, gathered
+from tidemark.llm.packing import ODD_WORD, WordIds, distinct_words
 from tidemark.llm.token_counts import SPACE, Pieces
 
 #: Tokens in a row of events.
 RUN = 4096
 #: Tokens of short documents that are swept at once, and rows of events from which a document is swept by itself.
 TOGETHER, LONG_RUNS = 150_000, 16
-#: Bytes of text that are encoded at once, and encoded words that a task keeps, so that a task's arrays and tables stay small.
+#: Characters of text that are encoded at once, and encoded words after which a task's table is set aside, so that its arrays and tables stay small.
 STRETCH, KEPT_WORDS = 1 << 18, 100_000
+#: Words that are encoded as one text.
+JOINED = 500
 #: Pairs of ids are sent to all tasks up to this many, and met by a shuffle beyond.
 BROADCAST_PAIRS = 1_000_000
 #: Sides: a document that has no tokens comes first.
@@ -45,6 +47,13 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def runs(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """What stands in ``flat`` from each start on, one run after another."""
+    at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    at += np.arange(len(at))
+    return flat[at]
+
+
 class Table:
     """The bytes of each id."""
 
@@ -54,17 +63,46 @@ class Table:
         self.starts = np.cumsum(self.lengths) - self.lengths
 
     def bytes(self, ids: np.ndarray) -> np.ndarray:
-        n = self.lengths[ids]
-        at = np.repeat(self.starts[ids] - (np.cumsum(n) - n), n)
-        at += np.arange(len(at))
-        return self.flat[at]
+        return runs(self.flat, self.starts[ids], self.lengths[ids])
+
 
+class Side:
+    """A tokenizer; of each id, ``opens`` tells whether its entry begins with a space."""
+
+    opens: np.ndarray
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of a space and each text, as little-endian uint32 bytes."""
+        raise NotImplementedError
 
-class SideA(WordIds):
-    """Ids of a space and the text by a byte-level vocabulary, special strings as plain text."""
+    def cells(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after another, and how many each has.
+
+        Many words are encoded as one text: only a word's first id begins with a space.
+        """
+        raw, counts = [], [np.zeros(0, np.int64)]
+        groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+        for group, ids in zip(groups, self.ids(list(map(" ".join, groups)))):
+            starts = np.flatnonzero(self.opens[np.frombuffer(ids, "<u4")])
+            if len(starts) == len(group):
+                counts.append(np.diff(starts, append=len(ids) // 4))
+            else:
+                each = self.ids(group)
+                ids = b"".join(each)
+                counts.append(np.array(list(map(len, each))) // 4)
+            raw.append(ids)
+        return np.frombuffer(b"".join(raw), "<u4"), np.concatenate(counts)
+
+
+class SideA(Side):
+    """Ids by a byte-level vocabulary, special strings as plain text.
+
+    Its pattern begins a new piece before a space that a non-space follows.
+    """
 
     def __init__(self, vocabulary: str):
-        super().__init__(vocabulary)
+        words = WordIds(vocabulary)
+        self.tokenizer, self.opens, self.encoded = words.tokenizer, words.opens, words.encoded
         self.tokenizer.encode_special_tokens = True
 
     @staticmethod
@@ -77,22 +115,21 @@ class SideA(WordIds):
         return [special[i].encode() if i in special else bytes(map(table.__getitem__, ids[i])) if i in ids else b"" for i in range(max(ids) + 1)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        return self.texts([f" {t}" for t in texts])
+        return self.encoded([f" {t}" for t in texts])
 
 
-class SideB(dict):
-    """Ids of a text by a sentencepiece vocabulary, which adds a space.
+class SideB(Side):
+    """Ids by a sentencepiece vocabulary, which adds the space.
 
-    No entry has a space after another character, so that merges never cross the beginning of a
-    word with the spaces before it: such parts are encoded once each and kept.
+    No entry has a space after another character, so merges never cross the beginning of a
+    word with the space before it.
     """
 
     def __init__(self, model: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
+        self.opens = np.array([self.model.id_to_piece(i).startswith(SPACE) for i in range(self.model.get_piece_size())])
 
     @staticmethod
     def bytes_of(model: str) -> list[bytes]:
@@ -103,51 +140,96 @@ class SideB(dict):
         return [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace(SPACE, " ").encode() for i in range(m.get_piece_size())]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        plain = [bool(t) and t[0] != " " != t[-1] and "  " not in t and SPACE not in t for t in texts]
+        return [np.array(ids, "<u4").tobytes() for ids in self.model.encode(texts, num_threads=1)]
+
+
+class Kept(dict):
+    """A number for each word; ``held`` has each side's ids in the order of the numbers, and how many each word has."""
+
+    def __init__(self, n_sides: int):
+        self.held = [(np.zeros(0, "<u4"), np.zeros(0, np.int64))] * n_sides
+
+    def add(self, words: list[str], cells: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.update(zip(words, range(len(self), len(self) + len(words))))
+        self.held = [tuple(map(np.concatenate, zip(old, new))) for old, new in zip(self.held, cells)]
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def cells(self, numbers: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(runs(ids, (np.cumsum(n) - n)[numbers], n[numbers]), n[numbers]) for ids, n in self.held]
+
+
+class Words:
+    """Texts' ids on all sides; a word between spaces is looked up once a stretch for all of them.
+
+    A full table of words is set aside and a new one begun, into which a word that comes
+    again is taken over. Texts that have a space at an end, before white space or written
+    as a sentencepiece vocabulary writes it are encoded whole.
+    """
+
+    def __init__(self, sides: list[Side]):
+        self.sides, self.table, self.aside = sides, Kept(len(sides)), Kept(len(sides))
+
+    def ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each side, the ids of all texts, one after another, and how many each text has."""
+        plain = [ODD_WORD.search(f" {t}") is None and SPACE not in t for t in texts]
         words, place, begins = distinct_words(list(compress(texts, plain)))
-        new = list(filterfalse(self.__contains__, words))
-        self.update(zip(new, (np.array(ids, "<u4").tobytes() for ids in self.model.encode(new, num_threads=1))))
-        looked_up = iter(gathered(list(map(self.__getitem__, words)), place, begins))
-        return [next(looked_up) if ok else np.array(self.model.encode(t), "<u4").tobytes() for t, ok in zip(texts, plain)]
+        if len(self.table) > KEPT_WORDS:
+            self.table, self.aside = Kept(len(self.sides)), self.table
+        missing = list(filterfalse(self.table.__contains__, words))
+        again, new = (list(keep(self.aside.__contains__, missing)) for keep in (filter, filterfalse))
+        self.table.add(again, self.aside.cells(self.aside.numbers(again)))
+        self.table.add(new, [side.cells(new) for side in self.sides])
+        out = []
+        for side, (ids, n) in zip(self.sides, self.table.cells(self.table.numbers(words)[place])):
+            counts = np.diff(np.append(0, np.cumsum(n))[begins])
+            if not all(plain):
+                whole = iter(side.ids([t for t, ok in zip(texts, plain) if not ok]))
+                split = iter(np.split(ids, np.cumsum(counts)[:-1]))
+                each = [next(split) if ok else np.frombuffer(next(whole), "<u4") for ok in plain]
+                ids, counts = np.concatenate(each), np.array(list(map(len, each)))
+            out.append((ids, counts))
+        return out
 
 
 EVENTS = "doc_id {id_type}, key long, side int, offset long, ids binary, copies long"
 
 
-def end_events(rows: DataFrame, side: int, encoder: type, vocabulary: str, table: Table) -> DataFrame:
-    """Runs of one side's token ends: the offset of the first token's end, and the ids, from which the other ends follow.
+def end_events(rows: DataFrame, vocabulary: str, model: str, tables: tuple[Table, Table]) -> DataFrame:
+    """Runs of either side's token ends: the offset of the first token's end, and the ids, from which the other ends follow.
 
-    A text that is empty, or whose tokens' bytes aren't a space and the text, gives one row of side VOID.
+    A text that is empty, or whose tokens' bytes on a side aren't a space and the text, gives one row of side VOID.
     """
     kept = rows.select("doc_id", "key", "copies", "text")
     names = ["doc_id", "key", "side", "offset", "ids", "copies"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(vocabulary)
+        words = Words([SideA(vocabulary), SideB(model)])
         for batch, texts in texts_of(batches):
             for at, some in in_chunks(texts, STRETCH):
-                raw = words.ids(some)
-                ids = np.frombuffer(b"".join(raw), "<u4")
                 want = [b" " + t.encode() for t in some]
-                tokens = np.cumsum([0] + [len(r) // 4 for r in raw])
-                ends = np.append(0, np.cumsum(table.lengths[ids]))
-                begins = np.cumsum([0] + list(map(len, want)))
-                # Where every text begins at the same byte on both sides, one comparison tells all.
-                got, all_ = table.bytes(ids), np.frombuffer(b"".join(want), np.uint8)
-                alike = np.array_equal(ends[tokens], begins) and np.array_equal(got, all_)
-                which, sides, offsets, out = [], [], [], []
-                for k, text in enumerate(some):
-                    a, b = int(tokens[k]), int(tokens[k + 1])
-                    if not text or not (alike or got[ends[a] : ends[b]].tobytes() == want[k]):
-                        which.append(at + k), sides.append(VOID), offsets.append(-1), out.append(b"")
+                begins, all_ = np.cumsum([0] + list(map(len, want))), np.frombuffer(b"".join(want), np.uint8)
+                whole, sides = list(map(bool, some)), []
+                for (ids, counts), table in zip(words.ids(some), tables):
+                    tokens, ends = np.append(0, np.cumsum(counts)), np.append(0, np.cumsum(table.lengths[ids]))
+                    got, cuts = table.bytes(ids), ends[tokens]
+                    # Where every text begins at the same byte on both sides, one comparison tells all.
+                    if not (np.array_equal(cuts, begins) and np.array_equal(got, all_)):
+                        whole = [ok and got[a:b].tobytes() == w for ok, a, b, w in zip(whole, cuts, cuts[1:], want)]
+                    sides.append((ids, tokens.tolist(), ends))
+                which, kinds, offsets, out = [], [], [], []
+                for k, ok in enumerate(whole):
+                    if not ok:
+                        which.append(at + k), kinds.append(VOID), offsets.append(-1), out.append(b"")
                         continue
-                    for first in range(a, b, RUN):
-                        which.append(at + k), sides.append(side), offsets.append(int(ends[first + 1] - ends[a]))
-                        out.append(packed(ids[first : min(first + RUN, b)]))
+                    for side, (ids, tokens, ends) in zip((A, B), sides):
+                        a, b = tokens[k], tokens[k + 1]
+                        for first in range(a, b, RUN):
+                            which.append(at + k), kinds.append(side), offsets.append(int(ends[first + 1] - ends[a]))
+                            out.append(packed(ids[first : min(first + RUN, b)]))
                 few = batch.take(pa.array(which, pa.int64()))
-                yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array(sides, pa.int32()), pa.array(offsets, pa.int64()), pa.array(out, pa.binary()), few.column(2)], names)
+                yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array(kinds, pa.int32()), pa.array(offsets, pa.int64()), pa.array(out, pa.binary()), few.column(2)], names)
 
     return kept.mapInArrow(lean(encode), EVENTS.format(id_type=kept.schema["doc_id"].dataType.simpleString()))
 
@@ -350,7 +432,7 @@ def align(docs: DataFrame, vocabulary: str, model: str, id_col: str = "doc_id",
     """
     rows = distinct_rows(docs, id_col, text_col)
     tables = Table(SideA.bytes_of(vocabulary)), Table(SideB.bytes_of(model))
-    events = end_events(rows, A, SideA, vocabulary, tables[0]).union(end_events(rows, B, SideB, model, tables[1]))
+    events = end_events(rows, vocabulary, model, tables)
     sweeps = aligned(events.repartition("doc_id", "key").sortWithinPartitions("doc_id", "key", "offset", "side"), (tables[0].lengths, tables[1].lengths))
     # Read twice: for the counts and for the sums.
     per_doc = written(sweeps, "alignment")
