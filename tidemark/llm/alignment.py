@@ -31,7 +31,7 @@ RUN = 4096
 #: Tokens of short documents that are swept at once, and rows of events from which a document is swept by itself.
 TOGETHER, LONG_RUNS = 150_000, 16
 #: Characters of text that are encoded at once, and encoded words after which a task's table is set aside, so that its arrays and tables stay small.
-STRETCH, KEPT_WORDS = 1 << 18, 100_000
+STRETCH, KEPT_WORDS = 1 << 18, 50_000
 #: Words that are encoded as one text.
 JOINED = 500
 #: Pairs of ids are sent to all tasks up to this many, and met by a shuffle beyond.
