@@ -36,7 +36,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nm AS (SELECT name, n, (SELECT string_agg(w, ' ' ORDER BY w) FROM (SELECT unnest(string_split(n, ' ')) AS w) WHERE len(w) > 1) AS nk FROM (SELECT DISTINCT name, {NORMAL.format('name')} AS n FROM (SELECT name FROM m0 UNION SELECT name FROM k0) WHERE name IS NOT NULL)),
     m AS (SELECT m0.*, n, nk FROM m0 LEFT JOIN nm USING (name)), k AS (SELECT k0.*, n, nk FROM k0 LEFT JOIN nm USING (name)),
     e AS (SELECT mid, cid, 'owner' AS f FROM m JOIN k ON m.mk = owned UNION ALL SELECT mid, cid, 'owner' FROM m JOIN k ON m.pid = k.pid UNION ALL SELECT mid, cid, 'address' FROM m JOIN k ON m.mk = k.mk UNION ALL SELECT mid, cid, 'phone' FROM m JOIN k ON m.phone = k.phone UNION ALL SELECT mid, cid, 'email' FROM m JOIN k ON m.email = k.email UNION ALL SELECT mid, cid, 'name' FROM m JOIN k ON m.nk = k.nk AND m.postal = k.postal),
-    p AS (SELECT mid, agency_id, cid, bool_or(f = 'owner') AS ow, bool_or(f = 'address') AS ad, bool_or(f = 'phone') AS ph, bool_or(f = 'email') AS em FROM e JOIN k USING (cid) GROUP BY mid, agency_id, cid QUALIFY row_number() OVER (PARTITION BY mid, agency_id ORDER BY cid) <= 20),
+    p AS (SELECT mid, agency_id, cid, bool_or(f = 'owner') AS ow, bool_or(f = 'address') AS ad, bool_or(f = 'phone') AS ph, bool_or(f = 'email') AS em FROM e JOIN k USING (cid) GROUP BY mid, agency_id, cid),
     s AS (SELECT p.*, ow OR ad OR ph OR em AS hard, CASE WHEN ow THEN 0.97 WHEN ad THEN 0.90 WHEN ph THEN 0.88 WHEN em THEN 0.86 ELSE 0 END AS base, CASE WHEN coalesce(m.n, '') = '' OR coalesce(k.n, '') = '' THEN 0 WHEN m.n = k.n THEN 1 ELSE greatest(0, 1 - levenshtein(m.n, k.n) / greatest(len(m.n), len(k.n))::DOUBLE) END AS alike, m.postal = k.postal AS near FROM p JOIN m USING (mid) JOIN k USING (cid)),
     t AS (SELECT *, CASE WHEN NOT hard THEN 0 WHEN alike >= 0.92 THEN least(0.99, base + 0.06) WHEN alike >= 0.75 THEN least(0.99, base + 0.02) ELSE base END AS step FROM s),
     c AS (SELECT *, round(CASE WHEN hard AND alike >= 0.75 AND near THEN least(0.99, step + 0.02) WHEN hard THEN step ELSE 0.45 END, 3) AS confidence FROM t)
